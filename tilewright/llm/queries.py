@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tilewright.llm import runs, terms
+from tilewright.llm import leaks, mixture, runs, terms
 from tilewright.queries.upkeep import BUILDS
 from tilewright.session import table
 
@@ -33,6 +33,23 @@ def p6_event_runs(spark, d):
     return runs.collapse(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type"], "ts")
 
 
+def p8_found(spark, d):
+    found = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.where(F.col("longest_words") >= 12).select("doc_id", "item_id").distinct()
+
+
+def p8_leaks(spark, d):
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_mixture(spark, d):
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark, d):
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 STATISTICS = f"""
   WITH r AS (SELECT DISTINCT tile_layer_id, feature_id, tags[2 * i + 1] AS k, tags[2 * i + 2] AS v
              FROM (SELECT tile_layer_id, feature_id, tags, unnest(range(len(tags) // 2)) AS i FROM tile_features)
@@ -55,7 +72,7 @@ RUNS = """
          max(tile_id + run_length) - min(tile_id) AS n_tiles
   FROM n GROUP BY archive_id, tile_offset, run HAVING count(*) >= 2"""
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_statistics, p6_found, p6_tile_runs, p6_event_runs)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_statistics, p6_found, p6_tile_runs, p6_event_runs, p8_found, p8_leaks, p9_mixture, p9_shares)}
 
 ORACLE = {
     "p3_found": f"""
