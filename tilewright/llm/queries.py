@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tilewright.llm import leaks, mixture, runs, terms
+from tilewright.llm import leaks, mixture, redact, runs, terms
 from tilewright.queries.upkeep import BUILDS
 from tilewright.session import table
 
@@ -50,6 +50,18 @@ def p9_shares(spark, d):
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+#: Stands in for the secret of a real run.
+KEY = b"key of the example queries"
+
+
+def p10_found(spark, d):
+    return redact.find_pii(table(spark, d, "documents"), table(spark, d, "name_lexicon")).distinct()
+
+
+def p10_redacted(spark, d):
+    return redact.redact(table(spark, d, "documents"), table(spark, d, "name_lexicon"), KEY)
+
+
 STATISTICS = f"""
   WITH r AS (SELECT DISTINCT tile_layer_id, feature_id, tags[2 * i + 1] AS k, tags[2 * i + 2] AS v
              FROM (SELECT tile_layer_id, feature_id, tags, unnest(range(len(tags) // 2)) AS i FROM tile_features)
@@ -72,7 +84,7 @@ RUNS = """
          max(tile_id + run_length) - min(tile_id) AS n_tiles
   FROM n GROUP BY archive_id, tile_offset, run HAVING count(*) >= 2"""
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_statistics, p6_found, p6_tile_runs, p6_event_runs, p8_found, p8_leaks, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_statistics, p6_found, p6_tile_runs, p6_event_runs, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_redacted)}
 
 ORACLE = {
     "p3_found": f"""
