@@ -33,3 +33,31 @@ def flip(z: Column, y: Column) -> Column:
 
 def top_left_row(z: Column, y: Column, origin: Column) -> Column:
     return F.when(is_bottom_left(origin), flip(z, y)).otherwise(y)
+
+
+def in_range(z: Column, x: Column, y: Column, rz: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """Same zoom and inside the range, edges included."""
+    return (z == rz) & x.between(minx, maxx) & y.between(miny, maxy)
+
+
+def n_tiles(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """Tiles of a range; an error on overflow in ANSI mode."""
+    return (maxx - minx + 1) * (maxy - miny + 1)
+
+
+def corner(which: str, origin: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> tuple[Column, Column]:
+    """x, y of lower_left, lower_right, upper_left or upper_right; which row is low depends on the origin."""
+    low = F.when(is_bottom_left(origin), miny).otherwise(maxy)
+    high = F.when(is_bottom_left(origin), maxy).otherwise(miny)
+    return minx if which.endswith("left") else maxx, low if which.startswith("lower") else high
+
+
+def next_in_range(x: Column, y: Column, minx: Column, maxx: Column, maxy: Column) -> Column:
+    """Struct x, y of the tile after this one, x fastest; null after the last."""
+    wraps = x >= maxx
+    return F.when(~(wraps & (y >= maxy)), F.struct(F.when(wraps, minx).otherwise(x + 1).alias("x"), F.when(wraps, y + 1).otherwise(y).alias("y")))
+
+
+def previous_in_range(x: Column, y: Column, minx: Column, miny: Column, maxx: Column) -> Column:
+    wraps = x <= minx
+    return F.when(~(wraps & (y <= miny)), F.struct(F.when(wraps, maxx).otherwise(x - 1).alias("x"), F.when(wraps, y - 1).otherwise(y).alias("y")))

@@ -1,8 +1,8 @@
 """All queries of the core, with the SQL that gives the same rows."""
 
-from tilewright.queries import upkeep
+from tilewright.queries import grid, upkeep
 
-MODULES = [upkeep]
+MODULES = [upkeep, grid]
 
 
 def queries():
