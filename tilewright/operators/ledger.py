@@ -74,8 +74,9 @@ def lease_history(items: DataFrame, available: str, runs: DataFrame, status: str
     found = dated.join(spans, inside, "left")
     state = F.when(F.col("__done").isNotNull(), "done").otherwise("pending")
     leases = F.when(F.col("__run").isNull(), 0).otherwise(F.coalesce(F.col("__done.token"), F.col("__all")) - F.col("__token") + 1)
+    added = {"state", "first_run", "done_run", "token", "n_leases"}  # columns of these names give way
     return found.select(
-        *[F.col(c) for c in items.columns], state.alias("state"), F.col("__run").alias("first_run"), F.col("__done.run").alias("done_run"),
+        *[F.col(c) for c in items.columns if c not in added], state.alias("state"), F.col("__run").alias("first_run"), F.col("__done.run").alias("done_run"),
         F.col("__done.token").alias("token"), leases.cast("int").alias("n_leases"),
     )
 

@@ -1,8 +1,8 @@
 """All queries of the core, with the SQL that gives the same rows."""
 
-from tilewright.queries import grid, upkeep
+from tilewright.queries import archives, grid, upkeep
 
-MODULES = [upkeep, grid]
+MODULES = [upkeep, grid, archives]
 
 
 def queries():

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions.geometry import KINDS, decode as decode_commands, wkt
 from tilewright.sources.wire import field, fields, packed
@@ -122,9 +123,7 @@ def decode(tiles: DataFrame, payload: str = "payload", layers: Sequence[str] | N
     """The other columns of each tile with FEATURES, one row per feature. Null payloads give none; broken ones raise."""
     keep = [c for c in tiles.columns if c != payload]
     wanted = None if layers is None else set(layers)
-    schema = tiles.select(*keep).schema
-    for part in FEATURES.split(", "):
-        schema = schema.add(*part.split(" ", 1))
+    schema = T.StructType([*tiles.select(*keep).schema, *T.StructType.fromDDL(FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.map_(pa.string(), pa.string())]
@@ -165,7 +164,7 @@ def encode(features: DataFrame, by: Sequence[str] = ("z", "x", "y"), order: str
     return parts.where(F.octet_length("part") > 0).groupBy(*by).agg(F.unhex(F.concat_ws("", F.transform(joined, lambda p: p["h"]))).alias("payload"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def geometry_text(commands: pd.Series, kind: pd.Series) -> pd.Series:
     """Well-known text of command streams; null where there is no geometry type."""
     return pd.Series([None if c is None or k is None else wkt(k, decode_commands([int(n) & 0xFFFFFFFF for n in c], k)) for c, k in zip(commands, kind)])
