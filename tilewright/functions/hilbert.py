@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions.tiles import span
 
@@ -64,5 +67,38 @@ def tile_of_id(id: Column) -> Column:
         nx, ny = _turned(s["x"], s["y"], rx, ry, side - 1)
         return _state(t=F.shiftright(s["t"], 2), x=nx + side * rx, y=ny + side * ry)
 
-    at = F.aggregate(levels, _state(t=along, x=F.lit(0), y=F.lit(0)), step)
-    return F.when(z.isNotNull(), F.struct(z.alias("z"), at["x"].alias("x"), at["y"].alias("y")))
+    # One fold gives the whole struct; with a fold per field, the optimizer would run it for each of them.
+    at = F.aggregate(levels, _state(t=along, x=F.lit(0), y=F.lit(0)), step, lambda s: F.struct(F.size(levels).alias("z"), s["x"].alias("x"), s["y"].alias("y")))
+    return F.when(z.isNotNull(), at)
+
+
+def tile_arrays(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """z, x, y of many ids at once; z is -1 where there is none. A few array operations per level."""
+    starts = np.array(LEVEL_STARTS, np.int64)
+    ok = (ids >= 0) & (ids < starts[-1])
+    z = np.where(ok, np.searchsorted(starts, ids, "right") - 1, -1)
+    t = np.where(ok, ids - starts[np.maximum(z, 0)], 0)
+    x, y = np.zeros_like(t), np.zeros_like(t)
+    for i in range(int(z.max(initial=0))):
+        live = np.flatnonzero(z > i)
+        side, a, b, u = np.int64(1 << i), x[live], y[live], t[live]
+        rx = u >> 1 & 1
+        ry = (u ^ rx) & 1
+        mirrored = (ry == 0) & (rx == 1)
+        a, b = np.where(mirrored, side - 1 - a, a), np.where(mirrored, side - 1 - b, b)
+        a, b = np.where(ry == 0, b, a), np.where(ry == 0, a, b)
+        x[live], y[live], t[live] = a + side * rx, b + side * ry, u >> 2
+    return z, x, y
+
+
+TILE = T.StructType([T.StructField("z", T.IntegerType()), T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])
+
+
+def _tiles(ids: pd.Series) -> pd.DataFrame:
+    z, x, y = tile_arrays(ids.fillna(-1).to_numpy(np.int64))
+    return pd.DataFrame({n: pd.arrays.IntegerArray(v.astype(np.int64), z < 0) for n, v in (("z", z), ("x", x), ("y", y))})
+
+
+#: The same as tile_of_id for whole Arrow batches: some 8 times faster than the fold, whose lambdas are interpreted.
+#: For ids inside larger expressions, and where no Python should run, there is the fold.
+tiles_of_ids = F.pandas_udf(_tiles, TILE)

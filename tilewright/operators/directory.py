@@ -29,7 +29,7 @@ def tiles_at_zoom(entries: DataFrame, zoom: int, keep: Sequence[str] = ()) -> Da
     start, end = F.greatest("tile_id", F.lit(low)), F.least(F.col("tile_id") + F.col("run_length") - 1, F.lit(high))
     cut = entries.where((F.col("run_length") > 0) & (F.col("tile_id") <= high) & (F.col("tile_id") + F.col("run_length") > low))
     ids = cut.select(*keep, F.explode(F.sequence(start, end)).alias("tile_id"))
-    at = hilbert.tile_of_id(F.col("tile_id"))
+    at = hilbert.tiles_of_ids("tile_id")
     return ids.select(*keep, at.alias("t")).select(*keep, "t.z", "t.x", "t.y")
 
 

@@ -70,7 +70,7 @@ def tile_to_hilbert(spark, d):
 
 def hilbert_to_tile(spark, d):
     ids = table(spark, d, "tile_entries").select("tile_id").distinct()
-    return ids.select("tile_id", hilbert.tile_of_id(F.col("tile_id")).alias("t")).select("tile_id", "t.z", "t.x", "t.y")
+    return ids.select("tile_id", hilbert.tiles_of_ids("tile_id").alias("t")).select("tile_id", "t.z", "t.x", "t.y")
 
 
 def _grid_args():
