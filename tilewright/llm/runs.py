@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.operators.blocks import _same
+from tilewright.session import cut
 
 
 def covering_runs(events: DataFrame, group: Sequence[str], start: str, end: str, width: int = 65_536) -> DataFrame:
@@ -30,6 +31,8 @@ def covering_runs(events: DataFrame, group: Sequence[str], start: str, end: str,
     flagged = known.withColumn("new", F.coalesce(F.col("s") > F.greatest(lagged, F.col("reach")) + 1, F.lit(True)).cast("int"))
     numbered = flagged.withColumn("n", F.sum("new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     parts = numbered.groupBy(*keys, "n").agg(F.min("s").alias("first"), F.max("e").alias("last"), F.count(F.lit(1)).alias("n_events"))
+    # A row per run and block, read three times below; kept in the shared folder instead of being made anew each time.
+    parts = cut(parts)
     # Number 0 is what goes on from an earlier block: it belongs to the last run that began before.
     began = parts.where(F.col("n") > 0).groupBy(*keys).agg(F.max(F.struct("n", "first")).alias("open"))
     heads = parts.where(F.col("n") == 0).select(*keys, F.lit(None).cast("long").alias("open"), F.lit(True).alias("head"))
