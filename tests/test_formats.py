@@ -1,0 +1,221 @@
+"""Formats and geometry: round trips, fixed examples and errors."""
+
+import gzip
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tilewright.functions import geometry as g
+from tilewright.functions import glob, hilbert, names
+from tilewright.operators import directory, matrixsets
+from tilewright.plans.features import FeatureQuery, choose_zoom, plan
+from tilewright.session import scratch_path
+from tilewright.sources import mvt, pmtiles, storage, wire
+from tilewright.streaming.tile_counts import tile_counts
+
+
+def folder(spark):
+    import os
+
+    path = scratch_path(spark, "test").removeprefix("file://")
+    os.makedirs(path)
+    return path
+
+
+def test_tile_ids(spark):
+    t = [(0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 1), (1, 1, 0), (5, 16, 16), (7, 64, 47), (10, 512, 512), (12, 2048, 2048), (26, 2**26 - 1, 0)]
+    df = spark.createDataFrame(t, "z int, x long, y long").withColumn("id", hilbert.tile_id(F.col("z"), F.col("x"), F.col("y")))
+    rows = df.select("*", hilbert.tile_of_id(F.col("id")).alias("a"), hilbert.tiles_of_ids("id").alias("b")).collect()
+    assert [r["id"] for r in rows[:5]] == [0, 1, 2, 3, 4]
+    for r in rows:
+        assert tuple(r["a"]) == tuple(r["b"]) == (r["z"], r["x"], r["y"]) == pmtiles.zxy(r["id"])
+    bad = spark.createDataFrame([(27, 0, 0), (3, 8, 0), (3, -1, 0), (None, 1, 1)], "z int, x long, y long")
+    assert [r[0] for r in bad.select(hilbert.tile_id(F.col("z"), F.col("x"), F.col("y"))).collect()] == [None] * 4
+    with pytest.raises(Exception, match="no tile"):
+        bad.limit(1).select(hilbert.checked_tile_id(F.col("z"), F.col("x"), F.col("y"))).collect()
+    ids = spark.createDataFrame([(-1,), (2**63 - 1,), (None,)], "id long")
+    assert [tuple(r) for r in ids.select(hilbert.tile_of_id(F.col("id")), hilbert.tiles_of_ids("id")["z"]).collect()] == [(None, None)] * 3
+
+
+@pytest.mark.parametrize("pattern,key,expected", [
+    ("*.mvt", "a.mvt", True), ("*.mvt", "d/a.mvt", False), ("**/*.mvt", "a.mvt", True), ("**/*.mvt", "x/y/a.mvt", True), ("d/**", "d/x/y", True), ("d/?.t", "d/a.t", True), ("d/?.t", "d//.t", False),
+    ("[a-c]x", "bx", True), ("[a-c]x", "dx", False), ("[!a]x", "bx", True), ("a[!b]c", "a/c", False), ("{a,b}.t", "b.t", True), ("{a,b,}.t", ".t", False), ("a[b", "a[b", True), ("a{b", "a{b", True), ("a.b", "axb", False), ("[^x]", "^", True), ("a+b", "a+b", True),
+])
+def test_glob(spark, pattern, key, expected):
+    df = spark.createDataFrame([(key,)], "k string")
+    assert df.select(glob.matches(F.col("k"), pattern)).first()[0] is expected
+    assert not expected or df.select(glob.pruned(F.col("k"), pattern)).first()[0]
+
+
+def test_glob_prefix():
+    assert (glob.prefix("a/b/*.x"), glob.prefix("*.x"), glob.prefix("a/b")) == ("a/b", "", "a/b")
+    assert glob.recursive("a/**/x") and glob.recursive("a/*/x") and not glob.recursive("a/*.x")
+
+
+def test_unsafe_keys(spark):
+    bad = ["..", "../escape", "foo/../escape", ".", "./foo", "/absolute", "/", "a\x00b", "", None]
+    rows = spark.createDataFrame([(k,) for k in [*bad, "a/b", "..a/b.."]], "k string").select(names.is_safe_key(F.col("k"))).collect()
+    assert [r[0] for r in rows] == [False] * len(bad) + [True, True]
+    for k in bad[:-1]:
+        with pytest.raises(ValueError):
+            names.require_safe(k)
+
+
+def test_directory_bytes():
+    rng, entries, at = random.Random(2), [], 0
+    for t in sorted(rng.sample(range(10**9), 500)):
+        n = rng.randrange(1, 5000)
+        entries.append((t, at if rng.random() < 0.7 else rng.randrange(10**7), n, rng.choice([0, 1, 1, 9])))
+        at = entries[-1][1] + n
+    assert pmtiles.parse_directory(pmtiles.directory_bytes(entries)) == entries
+    assert pmtiles.parse_directory(pmtiles.directory_bytes([])) == []
+    with pytest.raises(ValueError, match="ends inside"):
+        pmtiles.parse_directory(pmtiles.directory_bytes(entries)[:-3])
+    with pytest.raises(ValueError, match="too long"):
+        wire.varint(b"\xff" * 12, 0)
+    with pytest.raises(ValueError):
+        pmtiles.parse_header(b"PMTiles\x02" + b"\0" * 200)
+
+
+@pytest.mark.parametrize("how,leaf", [(1, 10), (2, 10**6), (4, 50)])
+def test_archive(spark, how, leaf):
+    path = folder(spark) + "/a.pmtiles"
+    df = spark.range(1000).select((F.col("id") + 5).alias("tile_id"), F.encode(F.concat(F.lit("t"), (F.col("id") / 2).cast("int").cast("string")), "UTF-8").alias("payload"))
+    h = pmtiles.write(df, path, json.dumps({"name": "x", "vector_layers": []}), internal=how, compression=how, leaf_entries=leaf)
+    assert (h["addressed_tiles_count"], h["tile_entries_count"], h["tile_contents_count"]) == (1000, 500, 500)
+    back = pmtiles.read(spark, path)
+    assert {r["tile_id"]: bytes(r["payload"]) for r in back.collect()} == {i + 5: f"t{i // 2}".encode() for i in range(1000)}
+    assert back.where("z = 3").count() == 64
+    e = pmtiles.read(spark, path, "entries")
+    assert e.agg(F.sum("run_length")).first()[0] == 1000 and e.where("run_length = 0").count() == (0 if leaf > 500 else -(-500 // leaf))
+    assert json.loads(pmtiles.read(spark, path, "metadata").first()[0])["name"] == "x"
+    assert pmtiles.read(spark, path, "header").first()["root_dir_offset"] == 127
+    with pytest.raises(ValueError, match="twice"):
+        pmtiles.write(df.limit(3).unionAll(df.limit(3)), path)
+    assert pmtiles.write(df.limit(0), path)["addressed_tiles_count"] == 0
+    assert pmtiles.parse_directory(pmtiles.decompress(gzip.compress(pmtiles.directory_bytes([(1, 0, 5, 1)])), 2)) == [(1, 0, 5, 1)]
+    with pytest.raises(ValueError):
+        pmtiles.decompress(b"", 3)
+
+
+def test_commands():
+    line = g.encode("LINESTRING", [[(3, 6), (8, 12), (8, 12), (20, 34)]])
+    assert g.decode(line, "LINESTRING") == [[(3, 6), (8, 12), (20, 34)]] and line[0] == 1 << 3 | 1 and line[3] == 2 << 3 | 2
+    ring = [(3, 6), (20, 34), (8, 12)]
+    for r in (ring, ring[::-1]):
+        back = g.decode(g.encode("POLYGON", [r]), "POLYGON")
+        assert len(back) == 1 and set(back[0]) == set(ring) and g.area2(back[0]) > 0
+    shell, hole = [(0, 0), (10, 0), (10, 10), (0, 10)], [(3, 3), (3, 7), (7, 7), (7, 3)]
+    rings = g.decode(g.encode("POLYGON", [shell, hole]), "POLYGON")
+    assert len(g.polygons(rings)) == 1 and len(g.polygons(rings)[0]) == 2 and g.area2(rings[0]) > 0 > g.area2(rings[1])
+    assert g.encode("POINT", [[(3, 6)] * 4])[0] == 4 << 3 | 1
+    assert g.decode(g.encode("POINT", [[(4095.7, 2048.3)]]), "POINT") == [[(4096, 2048)]]
+    assert g.encode("LINESTRING", [[(1, 1), (1.2, 1.1)]]) == [] and g.encode("POLYGON", [[(0, 0), (5, 5), (10, 10)]]) == []
+    for bad in ([2 << 3 | 2, 2, 2, 2, 2], [1 << 3 | 3], [2 << 3 | 1, 2]):
+        with pytest.raises(ValueError):
+            g.decode(bad, "LINESTRING")
+    assert all(g.unzigzag(g.zigzag(n)) == n for n in (0, 1, -1, 4096, -(2**31)))
+
+
+def test_clip_and_simplify():
+    assert g.clip("POINT", [[(4120, 5)], [(5000, 5)]], 4096, 64) == [[(4120, 5)]]
+    assert g.clip("LINESTRING", [[(3000, 3000), (4200, 4200)]], 4096, 64) == [[(3000, 3000), (4160.0, 4160.0)]]
+    assert g.clip("LINESTRING", [[(-500, 10), (-400, 10)]]) == []
+    square = g.clip("POLYGON", [[(-1000, -1000), (9000, -1000), (9000, 9000), (-1000, 9000)]], 4096, 32)
+    assert abs(g.area2(square[0])) / 2 == 4160**2
+    assert g.simplify([(0, 0), (5, 0.1), (10, 0)], 1) == [(0, 0), (10, 0)] and len(g.simplify([(0, 0), (5, 3), (10, 0)], 1)) == 3
+    assert g.prepare("POLYGON", [[(0, 0), (9, 0), (9, 9)]], tolerance=0.5) and g.prepare("POLYGON", [[(0, 0), (2, 0), (0, 2)]], min_area=50) == []
+    assert g.wkt("POLYGON", [[(0, 0), (1, 0), (0, 1)]]) == "POLYGON ((0 0, 1 0, 0 1, 0 0))" and g.wkt("POINT", []) == "POINT EMPTY"
+
+
+def test_vector_tiles(spark):
+    values = {"i": 123, "n": -123, "d": 567.123, "b": True, "s": "ä", "none": None}
+    raw = mvt.encode_layer("l", [{"id": 1, "type": "POINT", "commands": [9, 2, 2], "attributes": values}, {"id": None, "type": None, "commands": [], "attributes": {}}], 512)
+    layer = mvt.decode_tile(raw + mvt.encode_layer("m", [{"type": "POINT", "commands": [9, 0, 0]}]))
+    assert [x["name"] for x in layer] == ["l", "m"] and layer[0]["extent"] == 512
+    f = layer[0]["features"][0]
+    assert {layer[0]["keys"][k]: layer[0]["values"][v] for k, v in zip(f["tags"][::2], f["tags"][1::2])} == {k: v for k, v in values.items() if v is not None}
+    assert mvt.encode_layer("l", []) == b"" and mvt.decode_tile(raw, {"x"}) == []
+    with pytest.raises(ValueError):
+        mvt.encode_layer("", [])
+    with pytest.raises(ValueError):
+        mvt.decode_tile(raw[:-2])
+    df = spark.createDataFrame([(1, bytearray(raw)), (2, None), (3, bytearray(b""))], "layer_no int, payload binary")
+    rows = mvt.decode(df).select("layer_no", "feature_id", mvt.geometry_text("commands", "geom_type").alias("t")).collect()
+    assert sorted(map(tuple, rows), key=repr) == [(1, 1, "POINT (1 1)"), (1, None, None)]
+
+
+def test_matrix_set_documents(spark):
+    m = matrixsets.default_sets(spark).where("set_id = 'WorldCRS84Quad' AND z < 4")
+    for write, read in ((matrixsets.write_json, matrixsets.read_json), (matrixsets.write_xml, matrixsets.read_xml)):
+        back = read(spark, write(m)).orderBy("z").collect()
+        for a, b in zip(m.orderBy("z").collect(), back):
+            assert all(abs(a[c] - b[c]) < 1e-6 if isinstance(a[c], float) else a[c] == b[c] for c in m.columns)
+    doc = {"id": "c", "crs": "http://www.opengis.net/def/crs/EPSG/0/3857", "tileMatrices": [{"id": str(i), "cellSize": c, "pointOfOrigin": [0, 0], "cornerOfOrigin": "bottomLeft", "tileWidth": w, "tileHeight": w, "matrixWidth": 1, "matrixHeight": 1} for i, c, w in ((7, 1.0, 256), (3, 2.0, 256))]}
+    assert [(r["z"], r["id"], r["origin"]) for r in matrixsets.read_json(spark, json.dumps(doc)).orderBy("z").collect()] == [(0, "3", "BOTTOM_LEFT"), (1, "7", "BOTTOM_LEFT")]
+    doc["tileMatrices"][0]["tileWidth"] = 512
+    with pytest.raises(ValueError):
+        matrixsets.read_json(spark, json.dumps(doc))
+
+
+def test_views_and_limits(spark):
+    m = matrixsets.default_sets(spark).where("set_id = 'WebMercatorQuad'")
+    once = matrixsets.view(m, 1, 3, (0.0, 0.0, 1e7, 1e7))
+    twice = matrixsets.view(matrixsets.view(m, 1, box=(0.0, 0.0, 2e7, 1e7)), max_zoom=3, box=(-1e7, -1e7, 1e7, 1e7))
+    cols = ["z", "minx", "miny", "maxx", "maxy"]
+    assert sorted(map(tuple, once.select(cols).collect())) == sorted((z, *r) for z, r in ((1, (1, 0, 1, 0)), (2, (2, 1, 2, 1)), (3, (4, 2, 5, 3))))
+    assert twice.count() == 3 and matrixsets.view(m, box=(3e7, 3e7, 4e7, 4e7)).count() == 0
+    lim = spark.createDataFrame([("2", 1, 1, 0, 3)], "tile_matrix string, min_row long, max_row long, min_col long, max_col long")
+    assert tuple(matrixsets.limits(m, lim).select(cols).first()) == (2, 0, 1, 3, 1)
+
+
+def test_feature_plan(spark):
+    m = matrixsets.default_sets(spark).where("set_id = 'WebMercatorQuad'")
+    lz = spark.createDataFrame([(3,), (None,), (5,)], "minzoom int")
+    assert choose_zoom(FeatureQuery(), m) == 0 and choose_zoom(FeatureQuery(strategy="QUALITY"), m, lz) == 5 and choose_zoom(FeatureQuery().at(7), m) == 7
+    f = spark.createDataFrame([(1, 0, 1, "BOTTOM_LEFT", 1, "a", 4096, 1, [0, 0, 5, 5, 0], [9, 4096, 4096]), (1, 0, 0, None, 1, "b", 4096, 2, None, None)], "z int, x long, y long, origin string, tile_layer_id long, layer string, extent int, feature_id long, tags array<int>, commands array<int>")
+    v = "struct<string_value:string,float_value:float,double_value:double,int_value:bigint,uint_value:bigint,sint_value:bigint,bool_value:boolean>"
+    layers = spark.createDataFrame([(1, ["k"], [("v", None, None, None, None, None, None)])], f"tile_layer_id long, layer_keys array<string>, layer_values array<{v}>")
+    q = FeatureQuery().within((-1.9e7, 1e6, -1e6, 1.9e7), (-1.9e7, 1e6, -1e6, 1.8e7)).at(1)
+    rows = {r["layer"]: r for r in plan(q, f, layers, m).collect()}
+    assert rows["a"]["attributes"] == {"k": "v"} and rows["a"]["y"] == 0 and tuple(rows["a"]["points"][0]) == (2048, 2048) and rows["b"]["attributes"] == {} and rows["b"]["points"] is None
+    assert plan(q.of("a").matching(F.col("attributes")["k"] == "w"), f, layers, m).count() == 0
+    p = plan(q.of("a").in_meters().mapped(lambda df: df.withColumn("one", F.lit(1))), f, layers, m).first()
+    assert abs(p["points"][0]["x"] + 10018754.17) < 1 and p["one"] == 1
+    assert plan(FeatureQuery().at(9), f, layers, m).count() == 0
+
+
+def test_storage(spark):
+    root = folder(spark)
+    store = storage.Store(spark, root)
+    for k in ("a/x.mvt", "a/b/y.mvt", "z.txt"):
+        store.put(k, "0123456789")
+    assert not store.put("z.txt", "other", only_new=True) and store.get("z.txt") == "0123456789"
+    assert sorted(r["key"] for r in store.list("a/**").collect()) == ["a/b/y.mvt", "a/x.mvt"]
+    assert [r["key"] for r in store.list("a/*.mvt").collect()] == ["a/x.mvt"] and store.list("none/*").count() == 0
+    r = spark.createDataFrame([("z.txt", 2, 3), ("z.txt", 8, 9), ("z.txt", 50, 4), ("../z.txt", 0, 1)], "key string, range_offset long, range_length long")
+    assert sorted(bytes(x["bytes"]) for x in storage.read_ranges(spark, root, r).collect()) == [b"", b"234", b"89"]
+    store.copy("z.txt", "c/z2.txt")
+    store.move("z.txt", "c/z3.txt")
+    assert store.exists("c/z2.txt") and store.exists("c/z3.txt") and not store.exists("z.txt")
+    assert store.delete("c/z2.txt", "nope") == {"c/z2.txt": "deleted", "nope": "did_not_exist"}
+
+
+def test_lookup_of_nothing(spark):
+    e = spark.createDataFrame([], "archive_id long, tile_id long, tile_offset long, length_bytes int, run_length int")
+    k = spark.createDataFrame([(1, 5), (None, None)], "archive_id long, tile_id long")
+    assert {r["entry_id"] for r in directory.lookup(k, e).collect()} == {None}
+    with pytest.raises(ValueError):
+        directory.tiles_at_zoom(e, 27)
+
+
+def test_stream_and_table_agree(spark):
+    path = folder(spark)
+    df = spark.range(300).select(F.timestamp_seconds(F.col("id") * 600).alias("ts"), (F.col("id") % 360 - 180.0).alias("lon"), (F.col("id") % 80).cast("double").alias("lat"))
+    df.write.mode("overwrite").parquet(path)
+    counts = tile_counts(spark.readStream.schema(df.schema).parquet(path), "ts", "lon", "lat", 2)
+    q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, tile_counts(df, "ts", "lon", "lat", 2).collect()))
