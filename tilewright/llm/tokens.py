@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -32,7 +33,7 @@ def encoder(path: str):
 def with_token_counts(df: DataFrame, text: str = "text", path: str = f"{TOKENIZERS}/{RANKS}") -> DataFrame:
     """The other columns and n_tokens: tokens of the whole text, 0 for empty, null for null. The text itself isn't kept."""
     others = [c for c in df.columns if c != text]
-    schema = df.select(*others, F.lit(0).cast("long").alias("n_tokens")).schema
+    schema = df.select(*others).schema.add("n_tokens", T.LongType())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
