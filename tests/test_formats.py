@@ -219,3 +219,31 @@ def test_stream_and_table_agree(spark):
     q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, tile_counts(df, "ts", "lon", "lat", 2).collect()))
+
+
+def test_tilejson(spark):
+    from tilewright.sources import tilejson
+
+    good = {"tilejson": "3.0.0", "tiles": ["https://x/{z}/{x}/{y}"], "vector_layers": [{"id": "a", "fields": {"k": "String"}}], "bounds": [-1, -2, 3, 4], "unknown": 1}
+    bad = {"tiles": [], "minzoom": 9, "maxzoom": 3, "bounds": [3, 0, 1, 0], "center": [1], "scheme": "q", "vector_layers": [{"fields": {}}]}
+    df = tilejson.parse(spark.createDataFrame([(1, json.dumps(good)), (2, json.dumps(bad)), (3, None)], "k int, json string"))
+    rows = {r["k"]: r["p"] for r in df.select("k", tilejson.problems(F.col("doc")).alias("p")).collect()}
+    assert rows[1] == [] and len(rows[2]) == 7 and "no JSON object" in rows[3]
+    assert "unknown" not in json.loads(tilejson.write(df.where("k = 1")).first()["json"])
+    known = {"storage.provider": str, "storage.block.size": int, "storage.caching.enabled": bool}
+    assert tilejson.settings({"RangeReader-Provider": "s3", "storage_block_size": "64", "storage.caching.enabled": "TRUE"}, known, names.OLD_KEYS) == {"storage.provider": "s3", "storage.block.size": 64, "storage.caching.enabled": True}
+    for wrong in ({"nope": 1}, {"storage.block.size": "x"}, {"storage.caching.enabled": "maybe"}):
+        with pytest.raises(ValueError):
+            tilejson.settings(wrong, known, {})
+
+
+def test_images(spark):
+    from tilewright.sources import raster
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (512).to_bytes(4, "big") + (256).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x10\x00\x20" + b"\0" * 9
+    webp = b"RIFF\0\0\0\0WEBPVP8X\0\0\0\0\0\0\0\0" + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
+    df = spark.createDataFrame([(bytearray(b),) for b in (png, jpeg, webp, png[:15], b"text")] + [(None,)], "b binary")
+    assert [tuple(r[0]) for r in df.select(raster.image_of("b")).collect()] == [("png", 512, 256), ("jpeg", 32, 16), ("webp", 100, 50)] + [(None,) * 3] * 3
+    with pytest.raises(Exception, match="no image"):
+        df.where("b = cast('text' AS binary)").select(raster.checked("b").alias("i")).collect()
