@@ -231,3 +231,19 @@ def test_hot_key_is_spread(spark):
     t = time.time()
     assert sum(r["n_features"] for r in heavy_tiles.features_per_tile(df).collect()) > 1000
     assert time.time() - t < 60
+
+
+def test_lease_sees_what_came_between(spark, monkeypatch):
+    led = ledger.Ledger(spark, scratch_path(spark, "ledger"), ["k"])
+    led.add(spark.createDataFrame([("a",)], "k string"), "first")
+    real, other = ledger.create_once, []
+
+    def late(s, path, text):
+        if '"run": "slow"' in text and not other:
+            other.append(ledger.Ledger(spark, led.root, ["k"]))
+            monkeypatch.setattr(ledger, "create_once", real)
+            other[0].lease("fast", now=0, seconds=100)
+        return real(s, path, text)
+
+    monkeypatch.setattr(ledger, "create_once", late)
+    assert led.leased(led.lease("slow", now=0, seconds=100)).count() == 0

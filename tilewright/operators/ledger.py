@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilewright.sources.files import create_once, list_names, read_text, write_text
+from tilewright.sources.files import create_once, list_names, read_text
 
 #: Runs are rows of an operation log; more than this many and the join is left to the optimizer instead of broadcast.
 BROADCAST_RUNS = 200_000
@@ -143,14 +143,14 @@ class Ledger:
 
     def lease(self, run: str, now: float, seconds: float) -> int:
         """Leases all that is pending or whose lease ran out; gives the fencing token."""
-        number = len(list_names(self.spark, f"{self.root}/log"))
-        path = f"leases/{run}-{number:09d}"
-        self.state(now).where(F.col("state") == "pending").select(*self.keys).write.mode("overwrite").parquet(f"{self.root}/{path}")
-        taken = self._record({"kind": "lease", "run": run, "until": now + seconds, "path": path})
-        if taken != number:  # another writer came between: what it leased isn't pending; this lease is void
-            write_text(self.spark, f"{self.root}/log/{taken:09d}", json.dumps({"kind": "void", "seq": taken, "path": path}))
-            return self.lease(run, now, seconds)
-        return taken
+        while True:
+            number = len(list_names(self.spark, f"{self.root}/log"))
+            path = f"leases/{run}-{number:09d}"
+            self.state(now).where(F.col("state") == "pending").select(*self.keys).write.mode("overwrite").parquet(f"{self.root}/{path}")
+            entry = {"kind": "lease", "run": run, "until": now + seconds, "path": path, "seq": number}
+            if create_once(self.spark, f"{self.root}/log/{number:09d}", json.dumps(entry)):
+                return number
+            # another writer's event came between: look again at what is pending
 
     def leased(self, token: int) -> DataFrame:
         entry = next(e for e in self._log() if e["seq"] == token)
