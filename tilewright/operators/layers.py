@@ -50,3 +50,18 @@ def auto_ids(rows: DataFrame, by: Sequence[str], position: str, given: str) -> D
     """Adds feature_no: the explicit id, else the running number in the tile, which also advances over explicit ids."""
     running = F.row_number().over(Window.partitionBy(*by).orderBy(position)) - 1
     return rows.withColumn("feature_no", F.coalesce(F.col(given), running.cast("long")))
+
+
+def requested_layers(features: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """by, layer, wish: the distinct layers of each group that were asked for, with their place in the request; unknown
+    names are skipped."""
+    spark = features.sparkSession
+    wishes = spark.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(names))], "layer string, wish int")
+    return features.select(*by, "layer").distinct().join(F.broadcast(wishes), "layer").select(*by, "layer", "wish")
+
+
+def collection_members(df: DataFrame, key: str, members: str, start_id: str) -> DataFrame:
+    """One row per member of an array, with the other columns and an id of its own that goes on from ``start_id``."""
+    others = [c for c in df.columns if c != members]
+    rows = df.select(*others, F.posexplode(members).alias("member_no", "member"))
+    return rows.withColumn("member_id", F.col(start_id) + F.col("member_no"))

@@ -146,3 +146,19 @@ def write_xml(matrices: DataFrame) -> str:
         for tag, v in (("Identifier", r["id"]), ("ScaleDenominator", r["scale_denominator"]), ("TopLeftCorner", f"{r['origin_x']!r} {r['origin_y']!r}"), ("TileWidth", r["tile_width"]), ("TileHeight", r["tile_height"]), ("MatrixWidth", r["matrix_width"]), ("MatrixHeight", r["matrix_height"])):
             ET.SubElement(m, tag).text = str(v)
     return ET.tostring(root, encoding="unicode")
+
+
+def for_archives(headers: DataFrame, matrices: DataFrame, key: str) -> DataFrame:
+    """key, matrices' columns and the range of each level that an archive's zooms and box (degrees) leave.
+
+    Matrices (a set's few rows, in Web Mercator meters) are broadcast; archives without usable zooms give no level.
+    """
+    from tilewright.functions.mercator import to_meters
+
+    x0, y0 = to_meters(F.col("min_lon_e7") / 1e7, F.col("min_lat_e7") / 1e7)
+    x1, y1 = to_meters(F.col("max_lon_e7") / 1e7, F.col("max_lat_e7") / 1e7)
+    few = headers.select(key, "min_zoom", "max_zoom", x0.alias("bx0"), y0.alias("by0"), x1.alias("bx1"), y1.alias("by1"))
+    met = few.join(F.broadcast(matrices), F.col("z").between(F.col("min_zoom"), F.col("max_zoom")))
+    edges = grids.box_range(F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"), F.col("origin_x"), F.col("origin_y"), F.col("resolution") * F.col("tile_width"), F.col("matrix_width"), F.col("matrix_height"))
+    out = met.select(key, *matrices.columns, *[e.alias(n) for n, e in zip(("minx", "miny", "maxx", "maxy"), edges)])
+    return out.where("minx IS NOT NULL")

@@ -71,3 +71,18 @@ def flipped(ranges: DataFrame, height: Column | None = None) -> DataFrame:
     """Counted from the other side; ``height`` rows if the matrix isn't 2^z high."""
     top = (height if height is not None else tiles.span(F.col("z"))) - 1
     return ranges.withColumns({"miny": top - F.col("maxy"), "maxy": top - F.col("miny")})
+
+
+def range_relations(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
+    """a_key, b_key, z, contains, intersects for ranges of one zoom; ``b`` is meant to be the few ranges of a query."""
+    few = b.select(F.col(b_key), "z", *[F.col(c).alias(f"o_{c}") for c in BOUNDS])
+    inside = (F.col("o_minx") >= F.col("minx")) & (F.col("o_maxx") <= F.col("maxx")) & (F.col("o_miny") >= F.col("miny")) & (F.col("o_maxy") <= F.col("maxy"))
+    meet = (F.col("minx") <= F.col("o_maxx")) & (F.col("o_minx") <= F.col("maxx")) & (F.col("miny") <= F.col("o_maxy")) & (F.col("o_miny") <= F.col("maxy"))
+    return a.join(few, "z").select(a_key, b_key, "z", inside.alias("contains"), meet.alias("intersects"))
+
+
+def inside_pyramid(tiles_df: DataFrame, pyramid: DataFrame) -> DataFrame:
+    """The tiles (z, x, y) inside any range of the pyramid: a semi-join on zoom, so a tile comes once."""
+    few = pyramid.select(F.col("z").alias("pz"), *BOUNDS)
+    inside = tiles.in_range(F.col("z"), F.col("x"), F.col("y"), F.col("pz"), *map(F.col, BOUNDS))
+    return tiles_df.join(few, inside, "left_semi")

@@ -1,8 +1,8 @@
 """All queries of the core, with the SQL that gives the same rows."""
 
-from tilewright.queries import archives, grid, upkeep
+from tilewright.queries import archives, grid, more, upkeep
 
-MODULES = [upkeep, grid, archives]
+MODULES = [upkeep, grid, archives, more]
 
 
 def queries():
