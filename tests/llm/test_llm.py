@@ -280,3 +280,13 @@ def test_redact(spark):
     m = re.fullmatch(r"Call \[PHONE:\(415\) \d{3}-\d{4}\], \[PERSON_NAME:(\w+ \w+)\]!\n\[PERSON_NAME:(\w+ \w+)\]", one)
     assert m and m[1] == m[2] != "Verrin Stone" and Counter(r["text"] for r in got) == {one: 2, None: 1, "nothing": 1}
     assert redact.redact(df, lex, b"k", style="type").where("doc_id = 1").first()["text"] == "Call [PHONE], [PERSON_NAME]!\n[PERSON_NAME]"
+
+
+def test_clashing_replacements_are_parted(spark):
+    """Two originals that come to the same replacement: one of them moves to the next attempt."""
+    names, key = pii.Names.of([]), b"k"
+    found = spark.createDataFrame([("email", f"u{i}@host.example") for i in range(20)] + [("phone", "(415) 555-0163")], "pii_type string, pii_value string")
+    assert redact.entities(found, key, names).count() == 21 and redact.collision_attempts(found, key, names) == {}
+    core = "u1@host.example"
+    first, second = (surrogates.Surrogates(key, attempts=a).replace("email", core) for a in ({}, {("email", core): 1}))
+    assert first != second and first.endswith(".example") and second.endswith(".example")

@@ -112,12 +112,14 @@ def collision_attempts(found: DataFrame, key: bytes, names: pii.Names, rounds: i
     for _ in range(rounds):
         table = entities(found, key, names, attempts)
         clashes = table.groupBy("pii_type", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("first")).where("n > 1")
-        moved = table.join(clashes, ["pii_type", "surrogate"]).where((F.col("entity") != F.col("first")) & F.col("pii_type").isin("email", "address")).select("pii_type", "entity").limit(MOST_PARTS).collect()
+        moved = table.join(clashes, ["pii_type", "surrogate"]).where((F.col("entity") != F.col("first")) & F.col("pii_type").isin("email", "address")).select("pii_type", "entity").limit(MOST_PARTS + 1).collect()
         if not moved:
-            break
+            return attempts
+        if len(moved) > MOST_PARTS:
+            raise ValueError(f"more than {MOST_PARTS} replacements clash")
         for r in moved:
             attempts[r["pii_type"], r["entity"]] = attempts.get((r["pii_type"], r["entity"]), 0) + 1
-    return attempts
+    raise ValueError(f"replacements still clash after {rounds} rounds")
 
 
 def redact(docs: DataFrame, lexicon: DataFrame, key: bytes, style: str = "typed", check: bool = True) -> DataFrame:
