@@ -36,7 +36,7 @@ def tiles_at_zoom(entries: DataFrame, zoom: int, keep: Sequence[str] = ()) -> Da
 def lookup(keys: DataFrame, entries: DataFrame, by: Sequence[str] = ("archive_id",), key: str = "tile_id") -> DataFrame:
     """Rows of ``keys`` with the entry that addresses them: the greatest tile_id <= key whose run reaches it; null else.
 
-    A sort-free as-of in blocks of ids: a hot archive is spread over as many tasks as it has blocks.
+    An as-of in blocks of ids: a hot archive is spread over as many tasks as it has blocks.
     """
     own = entries.where(F.col("run_length") > 0).select(*by, F.col("tile_id").alias("entry_id"), "tile_offset", "length_bytes", "run_length")
     found = asof(keys, own, list(by), key, "entry_id", BLOCK_IDS)
