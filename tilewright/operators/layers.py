@@ -35,7 +35,9 @@ def attributes(features: DataFrame, layers: DataFrame, key: str = "tile_layer_id
     n = F.floor(F.size("tags") / 2).cast("int")
     pair = lambda i: F.struct(F.get("layer_keys", F.get("tags", i * 2)).alias("k"), F.get("__values", F.get("tags", i * 2 + 1)).alias("v"))
     pairs = F.filter(F.transform(F.sequence(F.lit(0), n - 1), pair), lambda p: p["k"].isNotNull() & p["v"].isNotNull())
-    last = F.aggregate(F.coalesce(F.when(n > 0, pairs), F.array().cast("array<struct<k:string,v:string>>")), F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.map_from_arrays(F.array(p["k"]), F.array(p["v"]))))
+    held = F.coalesce(F.when(n > 0, pairs), F.array().cast("array<struct<k:string,v:string>>"))
+    keys = F.array_distinct(F.transform(held, lambda p: p["k"]))
+    last = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(held, lambda p: p["k"] == k), -1)["v"]))
     joined = features.join(dims, features[key] == F.col("__layer"), "left")
     return joined.select(*[features[c] for c in features.columns], last.alias("attributes"))
 
