@@ -86,3 +86,55 @@ def inside_pyramid(tiles_df: DataFrame, pyramid: DataFrame) -> DataFrame:
     few = pyramid.select(F.col("z").alias("pz"), *BOUNDS)
     inside = tiles.in_range(F.col("z"), F.col("x"), F.col("y"), F.col("pz"), *map(F.col, BOUNDS))
     return tiles_df.join(few, inside, "left_semi")
+
+
+# ---- the same on rows of tiles: (z, y, minx, maxx), so that a range of any width is one record per row of tiles
+
+
+def rows(ranges: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """keep, z, y, minx, maxx: every row of tiles of every range."""
+    valid = ranges.where((F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy")))
+    return valid.select(*keep, "z", F.explode(F.sequence("miny", "maxy")).alias("y"), "minx", "maxx")
+
+
+def _sweep(a: DataFrame, b: DataFrame | None, by: Sequence[str]) -> DataFrame:
+    """by, minx, maxx: the longest runs inside rows of ``a`` and outside all rows of ``b``. Rows begin and end as counts
+    of +1 and -1, summed along the row, so a group holds as many records as ranges meet that row of tiles."""
+    edges = lambda df, x, n, m: df.select(*by, x.alias("x"), F.lit(n).alias("a"), F.lit(m).alias("b"))
+    marks = edges(a, F.col("minx"), 1, 0).unionByName(edges(a, F.col("maxx") + 1, -1, 0))
+    if b is not None:
+        marks = marks.unionByName(edges(b, F.col("minx"), 0, 1)).unionByName(edges(b, F.col("maxx") + 1, 0, -1))
+    order = Window.partitionBy(*by).orderBy("x")
+    at = marks.groupBy(*by, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    depth = at.select(*by, "x", F.lead("x").over(order).alias("next"), F.sum("a").over(order).alias("in_a"), F.sum("b").over(order).alias("in_b"))
+    pieces = depth.where("in_a > 0 AND in_b = 0").select(*by, F.col("x").alias("minx"), (F.col("next") - 1).alias("maxx"))
+    begins = (F.col("minx") > F.lag("maxx").over(Window.partitionBy(*by).orderBy("minx")) + 1).cast("int")
+    runs = pieces.withColumn("first", F.coalesce(begins, F.lit(1)))
+    runs = runs.withColumn("run", F.sum("first").over(Window.partitionBy(*by).orderBy("minx")))
+    return runs.groupBy(*by, "run").agg(F.min("minx").alias("minx"), F.max("maxx").alias("maxx")).drop("run")
+
+
+def union_rows(ranges: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """keep, z, y, minx, maxx: the tiles of all ranges, each in one run; runs that touch are one."""
+    return _sweep(rows(ranges, keep), None, [*keep, "z", "y"])
+
+
+def subtract_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """z, y, minx, maxx: runs of the tiles of ``a`` outside all ranges of ``b``."""
+    return _sweep(rows(a), rows(b), ["z", "y"])
+
+
+def covered_by_rows(ranges: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """key, covered: as covered_ranges. A run of the range is covered if one run of the united parts holds it."""
+    have = union_rows(parts).select("z", "y", F.col("minx").alias("h_minx"), F.col("maxx").alias("h_maxx"))
+    inside = (F.col("h_minx") <= F.col("minx")) & (F.col("h_maxx") >= F.col("maxx"))
+    want = union_rows(ranges, [key]).join(have, ["z", "y"], "left")
+    runs = want.groupBy(key, "z", "y", "minx").agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("held"))
+    return runs.groupBy(key).agg(F.bool_and("held").alias("covered"))
+
+
+def neighbours_of_rows(runs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Runs with the tile before the first and the one after the last, x fastest; inside a run they are x - 1 and x + 1."""
+    order = Window.partitionBy(*by).orderBy("y", "minx")
+    first, last = F.struct(F.col("minx").alias("x"), "y"), F.struct(F.col("maxx").alias("x"), "y")
+    return runs.select(*by, "y", "minx", "maxx", F.lag(last).over(order).alias("before"), F.lead(first).over(order).alias("after"))

@@ -1,8 +1,8 @@
 """All queries of the core, with the SQL that gives the same rows."""
 
-from tilewright.queries import archives, grid, more, upkeep
+from tilewright.queries import archives, grid, more, upkeep, whole
 
-MODULES = [upkeep, grid, archives, more]
+MODULES = [upkeep, grid, archives, more, whole]
 
 
 def queries():

@@ -10,13 +10,13 @@ from tilewright.queries.grid import HW, LEVELS, PTS, R, RANGES, TILES, _ranges,
 from tilewright.session import table
 
 
-def range_relations(spark, d):
-    r = _ranges(spark, d)
+def range_relations(spark, d, ranges_of=_ranges):
+    r = ranges_of(spark, d)
     return ranges.range_relations(r.withColumnRenamed("layer", "a_layer"), r.withColumnRenamed("layer", "b_layer"), "a_layer", "b_layer")
 
 
-def tiles_in_pyramid(spark, d):
-    return ranges.inside_pyramid(_tiles(spark, d), _ranges(spark, d))
+def tiles_in_pyramid(spark, d, ranges_of=_ranges):
+    return ranges.inside_pyramid(_tiles(spark, d), ranges_of(spark, d))
 
 
 def archive_levels(spark, d):

@@ -1,0 +1,87 @@
+"""Queries over whole tables, beside those of the same name without ``_whole``, whose SQL takes a sample."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from tilewright.functions import tiles
+from tilewright.operators import ranges
+from tilewright.queries import grid, more
+from tilewright.session import table
+
+
+def _ranges(spark, d):
+    """The range of each layer and zoom of the features, of all zooms and whole."""
+    f = table(spark, d, "tile_features").where(tiles.is_valid(*map(F.col, "zxy")))
+    return f.groupBy("layer", "z").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+
+
+RANGES = """SELECT layer, z, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy
+  FROM tile_features WHERE z BETWEEN 0 AND 62 AND x >= 0 AND y >= 0 AND x < (1::BIGINT << z) AND y < (1::BIGINT << z) GROUP BY layer, z"""
+
+
+def range_tiles(spark, d):
+    """Tiles of all ranges as rows of tiles: there are thousands of millions at the lowest levels."""
+    return ranges.rows(_ranges(spark, d), ["layer"])
+
+
+def range_union(spark, d):
+    return ranges.union_rows(_ranges(spark, d))
+
+
+def range_subtract(spark, d):
+    r = _ranges(spark, d)
+    return ranges.subtract_rows(r.where("layer <> 'roads'"), r.where("layer = 'roads'"))
+
+
+def range_covered(spark, d):
+    r = _ranges(spark, d).withColumn("key", F.concat_ws("/", "layer", "z"))
+    return ranges.covered_by_rows(r.where("layer = 'water'"), r.where("layer <> 'water'"), "key")
+
+
+def next_and_previous_tile(spark, d):
+    """The tiles before and after each run of the union."""
+    n = ranges.neighbours_of_rows(ranges.union_rows(_ranges(spark, d)), ["z"])
+    return n.select("z", "y", "minx", "maxx", F.col("before.x").alias("px"), F.col("before.y").alias("py"), F.col("after.x").alias("nx"), F.col("after.y").alias("ny"))
+
+
+def next_in_closed_form(spark, d):
+    """The tiles before and after each row of each range."""
+    r = _ranges(spark, d)
+    c = ranges.rows(r, ["layer"]).join(r.select("layer", "z", "miny", "maxy"), ["layer", "z"])
+    n = tiles.next_in_range(F.col("maxx"), F.col("y"), F.col("minx"), F.col("maxx"), F.col("maxy"))
+    p = tiles.previous_in_range(F.col("minx"), F.col("y"), F.col("minx"), F.col("miny"), F.col("maxx"))
+    return c.select("layer", "z", "y", "minx", "maxx", n.alias("n"), p.alias("p")).select("layer", "z", "y", "minx", "maxx", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+
+
+ROWS = "SELECT layer, z, unnest(range(miny, maxy + 1)) AS y, minx, maxx FROM r"
+
+
+def UNITED(rows):
+    """Runs by the greatest end so far, another way than the operator's."""
+    w = "OVER (PARTITION BY z, y ORDER BY minx, maxx ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
+    return f"""SELECT z, y, min(minx) AS minx, max(maxx) AS maxx FROM (SELECT *, sum(begins) {w.format('CURRENT ROW')} AS run FROM (
+  SELECT *, CASE WHEN minx <= max(maxx) {w.format('1 PRECEDING')} + 1 THEN 0 ELSE 1 END AS begins FROM ({rows}))) GROUP BY z, y, run"""
+
+
+#: Arithmetic on ranges: the same query and SQL with other ranges.
+SAME = {n: m for m, names in ((grid, ("range_corners", "range_counts", "pyramid_levels", "range_intersection", "range_flip")), (more, ("range_relations", "tiles_in_pyramid"))) for n in names}
+QUERIES = {f"{n}_whole": partial(m.QUERIES[n], ranges_of=_ranges) for n, m in SAME.items()}
+QUERIES |= {f"{f.__name__}_whole": f for f in (range_tiles, range_union, range_subtract, range_covered, next_and_previous_tile, next_in_closed_form)}
+
+ORACLE = {f"{n}_whole": m.ORACLE[n].replace(grid.RANGES, RANGES) for n, m in SAME.items()}
+ORACLE |= {
+    "range_tiles_whole": f"WITH r AS ({RANGES}) {ROWS}",
+    "range_union_whole": f"WITH r AS ({RANGES}) {UNITED(ROWS)}",
+    "range_subtract_whole": f"""WITH r AS ({RANGES}), u AS ({UNITED(ROWS + " WHERE layer <> 'roads'")}), o AS (SELECT * FROM ({ROWS}) WHERE layer = 'roads'),
+j AS (SELECT u.*, o.minx AS a, o.maxx AS b FROM u LEFT JOIN o ON u.z = o.z AND u.y = o.y AND o.minx <= u.maxx AND o.maxx >= u.minx)
+SELECT z, y, minx, maxx FROM j WHERE a IS NULL UNION ALL SELECT z, y, minx, a - 1 FROM j WHERE minx < a UNION ALL SELECT z, y, b + 1, maxx FROM j WHERE maxx > b""",
+    "range_covered_whole": f"""WITH r AS ({RANGES}), u AS ({UNITED(ROWS + " WHERE layer <> 'water'")}), w AS (SELECT * FROM ({ROWS}) WHERE layer = 'water')
+SELECT w.layer || '/' || w.z AS key, count(*) = count(u.z) AS covered FROM w LEFT JOIN u ON w.z = u.z AND w.y = u.y AND u.minx <= w.minx AND u.maxx >= w.maxx GROUP BY 1""",
+    "next_and_previous_tile_whole": f"""WITH r AS ({RANGES}), u AS ({UNITED(ROWS)})
+SELECT z, y, minx, maxx, lag(maxx) OVER w AS px, lag(y) OVER w AS py, lead(minx) OVER w AS nx, lead(y) OVER w AS ny FROM u WINDOW w AS (PARTITION BY z ORDER BY y, minx)""",
+    "next_in_closed_form_whole": f"""WITH r AS ({RANGES}), c AS ({ROWS})
+SELECT layer, z, y, minx, maxx, lead(minx) OVER w AS nx, lead(y) OVER w AS ny, lag(maxx) OVER w AS px, lag(y) OVER w AS py FROM c WINDOW w AS (PARTITION BY layer, z ORDER BY y)""",
+}
