@@ -29,3 +29,12 @@ def test_rows_agree_with_tiles(spark):
     assert union.where("z = 5 AND y = 2").count() == 1  # runs that touch are one
     for few in (b, a.drop("k"), b.where("z = 6")):
         assert sorted(ranges.covered_by_rows(a, few, "k").collect()) == sorted(ranges.covered_ranges(a, few, "k").collect())
+
+
+def test_all_ids_go_through_an_archive(spark, tmp_path):
+    """Ids over 400,000 as well, of a run that crosses it and of a level far below."""
+    e = [(1, 5, 0, 10, 2), (1, 399_999, 10, 10, 3), (1, 406_500, 20, 10, 1), (2, 90_000_000, 0, 5, 1), (2, 5, 0, 5, 1)]
+    spark.createDataFrame(e, "archive_id long, tile_id long, tile_offset long, length_bytes int, run_length int").write.parquet(f"{tmp_path}/tile_entries.parquet")
+    back = {r["tile_id"]: r for r in entry.queries()["archive_roundtrip_whole"](spark, str(tmp_path)).collect()}
+    assert sorted(back) == [5, 6, 399_999, 400_000, 400_001, 406_500, 90_000_000]
+    assert all(r["content"] == f"tile {t // 3}" for t, r in back.items()) and back[90_000_000]["z"] == 14

@@ -72,9 +72,12 @@ def directory_decode(spark, d):
     return directory.decode_offsets(ids, ["archive_id"]).select("archive_id", "tile_id", "tile_offset", "length_bytes", "run_length")
 
 
-def archive_roundtrip(spark, d):
-    """Tiles of all archives' ids, written as one archive with leaf directories and read back through the data source."""
-    ids = directory.expand_runs(_clean(spark, d).where("tile_id < 400000")).distinct()
+def archive_roundtrip(spark, d, entries="tile_id < 400000"):
+    """Tiles of all archives' ids, written as one archive with leaf directories and read back through the data source.
+
+    A sample: entries of ids under 400,000. archive_roundtrip_whole takes all.
+    """
+    ids = directory.expand_runs(_clean(spark, d).where(entries)).distinct()
     made = ids.select("tile_id", F.encode(F.concat(F.lit("tile "), F.floor(F.col("tile_id") / 3).cast("string")), "UTF-8").alias("payload"))
     path = scratch_path(spark, "archive")
     os.makedirs(path.removeprefix("file://"), exist_ok=True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import tiles
 from tilewright.operators import ranges
-from tilewright.queries import grid, more
+from tilewright.queries import archives, grid, more
 from tilewright.session import table
 
 
@@ -85,3 +85,6 @@ SELECT z, y, minx, maxx, lag(maxx) OVER w AS px, lag(y) OVER w AS py, lead(minx)
     "next_in_closed_form_whole": f"""WITH r AS ({RANGES}), c AS ({ROWS})
 SELECT layer, z, y, minx, maxx, lead(minx) OVER w AS nx, lead(y) OVER w AS ny, lag(maxx) OVER w AS px, lag(y) OVER w AS py FROM c WINDOW w AS (PARTITION BY layer, z ORDER BY y)""",
 }
+
+QUERIES["archive_roundtrip_whole"] = partial(archives.archive_roundtrip, entries="true")
+ORACLE["archive_roundtrip_whole"] = archives.ORACLE["archive_roundtrip"].replace(" WHERE tile_id < 400000", "")
