@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tilewright.operators import ranges
+from tilewright.functions import geometry
+from tilewright.operators import matrixsets, ranges
+from tilewright.plans.features import FeatureQuery, plan
 
 
 def test_ranges_are_whole(spark, small):
@@ -38,3 +40,19 @@ def test_all_ids_go_through_an_archive(spark, tmp_path):
     back = {r["tile_id"]: r for r in entry.queries()["archive_roundtrip_whole"](spark, str(tmp_path)).collect()}
     assert sorted(back) == [5, 6, 399_999, 400_000, 400_001, 406_500, 90_000_000]
     assert all(r["content"] == f"tile {t // 3}" for t, r in back.items()) and back[90_000_000]["z"] == 14
+
+
+def test_all_kinds_are_decoded_in_the_plan(spark):
+    """Lines, polygons and features without a type have parts, at every zoom, in pixels and in meters."""
+    line, ring = geometry.encode("LINESTRING", [[(0, 0), (4096, 0)], [(5, 5), (6, 9)]]), geometry.encode("POLYGON", [[(0, 0), (8, 0), (8, 8), (0, 8)]])
+    rows = [(1, 0, 0, "TOP_LEFT", 1, "a", 4096, 1, "LINESTRING", [], line), (2, 0, 0, "TOP_LEFT", 1, "a", 4096, 2, None, [], ring), (9, 7, 7, "BOTTOM_LEFT", 1, "a", 4096, 3, None, [], [9, 4, 6]), (2, 0, 0, None, 1, "a", 4096, 4, "POINT", [], None)]
+    f = spark.createDataFrame(rows, "z int, x long, y long, origin string, tile_layer_id long, layer string, extent int, feature_id long, geom_type string, tags array<int>, commands array<int>")
+    values = "string_value string, float_value float, double_value double, int_value long, uint_value long, sint_value long, bool_value boolean"
+    dictionaries = spark.createDataFrame([], f"tile_layer_id long, layer_keys array<string>, layer_values array<struct<{', '.join(v.replace(' ', ':') for v in values.split(', '))}>>")
+    quad = matrixsets.default_sets(spark).where("set_id = 'WebMercatorQuad'")
+    got = {r["feature_id"]: (r["kind"], None if r["parts"] is None else [[tuple(p) for p in part] for part in r["parts"]]) for r in plan(FeatureQuery().at_all(), f, dictionaries, quad).collect()}
+    assert got == {1: ("LINESTRING", [[(0, 0), (4096, 0)], [(5, 5), (6, 9)]]), 2: ("POLYGON", [[(0, 0), (8, 0), (8, 8), (0, 8)]]), 3: ("POINT", [[(2, 3)]]), 4: (None, None)}
+    meters = plan(FeatureQuery().at(1).in_meters(), f, dictionaries, quad).first()["parts"]
+    assert abs(meters[0][0]["x"] + 20037508.34) < 1 and abs(meters[0][1]["x"]) < 1 and len(meters) == 2
+    half = plan(FeatureQuery().at_all().within((-2e7, 1e6, -1e6, 2e7)), f, dictionaries, quad)
+    assert sorted(r["feature_id"] for r in half.select("feature_id").collect()) == [1, 2, 4]

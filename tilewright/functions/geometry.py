@@ -57,6 +57,18 @@ def decode(commands: Sequence[int], kind: str) -> list[list[tuple[int, int]]]:
     return parts
 
 
+def kind_of(commands: Sequence[int], kind: str | None) -> str:
+    """The given kind; one that is missing or unknown is told from the commands: closed, drawn or only moved."""
+    if kind in KINDS.values():
+        return kind
+    i, ops = 0, set()
+    while i < len(commands):
+        op = commands[i] & 7
+        ops.add(op)
+        i += 1 if op == CLOSE else 1 + 2 * (commands[i] >> 3)
+    return KINDS[3] if CLOSE in ops else KINDS[2] if LINE in ops else KINDS[1]
+
+
 def polygons(rings: Sequence[Ring]) -> list[list[Ring]]:
     """Rings as polygons: one that winds like the first begins a polygon, others are holes of the last."""
     out: list[list[Ring]] = []

@@ -17,6 +17,7 @@ from tilewright.functions.mercator import HALF_WORLD
 from tilewright.functions.tiles import is_valid, span, top_left_row
 from tilewright.operators import matrixsets, ranges
 from tilewright.operators.layers import attributes
+from tilewright.sources.mvt import geometry_parts
 
 Extent = tuple[float, float, float, float]
 
@@ -30,6 +31,7 @@ class FeatureQuery:
     layers: tuple[str, ...] | None = None
     where: Column | None = None
     to_crs: bool = False
+    all_zooms: bool = False
     then: tuple[Callable[[DataFrame], DataFrame], ...] = field(default=())
 
     def within(self, *extents: Extent) -> FeatureQuery:
@@ -39,6 +41,10 @@ class FeatureQuery:
     def at(self, zoom: int) -> FeatureQuery:
         return replace(self, zoom=zoom)
 
+    def at_all(self) -> FeatureQuery:
+        """Every zoom of the features."""
+        return replace(self, all_zooms=True)
+
     def near(self, resolution: float, strategy: str = "SPEED") -> FeatureQuery:
         return replace(self, resolution=resolution, strategy=strategy)
 
@@ -75,7 +81,7 @@ def choose_zoom(query: FeatureQuery, matrices: DataFrame, layer_zooms: DataFrame
 
 
 def tile_ranges(query: FeatureQuery, matrices: DataFrame, zoom: int | None) -> DataFrame:
-    level = matrices.where(F.col("z") == zoom)
+    level = matrices if query.all_zooms else matrices.where(F.col("z") == zoom)
     if not query.extents:
         return matrixsets.view(level).select("z", *ranges.BOUNDS)
     out = None
@@ -86,29 +92,36 @@ def tile_ranges(query: FeatureQuery, matrices: DataFrame, zoom: int | None) -> D
 
 
 def plan(query: FeatureQuery, features: DataFrame, dictionaries: DataFrame, matrices: DataFrame, layer_zooms: DataFrame | None = None) -> DataFrame:
-    """The features with top-left y, their attributes, and points (tile pixels, or meters if asked for).
+    """The features with top-left y, their attributes, and kind, parts and points (tile pixels, or meters if asked for).
+
+    Parts are those of any kind of geometry, as geometry.decode gives them; they are decoded in an Arrow pass, which is
+    left out where nothing asks for them. Points are null but for a stream of one MoveTo, and take no Python.
 
     A few ranges meet the features as a filter, so no tile is enumerated and the scan prunes by zoom and layer. A tile
     inside several extents is taken once.
     """
-    zoom = choose_zoom(query, matrices, layer_zooms)
+    zoom = None if query.all_zooms else choose_zoom(query, matrices, layer_zooms)
     z, x, y = F.col("z"), F.col("x"), F.col("y")
-    out = features.where((z == zoom) & is_valid(z, x, y)) if zoom is not None else features.limit(0)
+    level = F.lit(True) if query.all_zooms else z == zoom
+    out = features.where(level & is_valid(z, x, y)) if query.all_zooms or zoom is not None else features.limit(0)
     if query.layers is not None:
         out = out.where(F.col("layer").isin(*query.layers))
     out = out.withColumn("y", top_left_row(z, y, F.col("origin"))).drop("origin")
     if query.extents:
-        few = F.broadcast(tile_ranges(query, matrices, zoom).select(*ranges.BOUNDS))  # as many rows as extents were given
-        out = out.join(few, out["x"].between(few["minx"], few["maxx"]) & out["y"].between(few["miny"], few["maxy"]), "left_semi")
+        few = F.broadcast(tile_ranges(query, matrices, zoom).select(F.col("z").alias("range_z"), *ranges.BOUNDS))  # as many rows as extents and levels were given
+        out = out.join(few, (F.col("z") == F.col("range_z")) & out["x"].between(few["minx"], few["maxx"]) & out["y"].between(few["miny"], few["maxy"]), "left_semi")
     out = attributes(out, dictionaries)
     if query.where is not None:
         out = out.where(query.where)
-    points = geometry.points_of(F.col("commands"))
+    kind = F.col("geom_type") if "geom_type" in out.columns else F.lit(None).cast("string")
+    out = out.withColumn("geometry", geometry_parts(F.col("commands"), kind))
+    points, parts = geometry.points_of(F.col("commands")), F.col("geometry.parts")
     if query.to_crs:
         size = F.lit(2 * HALF_WORLD) / span(F.col("z"))
         left, top = F.col("x") * size - HALF_WORLD, F.lit(HALF_WORLD) - F.col("y") * size
-        points = F.transform(points, lambda p: F.struct((left + p["x"] * size / F.col("extent")).alias("x"), (top - p["y"] * size / F.col("extent")).alias("y")))
-    out = out.withColumn("points", points)
+        meters = lambda p: F.struct((left + p["x"] * size / F.col("extent")).alias("x"), (top - p["y"] * size / F.col("extent")).alias("y"))
+        points, parts = F.transform(points, meters), F.transform(parts, lambda part: F.transform(part, meters))
+    out = out.select(*[c for c in out.columns if c != "geometry"], F.col("geometry.kind").alias("kind"), parts.alias("parts"), points.alias("points"))
     for step in query.then:
         out = step(out)
     return out

@@ -147,7 +147,7 @@ def auto_ids(spark, d):
 
 
 def point_decode(spark, d):
-    """Points of the features' command streams, by built-in expressions."""
+    """Points of the features' command streams, by built-in expressions. All kinds of geometry are in geometry_decode."""
     f = table(spark, d, "tile_features").where("geom_type = 'POINT'").select("tile_layer_id", "feature_id", "commands").distinct()
     p = f.select("tile_layer_id", "feature_id", "commands", geometry.points_of(F.col("commands")).alias("p"))
     return p.groupBy("tile_layer_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get("p", F.lit(0))["x"]).alias("sum_x"), F.sum(F.get("p", F.lit(0))["y"]).alias("sum_y"), F.count_if(F.col("p").isNull()).alias("n_other"))
@@ -189,7 +189,7 @@ def ring_area(spark, d):
 
 
 def pixel_to_crs(spark, d):
-    """Points of features in Web Mercator meters."""
+    """First points of point features of zoom 9 in Web Mercator meters. pixel_to_crs_whole has all vertices of all features."""
     q = FeatureQuery().at(9).in_meters()
     f = plan(q, table(spark, d, "tile_features"), table(spark, d, "tile_layers"), matrixsets.default_sets(spark))
     p = F.get("points", F.lit(0))

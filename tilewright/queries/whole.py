@@ -7,9 +7,11 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from tilewright.functions import tiles
-from tilewright.operators import ranges
+from tilewright.operators import matrixsets, ranges
+from tilewright.plans.features import FeatureQuery, plan
 from tilewright.queries import archives, grid, more
 from tilewright.session import table
+from tilewright.sources.mvt import geometry_parts
 
 
 def _ranges(spark, d):
@@ -56,6 +58,23 @@ def next_in_closed_form(spark, d):
     return c.select("layer", "z", "y", "minx", "maxx", n.alias("n"), p.alias("p")).select("layer", "z", "y", "minx", "maxx", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
 
 
+def geometry_decode(spark, d):
+    """Geometries of all rows of features, of every kind: parts and vertices per layer of a tile, in tile pixels."""
+    f = table(spark, d, "tile_features").select("tile_layer_id", "feature_id", "geom_type", "commands").distinct()
+    g = f.select("tile_layer_id", geometry_parts("commands", "geom_type").alias("g")).select("tile_layer_id", "g.kind", "g.parts")
+    p = g.withColumn("p", F.flatten("parts"))
+    total = lambda c: F.sum(F.aggregate("p", F.lit(0).cast("long"), lambda s, q: s + q[c])).alias(f"sum_{c}")
+    return p.groupBy("tile_layer_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("parts")).alias("n_parts"), F.sum(F.size("p")).alias("n_vertices"), total("x"), total("y"))
+
+
+def pixel_to_crs(spark, d):
+    """All vertices of all features of all zooms in Web Mercator meters."""
+    f = plan(FeatureQuery().at_all().in_meters(), table(spark, d, "tile_features"), table(spark, d, "tile_layers"), matrixsets.default_sets(spark))
+    keep = ["z", "x", "y", "tile_layer_id", "feature_id", "kind"]
+    v = f.select(*keep, F.posexplode("parts").alias("part", "p")).select(*keep, "part", F.posexplode("p").alias("vertex", "q"))
+    return v.select(*keep, "part", "vertex", F.round("q.x", 2).alias("mx"), F.round("q.y", 2).alias("my")).distinct()
+
+
 ROWS = "SELECT layer, z, unnest(range(miny, maxy + 1)) AS y, minx, maxx FROM r"
 
 
@@ -88,3 +107,35 @@ SELECT layer, z, y, minx, maxx, lead(minx) OVER w AS nx, lead(y) OVER w AS ny, l
 
 QUERIES["archive_roundtrip_whole"] = partial(archives.archive_roundtrip, entries="true")
 ORACLE["archive_roundtrip_whole"] = archives.ORACLE["archive_roundtrip"].replace(" WHERE tile_id < 400000", "")
+
+QUERIES |= {"geometry_decode": geometry_decode, "pixel_to_crs_whole": pixel_to_crs}
+
+NUMBER = "(commands[i]::BIGINT & 4294967295)"
+STEP = f"(CASE WHEN {NUMBER} % 2 = 0 THEN {NUMBER} // 2 ELSE -(({NUMBER} + 1) // 2) END)"
+STEP_2 = STEP.replace("[i]", "[i + 1]")
+#: Vertices of command streams, one command or pair of numbers at a time; lines of one point and rings without area fall out.
+#: Streams that differ in kind are walked once.
+VERTICES = f"""s AS (SELECT DISTINCT commands FROM tile_features WHERE commands IS NOT NULL),
+w AS (SELECT commands, 1 AS i, 0 AS op, 0::BIGINT AS left_, 0::BIGINT AS px, 0::BIGINT AS py, 0 AS no, false AS point FROM s
+  UNION ALL
+  SELECT commands, i + CASE WHEN left_ = 0 THEN 1 ELSE 2 END, CASE WHEN left_ = 0 THEN commands[i] & 7 ELSE op END,
+         CASE WHEN left_ > 0 THEN left_ - 1 WHEN commands[i] & 7 = 7 THEN 0 ELSE {NUMBER} >> 3 END,
+         px + CASE WHEN left_ > 0 THEN {STEP} ELSE 0 END, py + CASE WHEN left_ > 0 THEN {STEP_2} ELSE 0 END, no + CASE WHEN left_ > 0 AND op = 1 THEN 1 ELSE 0 END, left_ > 0
+  FROM w WHERE i <= len(commands)),
+k AS (SELECT commands, CASE WHEN bool_or(op = 7) THEN 'POLYGON' WHEN bool_or(op = 2) THEN 'LINESTRING' ELSE 'POINT' END AS told FROM w GROUP BY 1),
+v AS (SELECT commands, no, px, py, row_number() OVER (PARTITION BY commands, no ORDER BY i) - 1 AS vertex FROM w WHERE point),
+a AS (SELECT commands, no, count(*) AS n, sum(px * ny - nx * py) AS area2 FROM (
+  SELECT *, coalesce(lead(px) OVER o, first(px) OVER o) AS nx, coalesce(lead(py) OVER o, first(py) OVER o) AS ny FROM v WINDOW o AS (PARTITION BY commands, no ORDER BY vertex)) GROUP BY 1, 2)"""
+KIND = "CASE WHEN geom_type IN ('POINT', 'LINESTRING', 'POLYGON') THEN geom_type ELSE told END"
+KEPT = "CASE kind WHEN 'LINESTRING' THEN a.n > 1 WHEN 'POLYGON' THEN a.n > 2 AND area2 <> 0 ELSE true END"
+ORACLE["geometry_decode"] = f"""WITH RECURSIVE {VERTICES},
+f AS (SELECT d.*, {KIND} AS kind FROM (SELECT DISTINCT tile_layer_id, feature_id, geom_type, commands FROM tile_features) d LEFT JOIN k USING (commands)),
+t AS (SELECT commands, no, count(*) AS n, sum(px) AS sx, sum(py) AS sy FROM v GROUP BY 1, 2),
+p AS (SELECT t.*, a.area2 FROM t JOIN a USING (commands, no))
+SELECT tile_layer_id, kind, count(DISTINCT id) AS n, count(a.n) AS n_parts, sum(a.n)::BIGINT AS n_vertices, sum(sx)::BIGINT AS sum_x, sum(sy)::BIGINT AS sum_y
+FROM (SELECT *, row_number() OVER () AS id FROM f) g LEFT JOIN p a ON g.commands = a.commands AND {KEPT} GROUP BY 1, 2"""
+ORACLE["pixel_to_crs_whole"] = f"""WITH RECURSIVE {VERTICES},
+f AS (SELECT DISTINCT z, x, {archives.TOP} AS y, extent, tile_layer_id, feature_id, commands, {KIND} AS kind, 2 * {grid.HW} / (1::BIGINT << z) AS s FROM tile_features JOIN k USING (commands) WHERE {archives.VALID_ROWS}),
+r AS (SELECT commands, kind, no, row_number() OVER (PARTITION BY commands, kind ORDER BY no) - 1 AS part FROM (SELECT DISTINCT commands, kind FROM f) JOIN a USING (commands) WHERE {KEPT})
+SELECT DISTINCT z, x, y, tile_layer_id, feature_id, kind, part, vertex, round(x * s - {grid.HW} + px * s / extent, 2) AS mx, round({grid.HW} - y * s - py * s / extent, 2) AS my
+FROM f JOIN r USING (commands, kind) JOIN v USING (commands, no)"""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.functions.geometry import KINDS, decode as decode_commands, wkt
+from tilewright.functions.geometry import KINDS, decode as decode_commands, kind_of, wkt
 from tilewright.sources.wire import field, fields, packed
 
 FEATURES = "layer string, extent int, mvt_version int, feature_id long, geom_type string, tags array<int>, commands array<int>, attributes map<string,string>"
@@ -168,3 +168,21 @@ def encode(features: DataFrame, by: Sequence[str] = ("z", "x", "y"), order: str
 def geometry_text(commands: pd.Series, kind: pd.Series) -> pd.Series:
     """Well-known text of command streams; null where there is no geometry type."""
     return pd.Series([None if c is None or k is None else wkt(k, decode_commands([int(n) & 0xFFFFFFFF for n in c], k)) for c, k in zip(commands, kind)])
+
+
+_VERTEX = T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())])
+GEOMETRY = T.StructType([T.StructField("kind", T.StringType()), T.StructField("parts", T.ArrayType(T.ArrayType(_VERTEX)))])
+
+
+@F.arrow_udf(GEOMETRY)
+def geometry_parts(commands: pa.Array, kind: pa.Array) -> pa.Array:
+    """Kind and parts of command streams of any kind; a missing kind is told from the stream. Null streams give null,
+    broken ones raise."""
+    kinds, parts = [], []
+    for c, k in zip(commands.to_pylist(), kind.to_pylist()):
+        c = None if c is None else [n & 0xFFFFFFFF for n in c]
+        kinds.append(None if c is None else kind_of(c, k))
+        parts.append(None if c is None else [[{"x": x, "y": y} for x, y in p] for p in decode_commands(c, kinds[-1])])
+    types = pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
+    nulls = pa.array([p is None for p in parts], pa.bool_())
+    return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(parts, types)], names=["kind", "parts"], mask=nulls)
