@@ -56,3 +56,12 @@ def test_all_kinds_are_decoded_in_the_plan(spark):
     assert abs(meters[0][0]["x"] + 20037508.34) < 1 and abs(meters[0][1]["x"]) < 1 and len(meters) == 2
     half = plan(FeatureQuery().at_all().within((-2e7, 1e6, -1e6, 2e7)), f, dictionaries, quad)
     assert sorted(r["feature_id"] for r in half.select("feature_id").collect()) == [1, 2, 4]
+
+
+def test_gates_let_all_spellings_through():
+    from tilewright.llm import pii
+
+    for label in ("numéro de sécurité sociale: 1234567", "Fuhrerschein: 1234567", "national\nid: 1234567", "id  card: 1234567"):
+        assert [label[a:b] for a, b in pii.id_numbers(label, label.lower())] == ["1234567"], label
+    for text in ("anna ( at ) host (dot) org", "anna [ at ] host.org", "anna (arroba) host.org"):
+        assert [text[a:b] for a, b in pii.emails(text, text.lower())] == [text], text

@@ -47,10 +47,12 @@ _EMAIL = re.compile(
     rf"(?<![\w.%+-]){_LOCAL}(?:@| @ |\s?[\[(]\s?(?:at|@|arroba)\s?[\])]\s?){_LABEL}(?:{_DOT}{_LABEL})*?{_DOT}[A-Za-z]{{2,}}(?:{_DOT}[A-Za-z]{{2,}})*(?![\w@-])", re.I
 )
 _SPELLED = re.compile(rf"(?<![\w.%+-]){_LOCAL} (?:at|arroba) {_LABEL}(?: (?:dot|punkt|point|punto) {_LABEL})* (?:dot|punkt|point|punto) (?:{'|'.join(SPELLED_TLDS)})\b(?: (?:dot|punkt|point|punto) (?:{'|'.join(SPELLED_TLDS)})\b)*", re.I)
+#: What any match of _EMAIL without an @ holds.
+_AT = re.compile(r"[\[(]\s?(?:at|arroba)\s?[\])]")
 
 
 def emails(text: str, low: str) -> Iterator[tuple[int, int]]:
-    if "@" in text or "at)" in low or "at]" in low or "arroba" in low:
+    if "@" in text or _AT.search(low):
         for m in _EMAIL.finditer(text):
             yield m.span()
     if " at " in low or " arroba " in low:
@@ -105,7 +107,8 @@ _ID_VALUE = (
     r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]-?\d{6,9}(?:-?[A-Z])?|\d{7,9}-?[A-Z]|\d{3}-\d{2}-\d{4}|\d{6}-\d{4}|\d{2}(?: \d{3}){3}|\d{3}(?: \d{3}){2}|[A-Z]{1,3}\d{5,10}[A-Z]?|\d{6,14}"
 )
 _ID = re.compile(rf"(?i:(?<!\w)(?:{_LABELS}){_FILL}(?:\s*[:=#]\s*|\s+))((?:{_ID_VALUE}))(?![\w])(?!-\d)")
-_ID_WORDS = ("pass", "pasap", "ident", "licen", "insur", "secur", "tax", "ausweis", "führer", "steuer", "versicher", "fiscal", "permis", "national id", "id card", "dni", "nie", "nif", "ssn", "nino", "seguridad")
+#: One of these is in every label, however it is spaced or accented.
+_ID_WORDS = ("pass", "pasap", "ident", "licen", "insur", "secur", "num", "tax", "ausweis", "führer", "fuhrer", "steuer", "versicher", "fiscal", "permis", "national", "card", "dni", "nie", "nif", "ssn", "nino", "seguridad", "health")
 
 
 def id_numbers(text: str, low: str) -> Iterator[tuple[int, int]]:
