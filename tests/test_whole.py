@@ -65,3 +65,19 @@ def test_gates_let_all_spellings_through():
         assert [label[a:b] for a, b in pii.id_numbers(label, label.lower())] == ["1234567"], label
     for text in ("anna ( at ) host (dot) org", "anna [ at ] host.org", "anna (arroba) host.org"):
         assert [text[a:b] for a, b in pii.emails(text, text.lower())] == [text], text
+
+
+def test_partners_are_counted_exactly(spark):
+    """Two partners of a word count as two, also those that a bitmap of 64 slots held for one."""
+    import hashlib
+    from itertools import combinations
+
+    from tilewright.llm import pii, redact
+
+    given = ["Anna", "Bruno", "Clara", "David", "Elena", "Felix", "Greta", "Hugo", "Irene", "Jonas", "Karla", "Lukas", "Maria", "Nora", "Oskar", "Paula", "Quentin", "Rosa", "Simon", "Tilda", "Ulrich", "Vera", "Walter", "Xenia"]
+    slot = lambda w: int.from_bytes(hashlib.blake2b(pii.plain_form(w).encode(), digest_size=8).digest(), "big") % 64
+    a, b = next((a, b) for a, b in combinations(given, 2) if slot(a) == slot(b))
+    docs = spark.createDataFrame([(f"We met {n} Quastner there.",) for n in (a, b)], "text string").repartition(2)
+    parts = [(g, pii.GIVEN) for g in given]
+    assert [w for w, _ in redact.learned_parts(docs, parts)] == [pii.plain_form("Quastner")]
+    assert redact.learned_parts(docs.where(F.col("text").contains(a)), parts) == []

@@ -18,6 +18,8 @@ from tilewright.llm.surrogates import Surrogates, canonical, name_parts
 
 #: Parts of names sent to the executors at most; a larger lexicon raises instead of being cut.
 MOST_PARTS = 300_000
+#: Partners of a word that pii.enough asks about at most.
+PARTNERS = 4
 
 
 def lexicon_parts(lexicon: DataFrame) -> list[tuple[str, int]]:
@@ -32,7 +34,8 @@ def lexicon_parts(lexicon: DataFrame) -> list[tuple[str, int]]:
 def learned_parts(docs: DataFrame, parts: list[tuple[str, int]], text: str = "text") -> list[tuple[str, int]]:
     """Parts of names that the lexicon lacks, by pii.enough over all documents.
 
-    Partners are counted in a bitmap of 64 slots, so a word's state is of one size however common it is.
+    Of a word's partners each batch passes on the PARTNERS with the least hashes, as many as pii.enough asks about, so
+    the numbers it asks about are exact (but for equal 64-bit hashes) and no state grows with how common a word is.
     """
     known = pii.Names.of(parts)
     if not parts:
@@ -40,24 +43,20 @@ def learned_parts(docs: DataFrame, parts: list[tuple[str, int]], text: str = "te
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, int], list[int]] = {}
+            counts: dict[tuple[str, int], int] = {}
+            partners: dict[tuple[str, int], set[int]] = {}
             for (word, role, partner), n in pii.name_evidence(batch.column(0).to_pylist(), known).items():
-                state = found.setdefault((word, role), [0, 0])
-                state[0] += n
+                counts[word, role] = counts.get((word, role), 0) + n
                 if role:
-                    slot = int.from_bytes(hashlib.blake2b(partner.encode(), digest_size=8).digest(), "big") % 64
-                    state[1] |= 1 << slot
-            keys, states = list(found), list(found.values())
-            bits = [s[1] - (1 << 64) if s[1] >> 63 else s[1] for s in states]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([s[0] for s in states], pa.int64()), pa.array(bits, pa.int64())],
-                names=["word", "role", "n", "partners"],
-            )
-
-    rows = docs.select(text).where(F.col(text).isNotNull()).mapInArrow(scan, "word string, role int, n long, partners long")
-    of = lambda k, c: F.sum(F.when(F.col("role") == k, F.col(c)).otherwise(0))
-    bits = lambda k: F.bit_count(F.coalesce(F.bit_or(F.when(F.col("role") == k, F.col("partners"))), F.lit(0).cast("long")))
-    words = rows.groupBy("word").agg(of(0, "n").alias("n_all"), *[c for k, w in ((1, "g"), (2, "f")) for c in (of(k, "n").alias(f"n_{w}"), bits(k).alias(f"p_{w}"))])
+                    partners.setdefault((word, role), set()).add(int.from_bytes(hashlib.blake2b(partner.encode(), digest_size=8).digest(), "big", signed=True))
+            out = [(*k, n if not i else 0, p) for k, n in counts.items() for i, p in enumerate(sorted(partners.get(k, {0}))[:PARTNERS])]
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["word", "role", "n", "partner"])
+
+    rows = docs.select(text).where(F.col(text).isNotNull()).mapInArrow(scan, "word string, role int, n long, partner long")
+    each = rows.groupBy("word", "role", "partner").agg(F.sum("n").alias("n"))
+    of = lambda k: F.sum(F.when(F.col("role") == k, F.col("n")).otherwise(0))
+    words = each.groupBy("word").agg(*[c for k, w in ((1, "g"), (2, "f")) for c in (of(k).alias(f"n_{w}"), F.count_if(F.col("role") == k).alias(f"p_{w}"))], of(0).alias("n_all"))
     likely = words.where((F.col("p_g") >= 2) | (F.col("p_f") >= 2)).where(F.greatest("n_g", "n_f") >= 0.08 * F.col("n_all")).limit(MOST_PARTS + 1).collect()
     if len(likely) > MOST_PARTS:
         raise ValueError(f"more than {MOST_PARTS} parts of names")
