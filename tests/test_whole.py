@@ -81,3 +81,11 @@ def test_partners_are_counted_exactly(spark):
     parts = [(g, pii.GIVEN) for g in given]
     assert [w for w, _ in redact.learned_parts(docs, parts)] == [pii.plain_form("Quastner")]
     assert redact.learned_parts(docs.where(F.col("text").contains(a)), parts) == []
+
+
+def test_all_levels_and_values(spark, small, tmp_path):
+    q = entry.queries()
+    assert q["bbox_tile_range_whole"](spark, small).agg(F.max("z")).first()[0] == 17
+    square = [0.0] * 16 + [1.0, 0.0, 1.0, 1.0, 0.0, 1.0] + [0.0] * 42
+    spark.createDataFrame([(1, square)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert q["ring_area_whole"](spark, str(tmp_path)).first()["area"] == 1_000_000

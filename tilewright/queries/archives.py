@@ -181,10 +181,10 @@ def cursor_deltas(spark, d):
     return q.select("c_custkey", "dx", "dy", F.sum("dx").over(w).alias("x"), F.sum("dy").over(w).alias("y"))
 
 
-def ring_area(spark, d):
-    """Signed area of the rings that the first values of each embedding make, 8 points each."""
+def ring_area(spark, d, n_points=lambda: F.lit(8)):
+    """Signed area of the rings that the first values of each embedding make, 8 points each. ring_area_whole takes all values."""
     e = table(spark, d, "embeddings")
-    pts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(F.round(F.get("embedding", i * 2) * 1000).cast("long").alias("x"), F.round(F.get("embedding", i * 2 + 1) * 1000).cast("long").alias("y")))
+    pts = F.transform(F.sequence(F.lit(0), n_points() - 1), lambda i: F.struct(F.round(F.get("embedding", i * 2) * 1000).cast("long").alias("x"), F.round(F.get("embedding", i * 2 + 1) * 1000).cast("long").alias("y")))
     return e.select("vec_id", (geometry.ring_area2(pts) / 2).alias("area"))
 
 

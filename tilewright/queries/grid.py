@@ -234,10 +234,10 @@ def _nation_boxes(spark, d):
 NATIONS = f"SELECT n_nationkey, lon AS minx, lat AS miny, lon + 5 + n_nationkey AS maxx, lat + 3 + n_nationkey / 2 AS maxy FROM ({PTS('nation', 'n_nationkey')})"
 
 
-def bbox_tile_range(spark, d):
-    """Boxes in degrees against all levels of the quad of degrees, touching edges left out."""
-    levels = matrixsets.default_sets(spark).where("set_id = 'WorldCRS84Quad' AND z <= 10").select("z", (F.col("resolution") * F.col("tile_width")).alias("side"), "matrix_width", "matrix_height")
-    joined = _nation_boxes(spark, d).crossJoin(F.broadcast(levels))  # 11 levels
+def bbox_tile_range(spark, d, kept="z <= 10"):
+    """Boxes in degrees against levels 0 to 10 of the quad of degrees, touching edges left out. bbox_tile_range_whole has all levels."""
+    levels = matrixsets.default_sets(spark).where("set_id = 'WorldCRS84Quad'").where(kept).select("z", (F.col("resolution") * F.col("tile_width")).alias("side"), "matrix_width", "matrix_height")
+    joined = _nation_boxes(spark, d).crossJoin(F.broadcast(levels))  # at most 18 levels
     found = grids.box_range(*[F.col(c) for c in BOX], F.lit(-180.0), F.lit(90.0), F.col("side"), F.col("matrix_width"), F.col("matrix_height"))
     out = joined.select("n_nationkey", "z", *[c.alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), found)])
     return out.where("x0 IS NOT NULL")

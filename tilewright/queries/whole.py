@@ -139,3 +139,9 @@ f AS (SELECT DISTINCT z, x, {archives.TOP} AS y, extent, tile_layer_id, feature_
 r AS (SELECT commands, kind, no, row_number() OVER (PARTITION BY commands, kind ORDER BY no) - 1 AS part FROM (SELECT DISTINCT commands, kind FROM f) JOIN a USING (commands) WHERE {KEPT})
 SELECT DISTINCT z, x, y, tile_layer_id, feature_id, kind, part, vertex, round(x * s - {grid.HW} + px * s / extent, 2) AS mx, round({grid.HW} - y * s - py * s / extent, 2) AS my
 FROM f JOIN r USING (commands, kind) JOIN v USING (commands, no)"""
+
+QUERIES |= {"bbox_tile_range_whole": partial(grid.bbox_tile_range, kept="true"), "ring_area_whole": partial(archives.ring_area, n_points=lambda: F.floor(F.size("embedding") / 2).cast("int"))}
+ORACLE["bbox_tile_range_whole"] = grid.ORACLE["bbox_tile_range"].replace(" AND z <= 10", "")
+ORACLE["ring_area_whole"] = archives.ORACLE["ring_area"].replace("unnest(range(8)) AS i", "len(embedding) // 2 AS n, unnest(range(len(embedding) // 2)) AS i").replace("SELECT vec_id, i,", "SELECT vec_id, n, i,").replace("% 8", "% a.n")
+#: As doubles, which a value times 1000 fits exactly; as floats one just under a half is rounded up twice.
+ORACLE["ring_area_whole"] = ORACLE["ring_area_whole"].replace("] * 1000", "]::DOUBLE * 1000")
