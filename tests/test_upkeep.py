@@ -25,19 +25,50 @@ def rows_of(df):
 # tree aggregation
 
 
-@pytest.mark.parametrize("fan_in,leaves", [(2, 1), (2, 64), (3, 10), (16, 500)])
-def test_tree_gives_plain_aggregate(spark, fan_in, leaves):
+@pytest.mark.parametrize("fan_in,chunk", [(2, 64), (3, 256), (16, 65_536), (4, 1)])
+def test_tree_gives_plain_aggregate(spark, fan_in, chunk):
     df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).alias("k"), "id", F.lit(1).alias("__tree")).repartition(17)
     states = {"n": tree.counted(), "s": tree.summed(F.col("id")), "lo": tree.lowest(F.col("id")), "hi": tree.highest(F.col("id"))}
-    got = rows_of(tree.tree_aggregate(df, ["k"], states, fan_in, leaves))
+    got = rows_of(tree.tree_aggregate(df, ["k"], states, fan_in, chunk_rows=chunk))
     assert got == rows_of(df.groupBy("k").agg(F.count("id"), F.sum("id"), F.min("id"), F.max("id")))
 
 
+def test_no_task_gets_more_than_fan_in_states_of_a_key(spark):
+    """A key with nine tenths of all rows: each node of each round is made of fan_in states of it at most, the last merge too."""
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).alias("k"), "id").repartition(11).sortWithinPartitions("k", "id")
+    width, fan_in = tree.partitions_of(df), 4
+    assert width == 11
+    chunks = df.withColumn("n", F.monotonically_increasing_id())
+    leaf = F.shiftright("n", 33) + F.shiftright(F.col("n").bitwiseAND(F.lit((1 << 33) - 1)), 8) * width
+    below = chunks.withColumn(tree.NODE, leaf).select("k", tree.NODE).distinct()
+    assert below.where("k = 0").count() >= 36_000 / 256
+    made = tree.levels(df, ["k"], {"n": tree.counted()}, fan_in, chunk_rows=256)
+    assert len(made) == 3  # of 11 + 157 chunks: 42 nodes, 11, 3, and then the key
+    for level in made:
+        into = below.groupBy("k", F.floor(F.col(tree.NODE) / fan_in).alias("up")).count()
+        assert into.agg(F.max("count")).first()[0] <= fan_in
+        assert into.count() == level.count() and level.agg(F.sum("n")).first()[0] == 40_000
+        below = level.select("k", tree.NODE)
+    assert below.groupBy("k").count().agg(F.max("count")).first()[0] <= fan_in
+
+
+def test_tree_has_levels_whatever_the_partitions(spark):
+    df = spark.createDataFrame([(1, 0, 0, "TOP_LEFT", 1, i, "n") for i in range(9)], FEATURES)
+    for n in ("1", "8", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            plan = heavy_tiles.features_per_tile(df)
+            assert tree.NODE in plan._jdf.queryExecution().executedPlan().toString() and rows_of(plan) == [(1, 0, 0, 9)]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [tree.rounds(n, 16) for n in (1, 16, 17, 256, 257, 10**6)] == [2, 2, 2, 2, 3, 5]
+
+
 def test_tree_null_keys_empty_and_sketches(spark):
     df = spark.createDataFrame([(None, 1), (None, 1), ("a", 2), ("a", None)], "k string, v int")
     assert rows_of(tree.distinct_per_key(df, ["k"], ["v"])) == rows_of(spark.createDataFrame([(None, 1), ("a", 1)], "k string, v long"))
     assert tree.distinct_per_key(df.limit(0), ["k"], ["v"]).collect() == []
-    est = tree.tree_aggregate(spark.range(1000).withColumn("k", F.lit(1)), ["k"], {"d": tree.sketched_distinct(F.col("id"))}, 2, 8).first()["d"]
+    est = tree.tree_aggregate(spark.range(1000).withColumn("k", F.lit(1)), ["k"], {"d": tree.sketched_distinct(F.col("id"))}, 2, chunk_rows=8).first()["d"]
     assert 900 < est < 1100
     with pytest.raises(ValueError):
         tree.tree_aggregate(df, ["k"], {}, 1)

@@ -1,8 +1,9 @@
 """Per-key aggregates as a tree: local chunks, then rounds of limited fan-in.
 
 With a key that holds a third of all rows, a plain aggregate sends one partial state per map task to a single reducer.
-Here no task ever receives more than ``fan_in`` states of a key: the input's partitions are the leaves, a round merges
-``fan_in`` neighbouring nodes, and there are ceil(log(leaves) / log(fan_in)) rounds.
+Here no task ever receives more than ``fan_in`` states of a key: chunks of ``chunk_rows`` rows are combined where they lie,
+a round merges the states of ``fan_in`` neighbouring nodes, and the last round is only reached when ``fan_in`` nodes at
+most are left. The number of rounds follows from the number of chunks, not from a setting, and is two at least.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NODE = "__tree_node"
+#: Rows of a chunk; a power of two.
+CHUNK_ROWS = 1 << 16
+#: Bits that monotonically_increasing_id keeps for the row of a partition.
+_ROW_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -46,39 +51,76 @@ def sketched_distinct(of: Column, log2_size: int = 12) -> State:
     return State(F.hll_sketch_agg(of, log2_size), lambda name: F.hll_union_agg(name), lambda name: F.hll_sketch_estimate(name))
 
 
-def tree_aggregate(df: DataFrame, keys: Sequence[str], states: Mapping[str, State], fan_in: int = 16, leaves: int | None = None) -> DataFrame:
-    """One row per key with the finished states, in rounds of at most ``fan_in`` states per key and task.
+def partitions_of(df: DataFrame) -> int:
+    """Partitions that the plan can have at most, without running any of it: adaptive execution only merges those of a shuffle."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.inputPlan()
+        known = plan.outputPartitioning().numPartitions()
+        return known if known > 0 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = plan.outputPartitioning().numPartitions()
+    return max(1, known or df._jdf.queryExecution().toRdd().getNumPartitions())
+
+
+def rounds(leaves: int, fan_in: int) -> int:
+    """Rounds of merging until one node is left, the last one by key alone; two at least, so that a tree is a tree at any size."""
+    n = 1
+    while fan_in**n < leaves:
+        n += 1
+    return max(2, n)
+
 
-    A chunk is one partition of the input, whose size Spark fixes (scan split or advisory size after a shuffle); it is
-    combined where it lies. Partition numbers stay the same when a task is run again, so a lost executor can't make rows
-    count twice. ``leaves`` bounds the number of nodes of the first level (default: the session's shuffle partitions);
-    inputs with more partitions share leaves. Keys may be null (null is a key of its own, as in GROUP BY); an empty
-    table gives no rows; columns other than the keys and those read by the states are ignored.
+def levels(df: DataFrame, keys: Sequence[str], states: Mapping[str, State], fan_in: int = 16, rows: int | None = None, chunk_rows: int = CHUNK_ROWS) -> list[DataFrame]:
+    """The frames of all rounds but the last: keys, NODE and the states. A node is its number at its level.
+
+    A chunk is known by its partition and by the running number of its rows there. Neighbours are the chunks of the same
+    place in neighbouring partitions, so each task brings one state per key to a node of the first round.
     """
     if fan_in < 2:
         raise ValueError("fan_in must be 2 or more")
-    spark = df.sparkSession
-    nodes = max(1, leaves or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    node = F.pmod(F.spark_partition_id(), F.lit(nodes))
-    level, merge = df, False
-    while nodes > fan_in:
-        nodes = -(-nodes // fan_in)
-        level = level.withColumn(NODE, F.floor(node / fan_in).cast("int"))
+    if chunk_rows < 1 or chunk_rows & (chunk_rows - 1):
+        raise ValueError("chunk_rows must be a power of two")
+    width = partitions_of(df)
+    rows = df.count() if rows is None else rows
+    number = F.monotonically_increasing_id()
+    chunk = F.shiftright(number.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)), chunk_rows.bit_length() - 1)
+    node = F.shiftright(number, _ROW_BITS) + chunk * width
+    # the number is fixed once per row, before anything is grouped by it
+    level, merge, out = df.withColumn(NODE, node), False, []
+    for _ in range(rounds(width + -(-rows // chunk_rows), fan_in) - 1):
         made = [(s.merge(n) if merge else s.leaf).alias(n) for n, s in states.items()]
-        level, merge = level.groupBy(*keys, NODE).agg(*made), True
-        node = F.col(NODE)
-    made = [(s.merge(n) if merge else s.leaf).alias(n) for n, s in states.items()]
-    return level.groupBy(*keys).agg(*made).select(*keys, *(s.finish(n).alias(n) for n, s in states.items()))
+        level = level.withColumn(NODE, F.floor(F.col(NODE) / fan_in)).groupBy(*keys, NODE).agg(*made)
+        merge = True
+        out.append(level)
+    return out
 
 
-def distinct_per_key(df: DataFrame, keys: Sequence[str], of: Sequence[str], name: str = "n_distinct", fan_in: int = 16) -> DataFrame:
-    """Exact distinct counts per key without a reducer that sees all of a hot key.
+def tree_aggregate(df: DataFrame, keys: Sequence[str], states: Mapping[str, State], fan_in: int = 16, rows: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """One row per key with the finished states, in rounds of at most ``fan_in`` states per key and task.
 
-    Copies vanish first, by a shuffle on key and value together, which no single key can skew and which the map side
-    combines; what is left is a sum, done as a tree. Rows with a null in ``of`` don't count, but their key is kept.
+    ``rows`` is an upper bound of the input's rows if the caller has one (only the number of rounds follows from it);
+    else they are counted. If a task may see its rows in another order when it is run again, as after a shuffle, sort
+    them within partitions first: chunks would differ else. Keys may be null (null is a key of its own, as in GROUP BY);
+    an empty table gives no rows; columns other than the keys and those read by the states are ignored.
     """
+    last = levels(df, keys, states, fan_in, rows, chunk_rows)[-1]
+    merged = last.groupBy(*keys).agg(*[s.merge(n).alias(n) for n, s in states.items()])
+    return merged.select(*keys, *(s.finish(n).alias(n) for n, s in states.items()))
+
+
+def distinct_rows(df: DataFrame, keys: Sequence[str], of: Sequence[str]) -> DataFrame:
+    """Copies vanish by a shuffle on key and value together, which no single key can skew and which the map side combines.
+    The order within partitions makes chunks come out alike when a task is run again, and puts few keys into each."""
     whole = F.lit(True)
     for c in of:
         whole = whole & F.col(c).isNotNull()
-    once = df.select(*keys, *of).distinct().withColumn("__whole", whole)
-    return tree_aggregate(once, keys, {name: summed(F.col("__whole").cast("long"))}, fan_in)
+    return df.select(*keys, *of).distinct().sortWithinPartitions(*keys, *of).withColumn("__whole", whole.cast("long"))
+
+
+def distinct_per_key(df: DataFrame, keys: Sequence[str], of: Sequence[str], name: str = "n_distinct", fan_in: int = 16, rows: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Exact distinct counts per key without a reducer that sees all of a hot key.
+
+    What is left once copies are gone is a sum, done as a tree. Rows with a null in ``of`` don't count, but their key is kept.
+    """
+    rows = df.count() if rows is None else rows
+    return tree_aggregate(distinct_rows(df, keys, of), keys, {name: summed(F.col("__whole"))}, fan_in, rows, chunk_rows)
