@@ -3,7 +3,7 @@
 import random
 import time
 from collections import defaultdict
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +132,43 @@ def test_lease_history_against_loop(spark):
         assert got[i] == next((r[0] for r in sorted(runs, key=lambda r: (r[1], r[0])) if r[2] == "succeeded" and r[1] >= at), None)
 
 
+def replayed(items, runs):
+    """The ledger event by event, each item on its own: (done run, leases, refused commits)."""
+    order = sorted(runs, key=lambda r: (r[1], r[0]))
+    events = []
+    for i, (run, start, status, end) in enumerate(order):
+        end = max(end or start, start)
+        nxt = order[i + 1][1] if i + 1 < len(order) else None
+        until = end if status == "succeeded" else min(end, nxt or end)
+        back = end if status == "succeeded" else max(until, nxt or until) + timedelta(microseconds=1)
+        events += [(start, i, 0, run, until), (back, i, 1, run, until)]
+    out = {}
+    for item, at in items:
+        holder, until, done, leased, refused = None, None, None, set(), 0
+        for when, i, kind, run, ends in sorted(events):
+            if kind == 0 and when >= at and done is None and (holder is None or until <= when):
+                holder, until = run, ends
+                leased.add(run)
+            elif kind == 1 and run in leased:
+                if done is None and holder == run and when <= until:
+                    done = run
+                else:
+                    refused += 1
+        out[item] = (done, len(leased), refused)
+    return out
+
+
+def test_lease_history_with_runs_that_overlap(spark):
+    rng = random.Random(8)
+    runs = [(i, s := datetime(2025, 1, 1 + rng.randrange(9), rng.randrange(24)), rng.choice(["succeeded", "failed", "killed", None]), rng.choice([None, s + timedelta(hours=rng.randrange(0, 60))])) for i in range(40)]
+    items = [(i, datetime(2025, 1, 1 + rng.randrange(10), rng.randrange(24))) for i in range(300)]
+    log = spark.createDataFrame(runs, "run_id int, started_at timestamp, run_status string, finished_at timestamp")
+    h = ledger.lease_history(spark.createDataFrame(items, "id int, at timestamp"), "at", log)
+    got = {r["id"]: (r["done_run"], r["n_leases"], r["n_refused"]) for r in h.collect()}
+    want = replayed(items, runs)
+    assert got == want and any(w[2] for w in want.values()) and any(w[0] is None for w in want.values())
+
+
 def test_live_ledger(spark):
     led = ledger.Ledger(spark, scratch_path(spark, "ledger"), ["k"])
     led.add(spark.createDataFrame([("a",), ("b",), ("a",)], "k string"), "first")
@@ -143,12 +180,24 @@ def test_live_ledger(spark):
     led.add(spark.createDataFrame([("c",)], "k string"), "second")
     t2 = led.lease("r2", now=20, seconds=10)
     assert t2 > t1 and led.leased(t2).count() == 3
-    assert led.commit("r1", t1).collect() == []  # a stale writer
-    assert led.commit("r2", t2).count() == 3 and led.commit("r2", t2).count() == 3
+    assert led.commit("r1", t1, now=21).collect() == []  # a stale writer
+    assert {r["k"]: r["n_refused"] for r in led.state(21).collect()} == {"a": 1, "b": 1, "c": 0}
+    base = led.compact()
+    assert led.commit("r2", t2, now=22).count() == 3 and led.commit("r2", t2, now=23).count() == 3
+    assert len(led._log()) == 2 and led._log()[0]["seq"] == base
     assert state(1e9) == {"a": "done", "b": "done", "c": "done"}
     assert led.leased(led.lease("r3", now=2e9, seconds=1)).count() == 0
 
 
+def test_a_commit_after_its_lease_ran_out_does_not_count(spark):
+    led = ledger.Ledger(spark, scratch_path(spark, "ledger"), ["k"])
+    led.add(spark.createDataFrame([("a",)], "k string"), "first")
+    t = led.lease("r", now=0, seconds=10)
+    assert led.commit("r", t, now=11).count() == 0 and led.state(12).first()["state"] == "pending"
+    t = led.lease("r", now=20, seconds=10)
+    assert led.commit("r", t, now=30).count() == 1
+
+
 def test_item_paths_are_deterministic(spark):
     df = spark.createDataFrame([("a", None), ("a", ""), ("a", None)], "k string, v string")
     p = [r[0] for r in df.select(ledger.item_path("s3://x/", "k", "v")).collect()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.operators import compaction, drift, heavy_tiles, ledger, snapshots
-from tilewright.session import table
+from tilewright.session import scratch_path, table
 
 
 def p1_found(spark, d):
@@ -20,14 +20,42 @@ def p2_found(spark, d):
     return snapshots.snapshot_changes(table(spark, d, "storage_snapshots"))
 
 
+def _lease_history(spark, d):
+    return ledger.lease_history(ledger.object_versions(table(spark, d, "storage_deliveries")), "delivered_at", table(spark, d, "pipeline_runs"))
+
+
 def p4_found(spark, d):
-    history = ledger.lease_history(ledger.object_versions(table(spark, d, "storage_deliveries")), "delivered_at", table(spark, d, "pipeline_runs"))
+    history = _lease_history(spark, d)
     return history.where(F.col("state") == "done").select(F.col("done_run").alias("run_id"), "delivery_id")
 
 
 def p4_ledger(spark, d):
-    history = ledger.lease_history(ledger.object_versions(table(spark, d, "storage_deliveries")), "delivered_at", table(spark, d, "pipeline_runs"))
-    return history.groupBy("state", "first_run", "done_run", "n_leases").agg(F.count(F.lit(1)).alias("n_versions"))
+    return _lease_history(spark, d).groupBy("state", "first_run", "done_run", "n_leases", "n_refused").agg(F.count(F.lit(1)).alias("n_versions"))
+
+
+def p4_paths(spark, d):
+    """Where results go: by run, the versions it wrote, and the paths, which no two versions share and no retry adds to."""
+    done = _lease_history(spark, d).where(F.col("state") == "done")
+    paths = done.select("done_run", ledger.item_path("", "object_key", "version_key").alias("path"), F.col("n_leases"))
+    each = paths.groupBy("path").agg(F.min("done_run").alias("run_id"), F.count(F.lit(1)).alias("n"), F.max("n_leases").alias("n_leases"))
+    return each.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_paths"), F.sum("n").alias("n_versions"), F.sum("n_leases").alias("n_leases"))
+
+
+def p4_live(spark, d):
+    """All versions through the ledger kept in a folder: a first run leases what was delivered before the first run that
+    failed, and stalls; a second one takes over once its lease has run out, with all that came since; the first comes
+    back and commits in vain; the states are compacted, and the second commits."""
+    items = ledger.object_versions(table(spark, d, "storage_deliveries")).select("object_key", "version_key", "delivered_at")
+    bad = table(spark, d, "pipeline_runs").where("run_status <> 'succeeded'").agg(F.min("started_at").alias("bad"))  # one row
+    led = ledger.Ledger(spark, scratch_path(spark, "ledger"), ["object_key", "version_key"])
+    led.add(items.crossJoin(F.broadcast(bad)).where("delivered_at < bad"), "early")
+    first = led.lease("first", now=0, seconds=60)
+    led.add(items, "all")
+    second = led.lease("second", now=100, seconds=60)
+    led.commit("first", first, now=110)
+    led.compact()
+    led.commit("second", second, now=120)
+    return led.state(1000).groupBy("state", "run", "n_refused").agg(F.count(F.lit(1)).alias("n_versions"))
 
 
 def p5_found(spark, d):
@@ -70,6 +98,11 @@ VERSIONS = """
     FROM storage_deliveries WHERE kind = 'File' AND object_key IS NOT NULL)
   GROUP BY 1, 2"""
 
+REPLAY = """
+log AS (SELECT *, row_number() OVER (ORDER BY started_at, run_id) AS token FROM pipeline_runs),
+a AS (SELECT v.delivery_id, (SELECT min(token) FROM log WHERE log.started_at >= v.delivered_at) AS first_token,
+             (SELECT min(token) FROM log WHERE log.started_at >= v.delivered_at AND run_status = 'succeeded') AS done_token FROM v)"""
+
 LIVE = """
   SELECT * FROM (
     SELECT dataset, object_key, coalesce(size_bytes, octet_length(payload)) AS size,
@@ -78,7 +111,7 @@ LIVE = """
   WHERE rn = 1 AND size > 0 AND size < 65536 AND NOT contains(substr(object_key, length(dataset) + 1), '/_')
     AND NOT contains(substr(object_key, length(dataset) + 1), '/.')"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_features_per_tile, p2_found, p4_found, p4_ledger, p5_found, p7_found, p7_consistent_layers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_features_per_tile, p2_found, p4_found, p4_ledger, p4_paths, p4_live, p5_found, p7_found, p7_consistent_layers)}
 
 ORACLE = {
     "p1_found": f"""
@@ -104,13 +137,17 @@ WHERE o.object_key IS NULL OR n.object_key IS NULL
 WITH v AS ({VERSIONS}), r AS (SELECT run_id, started_at FROM pipeline_runs WHERE run_status = 'succeeded')
 SELECT run_id, delivery_id FROM v ASOF JOIN r ON v.delivered_at <= r.started_at""",
     "p4_ledger": f"""
-WITH v AS ({VERSIONS}),
-log AS (SELECT *, row_number() OVER (ORDER BY started_at, run_id) AS token FROM pipeline_runs),
-a AS (SELECT v.delivery_id, (SELECT min(token) FROM log WHERE log.started_at >= v.delivered_at) AS first_token,
-             (SELECT min(token) FROM log WHERE log.started_at >= v.delivered_at AND run_status = 'succeeded') AS done_token FROM v)
+WITH v AS ({VERSIONS}), {REPLAY}
 SELECT CASE WHEN done_token IS NULL THEN 'pending' ELSE 'done' END AS state, f.run_id AS first_run, g.run_id AS done_run,
-       CASE WHEN first_token IS NULL THEN 0 ELSE coalesce(done_token, (SELECT count(*) FROM log)) - first_token + 1 END::INT AS n_leases, count(*) AS n_versions
-FROM a LEFT JOIN log f ON f.token = first_token LEFT JOIN log g ON g.token = done_token GROUP BY 1, 2, 3, 4""",
+       CASE WHEN first_token IS NULL THEN 0 ELSE coalesce(done_token, (SELECT count(*) FROM log)) - first_token + 1 END::INT AS n_leases,
+       CASE WHEN first_token IS NULL THEN 0 ELSE coalesce(done_token, (SELECT count(*) + 1 FROM log)) - first_token END::INT AS n_refused, count(*) AS n_versions
+FROM a LEFT JOIN log f ON f.token = first_token LEFT JOIN log g ON g.token = done_token GROUP BY 1, 2, 3, 4, 5""",
+    "p4_paths": f"""
+WITH v AS ({VERSIONS}), {REPLAY}
+SELECT run_id, count(*) AS n_paths, count(*) AS n_versions, sum(done_token - first_token + 1)::BIGINT AS n_leases FROM a JOIN log ON token = done_token GROUP BY 1""",
+    "p4_live": f"""
+WITH v AS ({VERSIONS}), bad AS (SELECT min(started_at) AS t0 FROM pipeline_runs WHERE run_status <> 'succeeded')
+SELECT 'done' AS state, 'second' AS run, (coalesce(delivered_at < t0, false))::INT AS n_refused, count(*) AS n_versions FROM v, bad GROUP BY 3""",
     "p5_found": f"""
 WITH live AS ({LIVE})
 SELECT dataset, object_key FROM live WHERE dataset IN (SELECT dataset FROM live GROUP BY 1 HAVING count(*) >= 10)""",
