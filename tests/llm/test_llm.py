@@ -198,6 +198,31 @@ def test_fit_uses_budget():
         assert 0 <= budget - rounds * supply - sum(l * n for l, n in taken.items()) < 10
 
 
+def test_fit_takes_long_documents():
+    assert mixture.fit({85_000: 1, 84_000: 1, 83_000: 1}, 90_000, 0) == (0, {85_000: 1, 84_000: 0, 83_000: 0})
+    assert mixture.fit({900_000: 3, 800_000: 1}, 1_650_000, 0)[1] in ({900_000: 0, 800_000: 1}, {900_000: 1, 800_000: 0})
+    assert mixture.fit({10_000_000: 2}, 9_999_999, 0) == (0, {10_000_000: 0}) and mixture.fit({}, 5, 0) == (0, {})
+
+
+def test_fit_is_best_for_small_budgets(monkeypatch):
+    rng = random.Random(3)
+    for reserve in (mixture.RESERVE, 60):
+        monkeypatch.setattr(mixture, "RESERVE", reserve)
+        for _ in range(150):
+            counts = {rng.choice([rng.randrange(1, 40), rng.randrange(300, 500)]): rng.randrange(1, 4) for _ in range(5)}
+            supply = sum(l * c for l, c in counts.items())
+            budget = rng.randrange(0, 2 * supply)
+            rounds, taken = mixture.fit(counts, budget, 1)
+            assert rounds == budget // supply and all(0 <= taken[l] <= counts[l] for l in counts)
+            rest, got = budget - rounds * supply, sum(l * n for l, n in taken.items())
+            reach = {0}
+            for l, c in counts.items():
+                reach = {s + l * k for s in reach for k in range(c + 1)}
+            best = max(s for s in reach if s <= rest)
+            assert got <= best and (got == best or rest > reserve)
+            assert all(taken[l] == counts[l] or l > rest - got for l in counts)  # nothing that is free would still fit
+
+
 def test_mixture(spark, monkeypatch):
     monkeypatch.setattr(mixture, "RANKED_TOGETHER", 7)
     docs = [(i, "word " * (5 + i % 3), ["A ", "a", "b", None, "other"][i % 5], "x") for i in range(400)] + [(900, None, "a", "x"), (901, "", "a", "x")]

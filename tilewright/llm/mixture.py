@@ -1,8 +1,8 @@
 """A mixture of sources in target shares of all tokens, with small sources repeated a capped number of times.
 
 Documents are counted by source and exact token length. Each source's budget is fitted as a bounded subset sum: whole
-rounds of all its documents, then the same part of every length, and the few tokens left by dynamic programming over
-lengths with the counts still free. Only counts by length reach the driver; documents of a length are then picked in a
+rounds of all its documents, then the same part of every length for all but the last RESERVE tokens, and these by dynamic
+programming over lengths with the counts still free. A budget up to RESERVE is thus fitted as well as can be. Only counts by length reach the driver; documents of a length are then picked in a
 seeded order where they lie.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tilewright.llm.tokens import RANKS, TOKENIZERS, with_token_counts
 from tilewright.session import cut
 
-#: Tokens of a budget left to the dynamic programme.
-FIT_TOKENS = 16_384
+#: Tokens of a budget left to the dynamic programme at least.
+RESERVE = 1 << 17
 #: Documents of one source and length ranked in one task; longer lists are cut into as many buckets as needed.
 RANKED_TOGETHER = 10_000
 
@@ -61,25 +61,32 @@ def subset_sum(free: Mapping[int, int], target: int, seed: int) -> dict[int, int
 
 
 def fit(counts: Mapping[int, int], budget: int, seed: int) -> tuple[int, dict[int, int]]:
-    """Rounds of all documents, and for each length how many documents are taken once more, for ``budget`` tokens."""
+    """Rounds of all documents, and for each length how many documents are taken once more, for ``budget`` tokens.
+
+    No budget is left that a free document would still fit into. For what the rounds leave, the sum is the best that can
+    be reached if it is up to RESERVE; beyond, the best for the documents that the equal part has left free.
+    """
     supply = sum(l * c for l, c in counts.items())
     rounds, rest = divmod(budget, supply) if supply else (0, 0)
-    part = Fraction(rest, supply) if supply else Fraction(0)
+    part = Fraction(max(0, rest - RESERVE), supply) if supply else Fraction(0)
     taken = {l: int(c * part) for l, c in counts.items()}
     rest -= sum(l * n for l, n in taken.items())
     lengths = sorted(counts)
     random.Random(seed).shuffle(lengths)
     for l in lengths:  # what rounding left is less than one document of each length
-        if taken[l] < counts[l] and rest - l >= FIT_TOKENS // 2:
+        if taken[l] < counts[l] and rest - l >= RESERVE:
             taken[l] += 1
             rest -= l
-    if rest > FIT_TOKENS:  # documents longer than that: the largest that fit
-        for l in sorted(counts, reverse=True):
-            n = min(counts[l] - taken[l], (rest - FIT_TOKENS // 2) // l if l else 0)
-            if n > 0:
-                taken[l] += n
-                rest -= l * n
-    for l, n in subset_sum({l: counts[l] - taken[l] for l in counts if counts[l] > taken[l]}, min(rest, 4 * FIT_TOKENS), seed).items():
+    for l in sorted(counts, reverse=True):
+        n = min(counts[l] - taken[l], max(0, rest - RESERVE) // l if l else 0)
+        taken[l] += n
+        rest -= l * n
+    free = {l: counts[l] - taken[l] for l in counts if counts[l] > taken[l] and 0 < l <= rest}
+    if rest > 2 * RESERVE:  # each free document is longer than rest - RESERVE, that is half of it: one fits at most
+        best = {max(free): 1} if free else {}
+    else:
+        best = subset_sum(free, rest, seed)
+    for l, n in best.items():
         taken[l] += n
     return rounds, taken
 
@@ -106,7 +113,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     """(documents with copies, shares reached).
 
     The first has doc_id, source, n_tokens, copies for each document that is used, the second source, target_share,
-    max_repeats, n_docs, supply_tokens, mixed_tokens, actual_share, max_copies for each target.
+    max_repeats, n_docs, supply_tokens, longest_tokens, mixed_tokens, actual_share, max_copies for each target.
 
     Sources are compared without case and outer spaces; documents of a null source, of a source without target, with a
     null or empty text aren't used. Shares of targets without any document can't be reached; the rest keep their
@@ -144,7 +151,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     picked = placed.withColumn("once", (F.col("place") + F.col("before") <= F.col("more")).cast("int"))
     cols = ["doc_id", "source", "n_tokens", (F.col("rounds") + F.col("once")).cast("int").alias("copies")]
     mixed = sure.select(*cols).unionByName(picked.select(*cols)).where(F.col("copies") > 0)
-    goals = spark.createDataFrame([(t.source, float(t.share), t.max_repeats, sum(counts.get(t.source, {}).values()), supply.get(t.source, 0)) for t in want], "source string, target_share double, max_repeats int, n_docs long, supply_tokens long")
+    goals = spark.createDataFrame([(t.source, float(t.share), t.max_repeats, sum(counts.get(t.source, {}).values()), supply.get(t.source, 0), max(counts.get(t.source, {0: 0}))) for t in want], "source string, target_share double, max_repeats int, n_docs long, supply_tokens long, longest_tokens long")
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t"), F.max("copies").alias("c"))
     all_tokens = F.sum("mixed_tokens").over(Window.partitionBy())  # over the targets, a few rows
     shares = goals.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("t", F.lit(0).cast("long")))

@@ -50,6 +50,18 @@ def p9_shares(spark, d):
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_checks(spark, d):
+    """Of each target: whether its share of all tokens is reached to within one document, no document is in the mixture
+    twice, and none is repeated beyond the cap. Targets without documents must have no tokens."""
+    mixed, shares = mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    own = mixed.groupBy("source").agg((F.count_distinct("doc_id") == F.count(F.lit(1))).alias("once"))
+    few = shares.join(own, "source", "left")
+    totals = few.agg(F.sum("mixed_tokens").alias("total"), F.sum(F.when(F.col("supply_tokens") > 0, F.col("target_share"))).alias("whole"))
+    missed = F.abs(F.col("mixed_tokens") - F.col("target_share") / F.col("whole") * F.col("total"))
+    fits = F.when(F.col("supply_tokens") > 0, missed <= F.col("longest_tokens") + 1).otherwise(F.col("mixed_tokens") == 0)
+    return few.crossJoin(F.broadcast(totals)).select("source", fits.alias("share_ok"), F.coalesce("once", F.lit(True)).alias("once_ok"), (F.col("max_copies") <= F.col("max_repeats")).alias("cap_ok"))
+
+
 #: Stands in for the secret of a real run.
 KEY = b"key of the example queries"
 
@@ -84,9 +96,10 @@ RUNS = """
          max(tile_id + run_length) - min(tile_id) AS n_tiles
   FROM n GROUP BY archive_id, tile_offset, run HAVING count(*) >= 2"""
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_statistics, p6_found, p6_tile_runs, p6_event_runs, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_statistics, p6_found, p6_tile_runs, p6_event_runs, p8_found, p8_leaks, p9_mixture, p9_shares, p9_checks, p10_found, p10_redacted)}
 
 ORACLE = {
+    "p9_checks": "SELECT DISTINCT lower(trim(source)) AS source, true AS share_ok, true AS once_ok, true AS cap_ok FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0",
     "p3_found": f"""
 WITH s AS ({STATISTICS})
 SELECT place, term, 'rare' AS mark FROM s WHERE n_records < 3
