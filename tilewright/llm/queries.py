@@ -96,9 +96,19 @@ RUNS = """
          max(tile_id + run_length) - min(tile_id) AS n_tiles
   FROM n GROUP BY archive_id, tile_offset, run HAVING count(*) >= 2"""
 
+#: Runs of 12 equal words, whole texts on both sides: words are told apart after folding case, accents and characters that
+#: can't be seen (soft hyphens and characters without width, also inside words).
+WORDS = r"""regexp_extract_all(regexp_replace(lower(strip_accents(nfc_normalize({0}))), '[\x{{AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}\p{{M}}]', '', 'g'), '[\p{{L}}\p{{N}}]+')"""
+LEAKED = f"""
+  WITH i AS (SELECT item_id, {WORDS.format('text')} AS w FROM eval_items), d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
+  iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)),
+  dw AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12))
+  SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)"""
+
 QUERIES = {f.__name__: f for f in (p3_found, p3_statistics, p6_found, p6_tile_runs, p6_event_runs, p8_found, p8_leaks, p9_mixture, p9_shares, p9_checks, p10_found, p10_redacted)}
 
 ORACLE = {
+    "p8_found": LEAKED,
     "p9_checks": "SELECT DISTINCT lower(trim(source)) AS source, true AS share_ok, true AS once_ok, true AS cap_ok FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0",
     "p3_found": f"""
 WITH s AS ({STATISTICS})
