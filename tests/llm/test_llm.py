@@ -48,7 +48,7 @@ FEATURES = "tile_layer_id long, feature_id long, tags array<int>, word long"
 META = "tileset string, build_no int, received_at timestamp, archive_id long, vector_layers array<struct<id:string,fields:map<string,string>>>"
 
 
-def test_terms(spark):
+def test_terms(spark, monkeypatch):
     layers = spark.createDataFrame([(1, ["a", "b"], [(" Yes ", None), ("yes", None), (None, 3), ("  ", None), ("n  o", None)], "t")] * 2, LAYERS)  # given twice
     f = [(1, i, [0, 0, 1, 1], 0) for i in range(200)] + [(1, 0, [0, 0], 0)] * 3 + [(1, 300, [0, 4, 1], 0), (1, 301, [2, 0, -1, 0, 0, 9, 0, 3], 0), (1, 302, None, 0), (1, 303, [], 0), (None, 1, [0, 0], 0), (2, None, [0, 0], 0), (2, 5, [0, 0], 0)]
     at = datetime(2025, 1, 1)
@@ -57,6 +57,11 @@ def test_terms(spark):
     assert got == [("field", "name", 2, 3, 2), ("field", "x", 1, 1, 2), ("value", "n o", 1, 1, 205), ("value", "yes", 200, 400, 205)]
     marks = rows_of(terms.marked(terms.term_statistics(spark.createDataFrame(f, FEATURES), layers, spark.createDataFrame(m, META))))
     assert marks == [("field", "name", "common"), ("field", "name", "rare"), ("field", "x", "rare"), ("value", "n o", "rare"), ("value", "yes", "common")]
+    monkeypatch.setattr(terms, "BLOCK", 16)  # the first layer is cut into blocks
+    assert got == rows_of(terms.term_statistics(spark.createDataFrame(f, FEATURES), layers, spark.createDataFrame(m, META)))
+    blocks, large = terms.feature_blocks(spark.createDataFrame(f, FEATURES))
+    assert large.where("parts > 10").count() == 1 and blocks.where("tile_layer_id = 1").agg(F.max(F.size("features"))).first()[0] < 40
+    assert terms.value_words(blocks, large, layers).where("term = 'yes'").agg(F.sum(F.bit_count("word"))).first()[0] == 200
     empty = terms.term_statistics(spark.createDataFrame([], FEATURES), layers.limit(0), spark.createDataFrame([], META))
     assert empty.collect() == []
 
@@ -70,8 +75,6 @@ def test_bitmaps_merge_as_sets(spark):
     for t in "pq":
         own = [n for u, n in a + b if u == t and n is not None]
         assert got[t] == (len(set(own)), len(own))
-    c = terms.containers(wa, ["t"])
-    assert c.agg(F.max(F.size("words"))).first()[0] <= 1024 and c.agg(F.sum("n_records")).first()[0] == len({x for x in a if x[1] is not None})
 
 
 # runs
