@@ -221,6 +221,27 @@ def test_compaction(spark):
     assert compaction.compact(spark.createDataFrame([], FILES), scratch_path(spark, "t") + "/packs").collect() == []
 
 
+def test_packs_have_the_wanted_size(spark):
+    """A dataset much larger than a pack is split, tiny ones stay one file each; a table read from files is packed by places."""
+    import os
+
+    size = F.when(F.col("id") % 10 < 8, 20_000).otherwise(100)
+    rows = spark.range(400).repartition(8).select(
+        F.when(F.col("id") % 10 < 8, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 2)).alias("dataset"), F.lit("File").alias("kind"), F.concat(F.lit("k/"), F.col("id")).alias("object_key"), F.lit(None).cast("long").alias("size_bytes"),
+        F.lit(day(1)).alias("last_modified"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("version_id"), F.substring(F.concat(*[F.sha2((F.col("id") * 1000 + k).cast("string"), 512) for k in range(160)]).cast("binary"), 1, 20_000).alias("payload"), size.alias("n"),
+    ).withColumn("payload", F.expr("substring(payload, 1, n)"))
+    path = scratch_path(spark, "t")
+    rows.unionByName(rows).write.parquet(path)  # each row twice
+    listing = spark.read.parquet(path)
+    assert compaction.has_places(listing) and not compaction.has_places(spark.createDataFrame([], FILES))
+    out = scratch_path(spark, "t") + "/packs"
+    packs = compaction.compact(listing, out, target_bytes=1 << 20)
+    assert packs.count() == packs.select("object_key").distinct().count() == 400
+    files = {d: [f for f in os.listdir(f"{out.removeprefix('file://')}/{d}") if f.endswith(".parquet")] for d in os.listdir(out.removeprefix("file://")) if d.startswith("pack=")}
+    assert len(files["pack=big"]) >= 3 and len(files["pack=s0"]) == len(files["pack=s1"]) == 1
+    assert not [n for n in os.listdir(os.path.dirname(path.removeprefix("file://"))) if n.startswith(("live-", "packs-"))]
+
+
 def test_compaction_refuses_a_mismatch(spark, monkeypatch):
     rows = [("d", "File", f"d/{i}", 3, day(1), None, None, b"abc", "p") for i in range(10)]
     seen = iter([(10, 1, 1), (9, 1, 1)])
