@@ -23,5 +23,9 @@ def test_same_rows_as_sql(spark, small, con, name):
     assert ok, text
 
 
+#: Queries whose rows SQL can't give: they rest on an optimal matching. Tested against brute force in test_upkeep.
+WITHOUT_SQL = {"p7_renames"}
+
+
 def test_every_query_has_sql():
-    assert set(core.queries()) == set(core.oracle_sql())
+    assert set(core.queries()) == set(core.oracle_sql()) | WITHOUT_SQL

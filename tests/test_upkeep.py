@@ -289,6 +289,38 @@ def test_builds(spark):
     assert drift.build_changes(df.limit(0)).collect() == []
 
 
+def test_likely_renames_against_all_matchings(spark, small):
+    """On the test table: of all ways to pair what went with what came in a layer, those reported weigh most."""
+    import itertools
+
+    meta = spark.read.parquet(f"{small}/archive_metadata.parquet")
+    got = {(r["tileset"], r["build_no"], r["layer_id"], r["old_name"], r["field_name"]): r["similarity"] for r in drift.likely_renames(meta).where("field_name <> ''").collect()}
+    gone, come = defaultdict(set), defaultdict(set)
+    for r in drift.build_changes(meta).where("field_name <> ''").collect():
+        side, kind = {"removed": (gone, r["old_type"]), "added": (come, r["new_type"])}.get(r["change_kind"], (None, None))
+        if side is not None:
+            side[r["tileset"], r["build_no"], r["layer_id"]].add(drift.Profile(r["field_name"], drift.type_class(kind)))
+    assert got and sum(len(x) > 1 for x in gone.values())
+    for key in gone.keys() & come.keys():
+        a, b = sorted(gone[key], key=str), sorted(come[key], key=str)
+        if len(a) > len(b):
+            ways = [list(zip(p, b)) for p in itertools.permutations(a, len(b))]
+        else:
+            ways = [list(zip(a, p)) for p in itertools.permutations(b, len(a))]
+        weigh = lambda way: sum(drift.similarity(x, y) for x, y in way)
+        best = max(map(weigh, ways))
+        mine = {(o, n): s for (*k, o, n), s in got.items() if tuple(k) == key}
+        assert any(abs(weigh(w) - best) < 1e-9 and {(x.name, y.name) for x, y in w if drift.similarity(x, y) >= drift.LIKELY} == set(mine) for w in ways)
+
+
+def test_schemas_of_files(spark):
+    root = scratch_path(spark, "drift")
+    for n, df in enumerate([spark.range(3).withColumn("a", F.lit("x")), spark.range(3).withColumn("a", F.lit("y")), spark.range(2).withColumn("b", F.lit(1))]):
+        df.write.parquet(f"{root}/{n}")
+    found = drift.schema_versions(spark, root)
+    assert [(n, df.columns, df.count()) for n, df in found] == [("v1", ["id", "a"], 6), ("v2", ["id", "b"], 2)]
+
+
 def test_unify_tables(spark):
     a = spark.createDataFrame([(i, f"n{i}", 1.5) for i in range(50)], "id int, customer_name string, price double")
     b = spark.createDataFrame([(i, f"n{i}", "x") for i in range(50)], "id long, client string, Extra string")

@@ -7,8 +7,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.operators.blocks import previous_number
 
@@ -218,6 +219,17 @@ def build_changes(metadata: DataFrame) -> DataFrame:
     return pairs.mapInPandas(compare, f"tileset string, build_no int, {REPORT}")
 
 
+def likely_renames(metadata: DataFrame, least: float = LIKELY) -> DataFrame:
+    """tileset, build_no, layer_id, field_name, old_name, similarity: fields (field_name '' for layers) that went under one
+    name while another came, and that the best matching of all such pairs of a layer puts together at ``least`` or more.
+
+    The report of build_changes names them added and removed, as their names differ in letters; here they are one thing.
+    """
+    changes = build_changes(metadata).where(F.col("change_kind").isin("added", "layer_added") & (F.col("similarity") >= least))
+    layer = F.when(F.col("change_kind") == "layer_added", F.col("old_name"))
+    return changes.select("tileset", "build_no", "layer_id", "field_name", F.coalesce(layer, "old_name").alias("old_name"), F.round("similarity", 6).alias("similarity")).distinct()
+
+
 def consistent_layers(metadata: DataFrame) -> DataFrame:
     """One row per tileset, layer and field over all builds: the latest spelling, one type, first and last build, builds.
 
@@ -258,6 +270,36 @@ def _class_of(dtype: str) -> str:
     return dtype
 
 
+def schema_versions(spark: SparkSession, root: str) -> list[tuple[str, DataFrame]]:
+    """The Parquet files below root by the schema of their footers, oldest first: one DataFrame for each distinct schema,
+    not for each file. Footers are read by tasks; the driver gets a row per schema, with the names of its files, which a
+    scan needs there anyway. Versions are named v1, v2 and so on."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root).select("path", "modificationTime")
+
+    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "at": batch["modificationTime"], "footer": [footer_schema(p) for p in batch["path"]]})
+
+    read = listed.mapInPandas(footers, "path string, at timestamp, footer string")
+    groups = read.groupBy("footer").agg(F.min("at").alias("at"), F.collect_list("path").alias("paths")).orderBy("at", "footer").collect()
+    frames = [spark.read.schema(T.StructType.fromJson(json.loads(g["footer"]))).parquet(*sorted(g["paths"])) for g in groups]
+    return [(f"v{n + 1}", df) for n, df in enumerate(frames)]
+
+
+def footer_schema(path: str) -> str:
+    """A Parquet file's schema as JSON, with fields that may be null, from its footer alone."""
+    import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    from tilewright.sources.bytes import opened
+
+    with opened(path) as f:
+        found = pq.read_schema(f)
+    own = (found.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+    schema = T.StructType.fromJson(json.loads(own)) if own else from_arrow_schema(found)
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]).json()
+
+
 def unify(tables: Sequence[tuple[str, DataFrame]], least: float = LIKELY) -> tuple[DataFrame, list[tuple[str, str, str, str]]]:
     """All versions as one table with the latest names, and the changes (version, column, kind, other).
 

@@ -71,6 +71,30 @@ def p7_consistent_layers(spark, d):
     return drift.consistent_layers(table(spark, d, "archive_metadata"))
 
 
+def p7_renames(spark, d):
+    return drift.likely_renames(table(spark, d, "archive_metadata"))
+
+
+def _layer_versions(spark, d):
+    """Three deliveries of the layers' table, each written with another schema: first without the level; then with the
+    layer under a name that only its values tell, the extent as text and no version; then with another name and the level."""
+    t = table(spark, d, "tile_layers")
+    root = scratch_path(spark, "drift")
+    once = ["tile_layer_id", "archive_id"]
+    t.select(*once, "layer", "extent", "mvt_version").write.parquet(f"{root}/1")
+    t.select(*once, F.col("layer").alias("theme"), F.col("extent").cast("string").alias("extent")).write.parquet(f"{root}/2")
+    t.select(*once, F.col("layer").alias("LayerTheme"), F.col("extent").cast("string").alias("extent"), "z").write.parquet(f"{root}/3")
+    return drift.unify(drift.schema_versions(spark, root))
+
+
+def p7_unified(spark, d):
+    return _layer_versions(spark, d)[0]
+
+
+def p7_unified_report(spark, d):
+    return spark.createDataFrame(_layer_versions(spark, d)[1], "schema_version string, column string, change_kind string, other string")
+
+
 VALID = """
   SELECT DISTINCT z, x, CASE WHEN regexp_replace(lower(origin), '[^a-z]', '', 'g') = 'bottomleft' THEN (1::BIGINT << z) - 1 - y ELSE y END AS y,
          tile_layer_id, feature_id
@@ -111,7 +135,7 @@ LIVE = """
   WHERE rn = 1 AND size > 0 AND size < 65536 AND NOT contains(substr(object_key, length(dataset) + 1), '/_')
     AND NOT contains(substr(object_key, length(dataset) + 1), '/.')"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_features_per_tile, p2_found, p4_found, p4_ledger, p4_paths, p4_live, p5_found, p7_found, p7_consistent_layers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_features_per_tile, p2_found, p4_found, p4_ledger, p4_paths, p4_live, p5_found, p7_found, p7_consistent_layers, p7_renames, p7_unified, p7_unified_report)}
 
 ORACLE = {
     "p1_found": f"""
@@ -170,6 +194,12 @@ UNION SELECT tileset, build_no, layer_id, '', 'layer_renamed' FROM bth WHERE lay
 UNION SELECT tileset, build_no, layer_id, coalesce(nn, old), CASE WHEN old IS NULL THEN 'added' ELSE 'removed' END FROM ff WHERE nn IS NULL OR old IS NULL
 UNION SELECT tileset, build_no, layer_id, nn, 'renamed' FROM ff WHERE nn <> old
 UNION SELECT tileset, build_no, layer_id, nn, 'retyped' FROM ff WHERE nk <> ok""",
+    "p7_unified": """
+SELECT 'v1' AS schema_version, tile_layer_id, archive_id, layer AS LayerTheme, extent::VARCHAR AS extent, mvt_version, NULL::INT AS z FROM tile_layers
+UNION ALL SELECT 'v2', tile_layer_id, archive_id, layer, extent::VARCHAR, NULL, NULL FROM tile_layers
+UNION ALL SELECT 'v3', tile_layer_id, archive_id, layer, extent::VARCHAR, NULL, z FROM tile_layers""",
+    "p7_unified_report": """SELECT * FROM (VALUES ('v2', 'mvt_version', 'removed', ''), ('v2', 'theme', 'renamed', 'layer'), ('v2', 'extent', 'retyped', 'int'),
+  ('v3', 'LayerTheme', 'renamed', 'theme'), ('v3', 'z', 'added', '')) r(schema_version, "column", change_kind, other)""",
     "p7_consistent_layers": f"""
 WITH builds AS ({BUILDS}), f AS ({FIELDS})
 SELECT tileset, lk AS layer_key, fk AS field_key, arg_max(layer_id, (build_no, layer_id, field_name)) AS layer_id, arg_max(field_name, (build_no, layer_id, field_name)) AS field_name,
