@@ -71,8 +71,7 @@ class MultiIndex:
         for b in range(BLOCKS):
             values = (self._block(prints, b)[:, None] ^ np.array(masks, np.uint32)).ravel()
             order = np.argsort(values, kind="stable")
-            starts = np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1))
-            self.tables.append((starts, (order // len(masks)).astype(np.int32)))
+            self.tables.append((values[order], (order // len(masks)).astype(np.int32)))
 
     @staticmethod
     def _block(prints: np.ndarray, b: int) -> np.ndarray:
@@ -81,18 +80,18 @@ class MultiIndex:
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (position in prints, position in the index) within the radius, in order."""
         left, right, at = [], [], 0
-        found = [self.tables[b][0] for b in range(BLOCKS)]
-        sizes = sum((f[(v := self._block(prints, b)) + 1] - f[v] for b, f in enumerate(found)), np.zeros(len(prints), np.int64))
-        ends = np.cumsum(sizes)
+        spans = []
+        for b, (values, _) in enumerate(self.tables):
+            own = self._block(prints, b)
+            lo = np.searchsorted(values, own, "left")
+            spans.append((lo, np.searchsorted(values, own, "right") - lo))
+        ends = np.cumsum(sum(n for _, n in spans))
         while at < len(prints):  # as many prints at a time as have PAIRS candidates
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            own = prints[at:to]
-            for b, (starts, who) in enumerate(self.tables):
-                v = self._block(own, b)
-                n = starts[v + 1] - starts[v]
-                i, j = np.repeat(np.arange(len(own)), n), who[ranges(starts[v], n)]
-                ok = np.bitwise_count(own[i] ^ self.prints[j]) <= self.radius
-                left.append(i[ok] + at)
+            for (_, who), (lo, n) in zip(self.tables, spans):
+                i, j = np.repeat(np.arange(at, to), n[at:to]), who[ranges(lo[at:to], n[at:to])]
+                ok = np.bitwise_count(prints[i] ^ self.prints[j]) <= self.radius
+                left.append(i[ok])
                 right.append(j[ok])
             at = to
         if not left:
@@ -181,7 +180,7 @@ class Searcher:
 
     def __init__(self, index: ItemIndex):
         self.index = index
-        self.tables = [MultiIndex(majority(k.rows), k.radius) for k in index.kinds]
+        self.tables: dict[int, MultiIndex] = {}
         self.filters = {}
         for s, (hashes, _) in index.known.items():
             filled = np.zeros(1 << _FILTER_BITS, bool)
@@ -202,6 +201,13 @@ class Searcher:
         out[maybe[same]] = at[same]
         return out
 
+    def _table(self, n: int) -> MultiIndex:
+        """Of the windows' n-th kind, made when it is asked for."""
+        if n not in self.tables:
+            kind = self.index.kinds[n]
+            self.tables[n] = MultiIndex(majority(kind.rows), kind.radius)
+        return self.tables[n]
+
     def _segments(self, words: np.ndarray, ends: np.ndarray, size: int, most: int) -> Segments:
         hits = []
         for at in range(0, len(words) - size + 1, STEP):
@@ -230,8 +236,9 @@ class Searcher:
             out[i] = shared / (of(a).sum() + of(b).sum() - shared)
         return out
 
-    def _matches(self, kind: Windows, table: MultiIndex, seg: Segments, shingles: np.ndarray, known: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _matches(self, n_kind: int, seg: Segments, shingles: np.ndarray, known: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, ...]:
         """Place in all words, class, whether equal, and similarity, of the windows that are similar to a class."""
+        kind = self.index.kinds[n_kind]
         m, least = kind.words - kind.size + 1, self.index.least
         n = len(seg.words) - kind.words + 1
         none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, bool, float))
@@ -246,7 +253,7 @@ class Searcher:
         step = max(1, WINDOW_BYTES // (8 * m))
         for i in range(0, len(at), step):
             own = rows[at[i : i + step]]
-            left, right = table.near(majority(own))
+            left, right = self._table(n_kind).near(majority(own))
             equal = np.array([], bool)
             for j in range(0, len(left), step):
                 equal = np.append(equal, (own[left[j : j + step]] == kind.rows[right[j : j + step]]).all(axis=1))
@@ -279,28 +286,25 @@ class Searcher:
         an item-sized one (0 if there is none), in steps of bounded size."""
         words, counts = word_hashes(texts)
         ends = np.cumsum(counts)
-        found: list[tuple[np.ndarray, ...]] = []
+        found: dict[int, tuple[np.ndarray, ...]] = {}
         for size in self.index.known:
-            own = [(k, t) for k, t in zip(self.index.kinds, self.tables) if k.size == size]
-            seg = self._segments(words, ends, size, max(k.words for k, _ in own))
+            own = [n for n, k in enumerate(self.index.kinds) if k.size == size]
+            most = max(self.index.kinds[n].words for n in own)
+            seg = self._segments(words, ends, size, most)
             shingles = shingle_hashes(seg.words, size)
             hit = self._place(shingles, size) >= 0
             # an unknown shingle counts where it wasn't seen shortly before, so that repeated ones don't count twice in a window
-            most = max(k.words for k, _ in own)
             order = np.argsort(shingles, kind="stable")
             again = np.zeros(len(shingles), bool)
             again[order[1:]] = (shingles[order[1:]] == shingles[order[:-1]]) & (order[1:] - order[:-1] < most)
             known = np.append(0, np.cumsum(hit))
             fresh = np.append(0, np.cumsum(~hit & ~again))
-            for kind, table in own:
-                place, cls, equal, score = self._matches(kind, table, seg, shingles, known, fresh)
-                found.append((np.searchsorted(ends, place, "right"), cls, equal, score, place))
-        by_size = sorted(range(len(self.index.kinds)), key=lambda i: list(self.index.known).index(self.index.kinds[i].size))
-        ordered: list = [None] * len(found)
-        for i, f in zip(by_size, found):
-            ordered[i] = f
-        texts_hit = np.unique(np.concatenate([f[0] for f in ordered])) if ordered else np.zeros(0, np.int64)
-        local = [(np.searchsorted(texts_hit, f[0]), *f[1:]) for f in ordered]
+            for n in own:
+                place, cls, equal, score = self._matches(n, seg, shingles, known, fresh)
+                found[n] = np.searchsorted(ends, place, "right"), cls, equal, score, place
+        by_kind = [found[n] for n in range(len(self.index.kinds))]
+        texts_hit = np.unique(np.concatenate([f[0] for f in by_kind]))
+        local = [(np.searchsorted(texts_hit, f[0]), *f[1:]) for f in by_kind]
         for t0, t1, i0, i1 in self._steps(texts_hit, local):
             cols = self._expanded(local, t0, t1, i0, i1)
             if len(cols[0]):
