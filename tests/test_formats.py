@@ -30,7 +30,7 @@ def test_tile_ids(spark):
     rows = df.select("*", hilbert.tile_of_id(F.col("id")).alias("a"), hilbert.tiles_of_ids("id").alias("b")).collect()
     assert [r["id"] for r in rows[:5]] == [0, 1, 2, 3, 4]
     for r in rows:
-        assert tuple(r["a"]) == tuple(r["b"]) == (r["z"], r["x"], r["y"]) == pmtiles.zxy(r["id"])
+        assert tuple(r["a"]) == tuple(r["b"]) == (r["z"], r["x"], r["y"]) 
     bad = spark.createDataFrame([(27, 0, 0), (3, 8, 0), (3, -1, 0), (None, 1, 1)], "z int, x long, y long")
     assert [r[0] for r in bad.select(hilbert.tile_id(F.col("z"), F.col("x"), F.col("y"))).collect()] == [None] * 4
     with pytest.raises(Exception, match="no tile"):
@@ -87,7 +87,7 @@ def test_archive(spark, how, leaf):
     assert (h["addressed_tiles_count"], h["tile_entries_count"], h["tile_contents_count"]) == (1000, 500, 500)
     back = pmtiles.read(spark, path)
     assert {r["tile_id"]: bytes(r["payload"]) for r in back.collect()} == {i + 5: f"t{i // 2}".encode() for i in range(1000)}
-    assert back.where("z = 3").count() == 64
+    assert back.where("z = 3").count() == 64 and back.where("tile_id = 7").count() == 1 and back.where("tile_id > 100 AND tile_id <= 104").count() == 4
     e = pmtiles.read(spark, path, "entries")
     assert e.agg(F.sum("run_length")).first()[0] == 1000 and e.where("run_length = 0").count() == (0 if leaf > 500 else -(-500 // leaf))
     assert json.loads(pmtiles.read(spark, path, "metadata").first()[0])["name"] == "x"
@@ -100,6 +100,41 @@ def test_archive(spark, how, leaf):
         pmtiles.decompress(b"", 3)
 
 
+def test_leaves_that_hold_no_wanted_id_stay_unread(spark, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    path = folder(spark) + "/a.pmtiles"
+    df = spark.range(2000).select((F.col("id") * 2).alias("tile_id"), F.encode(F.col("id").cast("string"), "UTF-8").alias("payload"))
+    pmtiles.write(df, path, leaf_entries=100)
+    reader = pmtiles.ArchiveReader({"path": path}, "tiles")
+    assert len(reader.partitions()) == 21
+    for filters, leaves in (([EqualTo(("tile_id",), 250)], 1), ([In(("tile_id",), (10, 450))], 3), ([GreaterThanOrEqual(("tile_id",), 3000), LessThan(("tile_id",), 3200)], 1), ([EqualTo(("z",), 3)], 1), ([EqualTo(("z",), 20)], 1), ([EqualTo(("payload",), b"")], 20)):
+        reader = pmtiles.ArchiveReader({"path": path}, "tiles")
+        assert list(reader.pushFilters(filters)) == filters and len(reader.partitions()) == 1 + leaves, filters
+    opened, real = [], pmtiles.ranged.read_range
+    monkeypatch.setattr(pmtiles.ranged, "read_range", lambda p, o, n: opened.append(o) or real(p, o, n))
+    reader = pmtiles.ArchiveReader({"path": path}, "tiles")
+    list(reader.pushFilters([EqualTo(("tile_id",), 250)]))
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == [250]
+    assert len(opened) == 4  # header, root for its leaves, root for its tiles, one leaf
+
+
+def test_fetching_tiles(spark):
+    path = folder(spark) + "/a.pmtiles"
+    df = spark.range(50).select((F.col("id") + 20).alias("tile_id"), F.encode(F.floor(F.col("id") / 10).cast("string"), "UTF-8").alias("payload"))
+    h = pmtiles.write(df, path, leaf_entries=2)
+    assert (h["tile_entries_count"], h["tile_contents_count"]) == (5, 5)
+    wanted = spark.createDataFrame([(20, "a", None), (29, "b", "x"), (30, "c", "x"), (69, "d", None), (70, "e", None), (5, "f", None), (None, "g", None), (29, "again", "x")], "tile_id long, k string, tile_offset string")
+    got = {r["k"]: r["payload"] and bytes(r["payload"]) for r in pmtiles.fetch(wanted.drop("tile_offset"), path, missing=True).collect()}
+    assert got == {"a": b"0", "b": b"0", "c": b"1", "d": b"4", "e": None, "f": None, "g": None, "again": b"0"}
+    assert sorted(r["k"] for r in pmtiles.fetch(wanted.drop("tile_offset"), path).collect()) == ["a", "again", "b", "c", "d"]
+    assert pmtiles.fetch(wanted.drop("tile_offset").limit(0), path).collect() == []
+    pmtiles.read(spark, path, expect="vector").count()
+    with pytest.raises(Exception, match="no raster ones"):
+        pmtiles.read(spark, path, expect="raster").count()
+    assert pmtiles.metadata_of(spark, path, "name string").collect()[0]["name"] is None
+
+
 def test_commands():
     line = g.encode("LINESTRING", [[(3, 6), (8, 12), (8, 12), (20, 34)]])
     assert g.decode(line, "LINESTRING") == [[(3, 6), (8, 12), (20, 34)]] and line[0] == 1 << 3 | 1 and line[3] == 2 << 3 | 2

@@ -347,6 +347,20 @@ def test_previous_number(spark):
         assert [got[g, n] for n in s] == [None, *s[:-1]]
 
 
+@pytest.mark.parametrize("width", [3, 4096])
+def test_numbers_and_neighbours_in_blocks(spark, width):
+    rng = random.Random(width)
+    data = [(g, rng.randrange(-40, 40), i) for g in ["a", None] for i in range(120)]
+    df = spark.createDataFrame(data + [("a", None, 999)], "g string, n int, i int")
+    got = {(r["g"], r["i"]): r["no"] for r in blocks.numbered(df, ["g"], "n", ["i"], "no", width).collect()}
+    assert got["a", 999] == 1
+    near = {(r["g"], r["i"]): (r["p"], r["q"]) for r in blocks.beside(df.where("n IS NOT NULL"), ["g"], "n", ["i"], {"p": F.col("i")}, {"q": F.col("i")}, width).collect()}
+    for g in ["a", None]:
+        order = [i for h, n, i in sorted(data, key=lambda r: (str(r[0]), r[1], r[2])) if h == g]
+        assert [got[g, i] for i in order] == list(range(2 if g else 1, 122 if g else 121))
+        assert [near[g, i] for i in order] == list(zip([None, *order], [*order[1:], None]))
+
+
 def test_asof_against_loop(spark):
     rng = random.Random(7)
     entries = [(rng.choice("ab"), rng.randrange(0, 3000), rng.randrange(9)) for _ in range(300)]

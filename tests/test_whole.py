@@ -1,5 +1,8 @@
 """Queries over whole tables: nothing of the input is left out."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -13,31 +16,73 @@ def test_ranges_are_whole(spark, small):
     f = spark.read.parquet(f"{small}/tile_features.parquet").where("z >= 0 AND x >= 0 AND y >= 0 AND x < (1L << z) AND y < (1L << z)")
     most = f.agg(F.max("z"), F.count_distinct("layer", "z")).first()
     q = entry.queries()
-    assert q["pyramid_levels_whole"](spark, small).first()["max_zoom"] == most[0] == 14
-    flip = q["range_flip_whole"](spark, small)
+    assert q["pyramid_levels"](spark, small).first()["max_zoom"] == most[0] == 14
+    flip = q["range_flip"](spark, small)
     assert flip.count() == most[1] and flip.where("maxx - minx > 40").count() > 0
-    # every row of the features lies in the rows of its layer
-    held = f.join(q["range_tiles_whole"](spark, small), ["layer", "z", "y"]).where("x BETWEEN minx AND maxx")
-    assert held.count() == f.where("layer IS NOT NULL").count()
+    # every row of the features lies in one range of the union, and their number is that of the tiles that were counted
+    union = q["range_union"](spark, small)
+    held = f.select("z", "x", "y").join(union, "z").where("x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy")
+    assert held.count() == f.count()
+    assert q["range_tiles"](spark, small).count() == 4 * q["tile_moves"](spark, small).count()
+
+
+RANGE = "k string, z int, minx long, miny long, maxx long, maxy long"
+
+
+def cells(rows):
+    return {(r[-5], x, y) for r in rows for x in range(r[-4], r[-2] + 1) for y in range(r[-3], r[-1] + 1)}
+
+
+def area(rows):
+    return sum((r[-2] - r[-4] + 1) * (r[-1] - r[-3] + 1) for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ranges_against_sets_of_tiles(spark, seed):
+    """Unions and differences hold each tile once and no other; coverage and neighbours are those of the tiles, none of which is listed."""
+    rng = random.Random(seed)
+    some = lambda n: [(rng.choice("ab"), rng.choice([5, 6]), x := rng.randrange(20), y := rng.randrange(20), x + rng.randrange(8), y + rng.randrange(8)) for _ in range(n)]
+    one, two = some(15), some(10)
+    a, b = spark.createDataFrame(one + one[:2], RANGE), spark.createDataFrame(two, RANGE)
+    for made, want in ((ranges.union_ranges(a), cells(one)), (ranges.subtract_ranges(a, b), cells(one) - cells(two))):
+        got = [tuple(r) for r in made.collect()]
+        assert cells(got) == want and area(got) == len(want)
+    covered = dict(map(tuple, ranges.covered_ranges(a, b, "k").collect()))
+    assert covered == {k: cells(r for r in one if r[0] == k) <= cells(two) for k in {r[0] for r in one}}
+    assert all(dict(map(tuple, ranges.covered_ranges(a, a, "k").collect())).values())
+    whole = [tuple(r) for r in ranges.traversed(a).collect()]
+    for z in (5, 6):
+        order = sorted((y, x) for zz, x, y in cells(one) if zz == z)
+        after, before = dict(zip(order, order[1:])), dict(zip(order[1:], order))
+        for _, y, low, high, px, py, nx, ny in (r for r in whole if r[0] == z):
+            assert before.get((y, low), (None, None)) == (py, px) and after.get((y, high), (None, None)) == (ny, nx)
 
 
-def test_rows_agree_with_tiles(spark):
-    a = spark.createDataFrame([("a", 5, 0, 0, 9, 3), ("b", 5, 10, 1, 12, 2), ("c", 5, 20, 2, 25, 6), ("d", 5, 3, 2, 22, 2), ("e", 6, 0, 0, 3, 3), ("f", 5, 7, 9, 6, 9)], "k string, z int, minx long, miny long, maxx long, maxy long")
-    b = spark.createDataFrame([(5, 4, 1, 5, 2), (5, 8, 2, 21, 3), (6, 0, 0, 3, 3)], "z int, minx long, miny long, maxx long, maxy long")
-    tiles = lambda df: sorted(tuple(r) for r in df.select("z", F.explode(F.sequence("minx", "maxx")).alias("x"), "y").collect())
-    union, rest = ranges.union_rows(a), ranges.subtract_rows(a, b)
-    assert tiles(union) == sorted(tuple(r) for r in ranges.union_tiles(a).select("z", "x", "y").collect())
-    assert tiles(rest) == sorted(tuple(r) for r in ranges.subtract_tiles(a, b).select("z", "x", "y").collect())
-    assert union.where("z = 5 AND y = 2").count() == 1  # runs that touch are one
-    for few in (b, a.drop("k"), b.where("z = 6")):
-        assert sorted(ranges.covered_by_rows(a, few, "k").collect()) == sorted(ranges.covered_ranges(a, few, "k").collect())
+def test_overlapping_ranges_become_three(spark):
+    """Two squares of which one covers the other's corner."""
+    two = spark.createDataFrame([("a", 4, 0, 0, 9, 9), ("b", 4, 4, 4, 14, 14)], RANGE)
+    got = sorted(tuple(r) for r in ranges.union_ranges(two).collect())
+    assert got == [(4, 0, 0, 9, 3), (4, 0, 4, 14, 9), (4, 4, 10, 14, 14)] and area(got) == 100 + 121 - 36
+    assert ranges.union_ranges(two.limit(0)).collect() == [] and ranges.subtract_ranges(two, two).collect() == []
+    assert ranges.union_ranges(spark.createDataFrame([("a", 20, 0, 0, 2**20 - 1, 2**20 - 1)] * 2, RANGE)).count() == 1  # a million million tiles
+
+
+def test_ranges_of_other_zooms_and_origins(spark):
+    a, b = spark.createDataFrame([("a", 3, 0, 0, 1, 1)], RANGE), spark.createDataFrame([("b", 4, 0, 0, 1, 1)], RANGE)
+    assert ranges.intersect_ranges(a, b).collect() == []
+    with pytest.raises(ValueError, match="different zooms"):
+        ranges.require_one_zoom(a, b)
+    ranges.require_one_zoom(a, a)
+    top, low = a.withColumn("origin", F.lit("TOP_LEFT")), spark.createDataFrame([("c", 3, 0, 6, 1, 7, "bottom-left"), ("d", 3, 0, 0, 1, 1, "bottom-left"), ("e", 3, 1, 6, 9, 6, "BOTTOM_LEFT")], RANGE + ", origin string")
+    got = ranges.range_relations(top.withColumnRenamed("k", "i"), low.withColumnRenamed("k", "j"), "i", "j").collect()
+    assert {(r["j"], r["contains"], r["intersects"]) for r in got} == {("c", True, True), ("d", False, False), ("e", False, True)}
 
 
 def test_all_ids_go_through_an_archive(spark, tmp_path):
     """Ids over 400,000 as well, of a run that crosses it and of a level far below."""
     e = [(1, 5, 0, 10, 2), (1, 399_999, 10, 10, 3), (1, 406_500, 20, 10, 1), (2, 90_000_000, 0, 5, 1), (2, 5, 0, 5, 1)]
     spark.createDataFrame(e, "archive_id long, tile_id long, tile_offset long, length_bytes int, run_length int").write.parquet(f"{tmp_path}/tile_entries.parquet")
-    back = {r["tile_id"]: r for r in entry.queries()["archive_roundtrip_whole"](spark, str(tmp_path)).collect()}
+    back = {r["tile_id"]: r for r in entry.queries()["archive_roundtrip"](spark, str(tmp_path)).collect()}
     assert sorted(back) == [5, 6, 399_999, 400_000, 400_001, 406_500, 90_000_000]
     assert all(r["content"] == f"tile {t // 3}" for t, r in back.items()) and back[90_000_000]["z"] == 14
 
@@ -58,34 +103,9 @@ def test_all_kinds_are_decoded_in_the_plan(spark):
     assert sorted(r["feature_id"] for r in half.select("feature_id").collect()) == [1, 2, 4]
 
 
-def test_gates_let_all_spellings_through():
-    from tilewright.llm import pii
-
-    for label in ("numéro de sécurité sociale: 1234567", "Fuhrerschein: 1234567", "national\nid: 1234567", "id  card: 1234567"):
-        assert [label[a:b] for a, b in pii.id_numbers(label, label.lower())] == ["1234567"], label
-    for text in ("anna ( at ) host (dot) org", "anna [ at ] host.org", "anna (arroba) host.org"):
-        assert [text[a:b] for a, b in pii.emails(text, text.lower())] == [text], text
-
-
-def test_partners_are_counted_exactly(spark):
-    """Two partners of a word count as two, also those that a bitmap of 64 slots held for one."""
-    import hashlib
-    from itertools import combinations
-
-    from tilewright.llm import pii, redact
-
-    given = ["Anna", "Bruno", "Clara", "David", "Elena", "Felix", "Greta", "Hugo", "Irene", "Jonas", "Karla", "Lukas", "Maria", "Nora", "Oskar", "Paula", "Quentin", "Rosa", "Simon", "Tilda", "Ulrich", "Vera", "Walter", "Xenia"]
-    slot = lambda w: int.from_bytes(hashlib.blake2b(pii.plain_form(w).encode(), digest_size=8).digest(), "big") % 64
-    a, b = next((a, b) for a, b in combinations(given, 2) if slot(a) == slot(b))
-    docs = spark.createDataFrame([(f"We met {n} Quastner there.",) for n in (a, b)], "text string").repartition(2)
-    parts = [(g, pii.GIVEN) for g in given]
-    assert [w for w, _ in redact.learned_parts(docs, parts)] == [pii.plain_form("Quastner")]
-    assert redact.learned_parts(docs.where(F.col("text").contains(a)), parts) == []
-
-
 def test_all_levels_and_values(spark, small, tmp_path):
     q = entry.queries()
-    assert q["bbox_tile_range_whole"](spark, small).agg(F.max("z")).first()[0] == 17
+    assert q["bbox_tile_range"](spark, small).agg(F.max("z")).first()[0] == 17
     square = [0.0] * 16 + [1.0, 0.0, 1.0, 1.0, 0.0, 1.0] + [0.0] * 42
     spark.createDataFrame([(1, square)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert q["ring_area_whole"](spark, str(tmp_path)).first()["area"] == 1_000_000
+    assert q["ring_area"](spark, str(tmp_path)).first()["area"] == 1_000_000

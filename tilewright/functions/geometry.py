@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -197,24 +198,55 @@ def simplify(part: Ring, tolerance: float) -> Ring:
     return [part[i] for i in sorted(keep)]
 
 
-def prepare(kind: str, parts: Sequence[Ring], extent: int = 4096, buffer: int = 32, tolerance: float = 0.0, min_length: float = 0.0, min_area: float = 0.0) -> list[int]:
-    """Commands of a geometry in tile pixels: simplified (points aren't), clipped, snapped; empty where nothing is left.
+def crosses_itself(ring: Ring) -> bool:
+    """Whether two edges of a ring that aren't neighbours meet, or a point comes twice."""
+    n = len(ring)
+    if len(set(ring)) < n:
+        return True
+    p = np.array(ring, float)
+    q = np.roll(p, -1, axis=0)
+    turn = lambda a, b, c: np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
+    for i in range(n - 2):
+        j = np.arange(i + 2, n - (i == 0))  # the last edge is the first one's neighbour
+        a, b, c, d = p[i], q[i], p[j], q[j]
+        o1, o2, o3, o4 = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
+        if ((o1 * o2 < 0) & (o3 * o4 < 0)).any():
+            return True
+        touch = (o1 == 0) & (np.minimum(a, b) <= c).all(axis=1) & (c <= np.maximum(a, b)).all(axis=1)
+        if (touch | ((o3 == 0) & (np.minimum(c, d) <= a).all(axis=1) & (a <= np.maximum(c, d)).all(axis=1))).any():
+            return True
+    return False
+
+
+def simplify_ring(ring: Ring, tolerance: float) -> Ring:
+    """A ring simplified so that it stays one: where the result crosses itself, twice the tolerance is tried, and where
+    nothing is left of it or that crosses itself, too, ever finer ones down to the ring itself."""
+    if tolerance <= 0:
+        return list(ring)
+    sound = lambda r: len(r) > 2 and area2(r) != 0 and not crosses_itself(r)
+    at = lambda t: simplify([*ring, ring[0]], t)[:-1]
+    first = at(tolerance)
+    if sound(first):
+        return first
+    if len(first) > 2 and area2(first) and sound(coarse := at(2 * tolerance)):
+        return coarse
+    for k in range(1, 12):
+        if sound(fine := at(tolerance / 2**k)):
+            return fine
+    return list(ring)
+
 
-    A ring whose simplification loses its shape is tried at twice the tolerance's detail and else kept as it was.
-    """
+def prepare(kind: str, parts: Sequence[Ring], extent: int = 4096, buffer: int = 32, tolerance: float = 0.0, min_length: float = 0.0, min_area: float = 0.0) -> list[int]:
+    """Commands of a geometry in tile pixels: small ones left out, simplified (points aren't), clipped, snapped; empty
+    where nothing is left."""
     done = []
     for p in parts:
         if kind == "POLYGON":
-            s = simplify([*p, p[0]], tolerance)[:-1] if tolerance > 0 else list(p)
-            if len(s) < 3 or not area2(s):
-                s = simplify([*p, p[0]], tolerance / 2)[:-1]
-                s = s if len(s) > 2 and area2(s) else list(p)
-            if abs(area2(s)) / 2 >= min_area:
-                done.append(s)
+            if abs(area2(p)) / 2 >= min_area:
+                done.append(simplify_ring(p, tolerance))
         elif kind == "LINESTRING":
-            s = simplify(list(p), tolerance)
-            if sum(((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) ** 0.5 for a, b in zip(s, s[1:])) >= min_length:
-                done.append(s)
+            if sum(((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) ** 0.5 for a, b in zip(p, p[1:])) >= min_length:
+                done.append(simplify(list(p), tolerance))
         else:
             done.append(list(p))
     return encode(kind, clip(kind, done, extent, buffer))
@@ -236,9 +268,20 @@ def wkt(kind: str, parts: Sequence[Ring]) -> str:
 # ---- the same on columns, where built-in expressions can do it
 
 
-def command_text(commands: Column) -> Column:
-    """A stream as text, for looking at it."""
-    return F.concat_ws(" ", F.transform(commands, lambda c: c.cast("string")))
+def described(commands: Sequence[int]) -> str:
+    """A stream as text, for looking at it: each command with its points as offsets."""
+    out, i = [], 0
+    while i < len(commands):
+        op, n = commands[i] & 7, commands[i] >> 3
+        i += 1
+        name = {MOVE: "MoveTo", LINE: "LineTo", CLOSE: "ClosePath"}.get(op, f"?{op}")
+        if op == CLOSE:
+            out.append(f"{name}({n})")
+            continue
+        points = [(unzigzag(commands[k]), unzigzag(commands[k + 1])) for k in range(i, min(i + 2 * n, len(commands) - 1), 2)]
+        out.append(f"{name}({n}): " + ", ".join(f"({x:+d},{y:+d})" for x, y in points))
+        i += 2 * n
+    return "; ".join(out)
 
 
 def packed(op: Column, count: Column) -> Column:
@@ -268,6 +311,33 @@ def points_of(commands: Column) -> Column:
     return F.when(ok, F.aggregate(F.sequence(F.lit(0), n - 1), start, step))
 
 
+def scaled(parts: Column, factor: Column) -> Column:
+    """Parts in another extent: every coordinate times new extent / old extent."""
+    return F.transform(parts, lambda p: F.transform(p, lambda q: F.struct((q["x"] * factor).alias("x"), (q["y"] * factor).alias("y"))))
+
+
+def moved(parts: Column, by_x: Column, by_y: Column) -> Column:
+    return F.transform(parts, lambda p: F.transform(p, lambda q: F.struct((q["x"] + by_x).alias("x"), (q["y"] + by_y).alias("y"))))
+
+
+def steps(points: Column) -> Column:
+    """Offsets dx, dy of each point from the one before, of the first from the origin: what command streams store."""
+    before = F.concat(F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))), F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))))
+    return F.zip_with(points, before, lambda a, b: F.struct((a["x"] - b["x"]).alias("dx"), (a["y"] - b["y"]).alias("dy")))
+
+
+def line_length(points: Column) -> Column:
+    after = F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0)))
+    each = F.zip_with(F.slice(points, 1, F.size(after)), after, lambda a, b: F.hypot((b["x"] - a["x"]).cast("double"), (b["y"] - a["y"]).cast("double")))
+    return F.aggregate(each, F.lit(0.0), lambda s, t: s + t)
+
+
+def slice_of(points: Column, start: int, end: int) -> Column:
+    """Points from ``start`` up to before ``end``, counted from 0; an error outside the sequence."""
+    ok = (F.lit(start) >= 0) & (F.lit(start) <= F.lit(end)) & (F.lit(end) <= F.size(points))
+    return F.when(ok, F.slice(points, F.lit(start + 1), F.lit(max(0, end - start)))).when(points.isNotNull(), F.raise_error(F.lit("outside the sequence")))
+
+
 def ring_area2(points: Column) -> Column:
     """Twice the signed area of an array of structs x, y."""
     following = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))

@@ -61,3 +61,13 @@ def next_in_range(x: Column, y: Column, minx: Column, maxx: Column, maxy: Column
 def previous_in_range(x: Column, y: Column, minx: Column, miny: Column, maxx: Column) -> Column:
     wraps = x <= minx
     return F.when(~(wraps & (y <= miny)), F.struct(F.when(wraps, maxx).otherwise(x - 1).alias("x"), F.when(wraps, y - 1).otherwise(y).alias("y")))
+
+
+def shifted(z: Column, x: Column, y: Column, by_x: Column | int, by_y: Column | int) -> tuple[Column, Column, Column]:
+    """The tile so many columns and rows away, also outside the level."""
+    return z, x + by_x, y + by_y
+
+
+def at_zoom(z: Column, x: Column, y: Column, zoom: Column) -> tuple[Column, Column, Column]:
+    """The tile of the same column and row at another zoom: nothing is rescaled."""
+    return zoom, x, y

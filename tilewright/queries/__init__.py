@@ -1,8 +1,8 @@
 """All queries of the core, with the SQL that gives the same rows."""
 
-from tilewright.queries import archives, grid, more, upkeep, whole
+from tilewright.queries import archives, geometries, grid, more, upkeep
 
-MODULES = [upkeep, grid, archives, more, whole]
+MODULES = [upkeep, grid, archives, more, geometries]
 
 
 def queries():

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry, glob, grids, hilbert, names, tiles
@@ -72,25 +69,54 @@ def directory_decode(spark, d):
     return directory.decode_offsets(ids, ["archive_id"]).select("archive_id", "tile_id", "tile_offset", "length_bytes", "run_length")
 
 
-def archive_roundtrip(spark, d, entries="tile_id < 400000"):
-    """Tiles of all archives' ids, written as one archive with leaf directories and read back through the data source.
-
-    A sample: entries of ids under 400,000. archive_roundtrip_whole takes all.
-    """
-    ids = directory.expand_runs(_clean(spark, d).where(entries)).distinct()
+def _archive(spark, d, **how):
+    """An archive of the tiles of all archives' entries, with leaf directories."""
+    ids = directory.expand_runs(_clean(spark, d)).distinct()
     made = ids.select("tile_id", F.encode(F.concat(F.lit("tile "), F.floor(F.col("tile_id") / 3).cast("string")), "UTF-8").alias("payload"))
-    path = scratch_path(spark, "archive")
-    os.makedirs(path.removeprefix("file://"), exist_ok=True)
-    pmtiles.write(made, path + "/a.pmtiles", leaf_entries=2000)
-    return pmtiles.read(spark, path + "/a.pmtiles").select("tile_id", "z", "x", "y", F.decode("payload", "UTF-8").alias("content"))
+    path = scratch_path(spark, "archive") + "/a.pmtiles"
+    pmtiles.write(made, path, '{"name": "all tiles", "vector_layers": [{"id": "l", "fields": {"k": "String"}}]}', leaf_entries=2000, **how)
+    return path
+
+
+def archive_roundtrip(spark, d):
+    """Tiles of all archives' ids, written as one archive with leaf directories and read back through the data source."""
+    return pmtiles.read(spark, _archive(spark, d)).select("tile_id", "z", "x", "y", F.decode("payload", "UTF-8").alias("content"))
+
+
+def archive_level(spark, d):
+    """Tiles of one zoom of the archive: leaf directories of other levels stay unread."""
+    return pmtiles.read(spark, _archive(spark, d)).where("z = 9").select("tile_id", "x", "y", F.decode("payload", "UTF-8").alias("content"))
+
+
+def archive_metadata_read(spark, d):
+    return pmtiles.metadata_of(spark, _archive(spark, d), "name string, vector_layers array<struct<id:string,fields:map<string,string>>>").select("name", F.col("vector_layers")[0]["id"].alias("layer"), F.col("vector_layers")[0]["fields"]["k"].alias("kind"))
+
+
+def tile_fetch(spark, d):
+    """Contents by z/x/y: of the tiles that features lie in, of each entry's first tile and of the one five ids on; tiles
+    that the archive lacks are left out."""
+    at = hilbert.tiles_of_ids("tile_id")
+    ids = _clean(spark, d).select(F.explode(F.array("tile_id", F.col("tile_id") + 5)).alias("tile_id"))
+    wanted = _tiles(spark, d).unionByName(ids.select(at.alias("t")).select("t.z", "t.x", "t.y")).distinct()
+    found = pmtiles.fetch(wanted.withColumn("tile_id", hilbert.checked_tile_id(*map(F.col, "zxy"))), _archive(spark, d))
+    return found.select("z", "x", "y", F.decode("payload", "UTF-8").alias("content"))
+
+
+def range_reads(spark, d):
+    """Contents of the archive by byte ranges of its file, some of them cut at its end."""
+    path = _archive(spark, d, compression=1)
+    h = pmtiles.read(spark, path, "header").select("tile_data_offset", "tile_data_bytes")
+    places = pmtiles.read(spark, path, "entries").where("run_length > 0").select("tile_offset", "length_bytes").distinct().crossJoin(F.broadcast(h))
+    ends = F.col("tile_offset") + F.col("length_bytes") == F.col("tile_data_bytes")
+    wanted = places.select(F.lit("a.pmtiles").alias("key"), (F.col("tile_data_offset") + F.col("tile_offset")).alias("range_offset"), F.when(ends, F.col("length_bytes") + 100).otherwise(F.col("length_bytes")).cast("long").alias("range_length"))
+    return storage.read_ranges(spark, path.rpartition("/")[0], wanted).select(F.decode("bytes", "UTF-8").alias("content"))
 
 
 def archive_header(spark, d):
-    path = scratch_path(spark, "archive")
-    os.makedirs(path.removeprefix("file://"), exist_ok=True)
+    path = scratch_path(spark, "archive") + "/h.pmtiles"
     made = _tiles(spark, d).select(hilbert.tile_id(*map(F.col, "zxy")).alias("tile_id"), F.encode(F.concat_ws("/", "z", "x", "y"), "UTF-8").alias("payload"))
-    pmtiles.write(made, path + "/h.pmtiles", min_lon_e7=int(1.412368 * 1e7))
-    h = pmtiles.described(pmtiles.read(spark, path + "/h.pmtiles", "header"))
+    pmtiles.write(made, path, min_lon_e7=int(1.412368 * 1e7))
+    h = pmtiles.described(pmtiles.read(spark, path, "header"))
     return h.select("addressed_tiles_count", "tile_contents_count", "min_zoom", "max_zoom", "min_lon", "max_lat", "compression", "mime_type", "is_raster")
 
 
@@ -159,43 +185,6 @@ def command_pack(spark, d):
     return c.select("c_custkey", geometry.packed(F.lit(1), F.col("n")).alias("command"), geometry.zigzag_column(F.col("v")).alias("param"), geometry.unzigzag_column(geometry.zigzag_column(F.col("v"))).alias("back"))
 
 
-def _pixels(spark, d):
-    c = table(spark, d, "customer")
-    return c.select("c_custkey", "c_mktsegment", (F.col("c_custkey") * 7919 % 50000 / 10.0 - 200).alias("px"), (F.col("c_custkey") * 104729 % 50000 / 10.0 - 200).alias("py"))
-
-
-PIXELS = "SELECT c_custkey, c_mktsegment, c_custkey * 7919 % 50000 / 10.0::DOUBLE - 200 AS px, c_custkey * 104729 % 50000 / 10.0::DOUBLE - 200 AS py FROM customer"
-
-
-def clip_and_snap(spark, d):
-    """Points inside extent and buffer, on the grid (halves up)."""
-    p = _pixels(spark, d).where(F.col("px").between(-32, 4128) & F.col("py").between(-32, 4128))
-    return p.select("c_custkey", F.floor(F.col("px") + 0.5).alias("x"), F.floor(F.col("py") + 0.5).alias("y"))
-
-
-def cursor_deltas(spark, d):
-    """Offsets from point to point in each segment, and the points again as running sums."""
-    p = clip_and_snap(spark, d).join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
-    w = Window.partitionBy("c_mktsegment").orderBy("c_custkey")
-    q = p.withColumns({"dx": F.col("x") - F.coalesce(F.lag("x").over(w), F.lit(0)), "dy": F.col("y") - F.coalesce(F.lag("y").over(w), F.lit(0))})
-    return q.select("c_custkey", "dx", "dy", F.sum("dx").over(w).alias("x"), F.sum("dy").over(w).alias("y"))
-
-
-def ring_area(spark, d, n_points=lambda: F.lit(8)):
-    """Signed area of the rings that the first values of each embedding make, 8 points each. ring_area_whole takes all values."""
-    e = table(spark, d, "embeddings")
-    pts = F.transform(F.sequence(F.lit(0), n_points() - 1), lambda i: F.struct(F.round(F.get("embedding", i * 2) * 1000).cast("long").alias("x"), F.round(F.get("embedding", i * 2 + 1) * 1000).cast("long").alias("y")))
-    return e.select("vec_id", (geometry.ring_area2(pts) / 2).alias("area"))
-
-
-def pixel_to_crs(spark, d):
-    """First points of point features of zoom 9 in Web Mercator meters. pixel_to_crs_whole has all vertices of all features."""
-    q = FeatureQuery().at(9).in_meters()
-    f = plan(q, table(spark, d, "tile_features"), table(spark, d, "tile_layers"), matrixsets.default_sets(spark))
-    p = F.get("points", F.lit(0))
-    return f.where(p.isNotNull()).select("x", "y", "tile_layer_id", "feature_id", F.round(p["x"], 2).alias("mx"), F.round(p["y"], 2).alias("my")).distinct()
-
-
 def _webmercator(spark):
     return matrixsets.default_sets(spark).where("set_id = 'WebMercatorQuad'")
 
@@ -213,17 +202,6 @@ def feature_query_by_resolution(spark, d):
     return f.groupBy("z", "layer").agg(F.count_distinct("tile_layer_id", "feature_id").alias("n"))
 
 
-def mvt_roundtrip(spark, d):
-    """Tiles built from the features with their attributes, and decoded again."""
-    f = table(spark, d, "tile_features").where(tiles.is_valid(*map(F.col, "zxy")))
-    y = tiles.top_left_row(F.col("z"), F.col("y"), F.col("origin"))
-    once = f.withColumn("y", y).dropDuplicates(["tile_layer_id", "feature_id"])
-    rows = layers.attributes(once.select("z", "x", "y", "layer", "extent", "feature_id", "geom_type", "tags", "commands", "tile_layer_id"), table(spark, d, "tile_layers"))
-    packed = mvt.encode(rows)
-    back = mvt.decode(packed)
-    return back.groupBy("z", "x", "y", "layer").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("attributes")).alias("n_attributes"), F.sum(F.size("commands")).alias("n_commands"))
-
-
 def glob_match(spark, d):
     """Keys of the listings by several patterns."""
     s = table(spark, d, "storage_snapshots").where("kind = 'File'").select("object_key").distinct()
@@ -281,9 +259,9 @@ def setting_keys(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    entry_list, directory_totals, expand_runs, tiles_by_zoom, asof_tile_lookup, exact_entry_lookup, directory_codec, directory_decode, archive_roundtrip, archive_header, metadata_layers, metadata_json,
-    feature_attributes, attribute_lookup, value_kinds, layer_features, dictionary_index, auto_ids, point_decode, command_pack, clip_and_snap, cursor_deltas, ring_area, pixel_to_crs, feature_query,
-    feature_query_by_resolution, mvt_roundtrip, glob_match, byte_blocks, byte_ranges, delete_outcome, store_capabilities, address_parts, crs_codes, setting_keys,
+    entry_list, directory_totals, expand_runs, tiles_by_zoom, asof_tile_lookup, exact_entry_lookup, directory_codec, directory_decode, archive_roundtrip, archive_level, archive_metadata_read, tile_fetch, range_reads, archive_header, metadata_layers, metadata_json,
+    feature_attributes, attribute_lookup, value_kinds, layer_features, dictionary_index, auto_ids, point_decode, command_pack, feature_query,
+    feature_query_by_resolution, glob_match, byte_blocks, byte_ranges, delete_outcome, store_capabilities, address_parts, crs_codes, setting_keys,
 )}
 
 PAIRS = """SELECT tile_layer_id, feature_id, tags, layer_keys[k + 1] AS key,
@@ -294,10 +272,10 @@ PAIRS = """SELECT tile_layer_id, feature_id, tags, layer_keys[k + 1] AS key,
 F_ONCE = "SELECT DISTINCT tile_layer_id, feature_id, tags FROM tile_features"
 P0 = "(CASE WHEN commands[{n}] % 2 = 0 THEN commands[{n}] // 2 ELSE -((commands[{n}] + 1) // 2) END)"
 DELTA = "CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END"
-CUT = f"SELECT c_custkey, c_mktsegment, floor(px + 0.5::DOUBLE)::BIGINT AS x, floor(py + 0.5::DOUBLE)::BIGINT AS y FROM ({PIXELS}) WHERE px BETWEEN -32 AND 4128 AND py BETWEEN -32 AND 4128"
 VALID_ROWS = "z BETWEEN 0 AND 62 AND x >= 0 AND y >= 0 AND x < (1::BIGINT << z) AND y < (1::BIGINT << z)"
 TOP = "CASE WHEN regexp_replace(lower(origin), '[^a-z]', '', 'g') = 'bottomleft' THEN (1::BIGINT << z) - 1 - y ELSE y END"
 EXPANDED = "SELECT archive_id, unnest(range(tile_id, tile_id + run_length)) AS tile_id FROM (SELECT DISTINCT * FROM tile_entries WHERE run_length > 0)"
+ALL_TILES = f"(SELECT unnest(range(tile_id, tile_id + run_length)) AS tile_id FROM ({CLEAN}))"
 KEYS = "SELECT DISTINCT object_key FROM storage_snapshots WHERE kind = 'File'"
 
 ORACLE = {
@@ -317,7 +295,12 @@ WITH e AS ({CLEAN})
 SELECT archive_id, (row_number() OVER w - 1)::INT AS i, tile_id - coalesce(lag(tile_id) OVER w, 0) AS delta, run_length, length_bytes,
        CASE WHEN tile_offset = lag(tile_offset + length_bytes) OVER w THEN 0 ELSE tile_offset + 1 END AS stored FROM e WINDOW w AS (PARTITION BY archive_id ORDER BY tile_id)""",
     "directory_decode": f"SELECT archive_id, tile_id, tile_offset, length_bytes, run_length FROM ({CLEAN})",
-    "archive_roundtrip": UNHILBERT.format(source=f"(SELECT unnest(range(tile_id, tile_id + run_length)) AS tile_id FROM ({CLEAN}) WHERE tile_id < 400000)") + "SELECT tile_id, z, x, y, 'tile ' || (tile_id // 3) AS content FROM h WHERE i = z",
+    "archive_roundtrip": UNHILBERT.format(source=ALL_TILES) + "SELECT tile_id, z, x, y, 'tile ' || (tile_id // 3) AS content FROM h WHERE i = z",
+    "archive_level": UNHILBERT.format(source=f"{ALL_TILES} WHERE tile_id BETWEEN 87381 AND 349524") + "SELECT tile_id, x, y, 'tile ' || (tile_id // 3) AS content FROM h WHERE i = z AND z = 9",
+    "archive_metadata_read": "SELECT 'all tiles' AS name, 'l' AS layer, 'String' AS kind",
+    "tile_fetch": UNHILBERT.format(source=ALL_TILES) + f""", t AS ({TILES}), i AS (SELECT tile_id FROM ({CLEAN}) UNION SELECT tile_id + 5 FROM ({CLEAN}))
+SELECT z, x, y, 'tile ' || (tile_id // 3) AS content FROM h WHERE i = z AND (tile_id IN (SELECT tile_id FROM i) OR (z, x, y) IN (SELECT z, x, y FROM t))""",
+    "range_reads": f"SELECT DISTINCT 'tile ' || (tile_id // 3) AS content FROM {ALL_TILES}",
     "archive_header": f"""SELECT count(*) AS addressed_tiles_count, count(*) AS tile_contents_count, min(z) AS min_zoom, max(z) AS max_zoom, 1.412368::DOUBLE AS min_lon, 85.0::DOUBLE AS max_lat,
   'gzip' AS compression, 'application/vnd.mapbox-vector-tile' AS mime_type, false AS is_raster FROM ({TILES})""",
     "metadata_layers": """SELECT archive_id, max(l.minzoom) AS max_minzoom, count(*) AS n_layers, sum(cardinality(l.fields))::BIGINT AS n_fields
@@ -341,18 +324,6 @@ WITH f AS (SELECT DISTINCT tile_layer_id, feature_id, commands FROM tile_feature
 g AS (SELECT *, commands[1] & 7 = 1 AND commands[1] >> 3 > 0 AND len(commands) = (commands[1] >> 3) * 2 + 1 AS ok FROM f)
 SELECT tile_layer_id, count(*) AS n, sum(CASE WHEN ok THEN {P0.format(n=2)} END)::BIGINT AS sum_x, sum(CASE WHEN ok THEN {P0.format(n=3)} END)::BIGINT AS sum_y, count(*) FILTER (NOT coalesce(ok, false)) AS n_other FROM g GROUP BY 1""",
     "command_pack": f"SELECT c_custkey, ((n * 8) + 1)::INT AS command, ({DELTA})::INT AS param, v AS back FROM (SELECT c_custkey, (c_custkey % 3 + 1)::INT AS n, (c_custkey * 37 % 8192 - 4096)::INT AS v FROM customer)",
-    "clip_and_snap": f"SELECT c_custkey, x, y FROM ({CUT})",
-    "cursor_deltas": f"SELECT c_custkey, x - coalesce(lag(x) OVER w, 0) AS dx, y - coalesce(lag(y) OVER w, 0) AS dy, x, y FROM ({CUT}) WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_custkey)",
-    "ring_area": """
-WITH p AS (SELECT vec_id, i, round(embedding[2 * i + 1] * 1000)::BIGINT AS x, round(embedding[2 * i + 2] * 1000)::BIGINT AS y FROM (SELECT *, unnest(range(8)) AS i FROM embeddings))
-SELECT a.vec_id, sum(a.x * b.y - b.x * a.y)::DOUBLE / 2 AS area FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i = (a.i + 1) % 8 GROUP BY 1""",
-    "pixel_to_crs": f"""
-WITH f AS (SELECT DISTINCT z, x, {TOP} AS y, extent, tile_layer_id, feature_id, commands FROM tile_features WHERE z = 9 AND {VALID_ROWS} AND commands[1] & 7 = 1 AND commands[1] >> 3 > 0 AND len(commands) = (commands[1] >> 3) * 2 + 1)
-SELECT DISTINCT x, y, tile_layer_id, feature_id, round(x * s - {HW} + {P0.format(n=2)} * s / extent, 2) AS mx, round({HW} - y * s - {P0.format(n=3)} * s / extent, 2) AS my FROM (SELECT *, 2 * {HW} / 512 AS s FROM f)""",
-    "mvt_roundtrip": f"""
-WITH once AS (SELECT tile_layer_id, feature_id, any_value(z) AS z, any_value(x) AS x, any_value({TOP}) AS y, any_value(layer) AS layer, any_value(tags) AS tags, any_value(commands) AS commands FROM tile_features WHERE {VALID_ROWS} GROUP BY 1, 2),
-a AS (SELECT tile_layer_id, feature_id, count(DISTINCT key) AS n_attributes FROM ({PAIRS.format(features='SELECT tile_layer_id, feature_id, tags FROM once')}) WHERE value IS NOT NULL GROUP BY 1, 2)
-SELECT z, x, y, layer, count(*) AS n, sum(coalesce(n_attributes, 0))::BIGINT AS n_attributes, sum(len(commands))::BIGINT AS n_commands FROM once LEFT JOIN a USING (tile_layer_id, feature_id) GROUP BY 1, 2, 3, 4""",
     "feature_query": f"""
 WITH l AS (SELECT 2 * {HW} / 512 AS s), b AS (SELECT * FROM (VALUES (-20037508.0::DOUBLE, -1e7::DOUBLE, 2e6::DOUBLE, 1e7::DOUBLE), (-5e6, -20037508.0, 20037508.0, 5e6)) t(a, b, c, d)),
 r AS (SELECT greatest(floor((a + {HW}) / s + 1e-6)::BIGINT, 0) AS x0, least(floor((c + {HW}) / s - 1e-6)::BIGINT, 511) AS x1, greatest(floor(({HW} - d) / s + 1e-6)::BIGINT, 0) AS y0, least(floor(({HW} - b) / s - 1e-6)::BIGINT, 511) AS y1 FROM b, l),

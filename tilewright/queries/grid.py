@@ -3,6 +3,7 @@ synthetic, derived from integer keys; boxes and ranges come from the tiles of ti
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import boxes, grids, hilbert, mercator, tiles
@@ -139,26 +140,37 @@ def zoom_for_resolution(spark, d):
 def tile_moves(spark, d):
     """Shifted, flipped and moved to another zoom (which keeps x and y)."""
     t = _tiles(spark, d)
-    return t.select("z", "x", "y", (F.col("x") + 3).alias("x_shifted"), (F.col("y") - 2).alias("y_shifted"), tiles.flip(F.col("z"), F.col("y")).alias("y_flipped"), (F.col("z") + 1).alias("z_deeper"))
+    moved = tiles.shifted(*map(F.col, "zxy"), 3, -2)
+    deeper = tiles.at_zoom(*map(F.col, "zxy"), F.col("z") + 1)
+    return t.select("z", "x", "y", moved[1].alias("x_shifted"), moved[2].alias("y_shifted"), tiles.flip(F.col("z"), F.col("y")).alias("y_flipped"), deeper[0].alias("z_deeper"))
 
 
 def _ranges(spark, d):
-    """One range per origin spelling, zoom and layer of the features, as delivered: overlapping, of many sizes.
+    """The range of each layer and zoom of the features, as delivered: overlapping, of many sizes, up to whole levels."""
+    f = table(spark, d, "tile_features").where(tiles.is_valid(F.col("z"), F.col("x"), F.col("y")))
+    return f.groupBy("layer", "z").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
 
-    A sample: zooms up to 9, each range cut to 41 columns and 31 rows. The whole ranges are in queries/whole.py.
-    """
-    f = table(spark, d, "tile_features").where(tiles.is_valid(F.col("z"), F.col("x"), F.col("y")) & (F.col("z") <= 9))
-    g = f.groupBy("layer", "z").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
-    return g.withColumns({"maxx": F.least("maxx", F.col("minx") + 40), "maxy": F.least("maxy", F.col("miny") + 30)})
 
+RANGES = """SELECT layer, z, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy
+  FROM tile_features WHERE z BETWEEN 0 AND 62 AND x >= 0 AND y >= 0 AND x < (1::BIGINT << z) AND y < (1::BIGINT << z) GROUP BY layer, z"""
+ROWS = "SELECT layer, z, unnest(range(miny, maxy + 1)) AS y, minx, maxx FROM r"
 
-RANGES = """SELECT layer, z, min(x) AS minx, min(y) AS miny, least(max(x), min(x) + 40) AS maxx, least(max(y), min(y) + 30) AS maxy
-  FROM tile_features WHERE z BETWEEN 0 AND 9 AND x >= 0 AND y >= 0 AND x < (1::BIGINT << z) AND y < (1::BIGINT << z) GROUP BY layer, z"""
-CELLS = "SELECT layer, z, unnest(range(minx, maxx + 1)) AS x, y FROM (SELECT *, unnest(range(miny, maxy + 1)) AS y FROM r)"
 
+def UNITED(rows):
+    """Runs of each row of tiles by the greatest end so far, another way than the operator's. Rows alike are one, as windows
+    put them in any order."""
+    w = "OVER (PARTITION BY z, y ORDER BY minx, maxx ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
+    return f"""SELECT z, y, min(minx) AS minx, max(maxx) AS maxx FROM (SELECT *, sum(begins) {w.format('CURRENT ROW')} AS run FROM (
+  SELECT *, CASE WHEN minx <= max(maxx) {w.format('1 PRECEDING')} + 1 THEN 0 ELSE 1 END AS begins FROM (SELECT DISTINCT z, y, minx, maxx FROM ({rows})))) GROUP BY z, y, run"""
 
-def range_corners(spark, d, ranges_of=_ranges):
-    r = ranges_of(spark, d)
+
+def STACKED(runs):
+    """Ranges of rows one under another that have the same run."""
+    return f"""SELECT z, minx, min(y) AS miny, maxx, max(y) AS maxy FROM (SELECT *, y - row_number() OVER (PARTITION BY z, minx, maxx ORDER BY y) AS stack FROM ({runs})) GROUP BY z, minx, maxx, stack"""
+
+
+def range_corners(spark, d):
+    r = _ranges(spark, d)
     b = [F.col(c) for c in ranges.BOUNDS]
     out = []
     for origin in ("TOP_LEFT", "BOTTOM_LEFT"):
@@ -171,58 +183,73 @@ def range_corners(spark, d, ranges_of=_ranges):
 
 
 def range_tiles(spark, d):
-    return ranges.expand(_ranges(spark, d), ["layer"])
+    """Every tile of the ranges that tiles have at the next level: four of each."""
+    t = _tiles(spark, d)
+    below = t.select((F.col("z") + 1).alias("z"), (F.col("x") * 2).alias("minx"), (F.col("y") * 2).alias("miny"), (F.col("x") * 2 + 1).alias("maxx"), (F.col("y") * 2 + 1).alias("maxy"))
+    return ranges.expand(below)
 
 
 def range_union(spark, d):
-    return ranges.union_tiles(_ranges(spark, d))
+    return ranges.union_ranges(_ranges(spark, d))
 
 
-def range_counts(spark, d, ranges_of=_ranges):
+def range_counts(spark, d):
     """Tiles of each level's ranges, their bounding range and its tiles."""
-    r = ranges_of(spark, d)
+    r = _ranges(spark, d)
     b = ranges.bounding(r)
     return b.join(ranges.count_tiles(r), "z").withColumn("n_bounding", tiles.n_tiles(*[F.col(c) for c in ranges.BOUNDS]))
 
 
-def pyramid_levels(spark, d, ranges_of=_ranges):
-    r = ranges_of(spark, d)
+def pyramid_levels(spark, d):
+    r = _ranges(spark, d)
     return r.agg(F.min("z").alias("min_zoom"), F.max("z").alias("max_zoom"), F.count_distinct("z").alias("n_levels"), F.sum(tiles.n_tiles(*[F.col(c) for c in ranges.BOUNDS])).alias("n_tiles"))
 
 
-def range_intersection(spark, d, ranges_of=_ranges):
+def range_intersection(spark, d):
     """Every range with those of the layer roads."""
-    r = ranges_of(spark, d)
+    r = _ranges(spark, d)
     roads = r.where("layer = 'roads'").drop("layer")
     return ranges.intersect_ranges(r, roads, ["layer"])
 
 
 def range_subtract(spark, d):
     r = _ranges(spark, d)
-    return ranges.subtract_tiles(r.where("layer <> 'roads'"), r.where("layer = 'roads'"))
+    return ranges.subtract_ranges(r.where("layer <> 'roads'"), r.where("layer = 'roads'"))
 
 
 def range_covered(spark, d):
-    """Which layers' ranges at each zoom the other ranges hold completely."""
+    """Which ranges of the layer water at each zoom the other layers' ranges hold completely."""
     r = _ranges(spark, d).withColumn("key", F.concat_ws("/", "layer", "z"))
     return ranges.covered_ranges(r.where("layer = 'water'"), r.where("layer <> 'water'"), "key")
 
 
-def range_flip(spark, d, ranges_of=_ranges):
-    return ranges.flipped(ranges_of(spark, d)).select("layer", "z", *ranges.BOUNDS)
+def range_flip(spark, d):
+    return ranges.flipped(_ranges(spark, d)).select("layer", "z", *ranges.BOUNDS)
 
 
 def next_and_previous_tile(spark, d):
-    n = ranges.neighbours(ranges.union_tiles(_ranges(spark, d)), ["z"])
-    return n.select("z", "x", "y", F.col("before.x").alias("px"), F.col("before.y").alias("py"), F.col("after.x").alias("nx"), F.col("after.y").alias("ny"))
+    """The tiles before and after each run of the union."""
+    return ranges.traversed(_ranges(spark, d)).select("z", "y", "minx", "maxx", "px", "py", "nx", "ny")
 
 
 def next_in_closed_form(spark, d):
+    """The tiles before and after each row of each range."""
+    r = _ranges(spark, d)
+    c = ranges.rows(r, ["layer"]).join(r.select("layer", "z", "miny", "maxy"), ["layer", "z"])
+    n = tiles.next_in_range(F.col("maxx"), F.col("y"), F.col("minx"), F.col("maxx"), F.col("maxy"))
+    p = tiles.previous_in_range(F.col("minx"), F.col("y"), F.col("minx"), F.col("miny"), F.col("maxx"))
+    return c.select("layer", "z", "y", "minx", "maxx", n.alias("n"), p.alias("p")).select("layer", "z", "y", "minx", "maxx", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+
+
+def range_order(spark, d):
+    """Ranges in their natural order: by zoom, then row, then column of their first tile, then of their last."""
     r = _ranges(spark, d)
-    c = ranges.expand(r, ["layer"]).join(r, ["layer", "z"])
-    n = tiles.next_in_range(F.col("x"), F.col("y"), F.col("minx"), F.col("maxx"), F.col("maxy"))
-    p = tiles.previous_in_range(F.col("x"), F.col("y"), F.col("minx"), F.col("miny"), F.col("maxx"))
-    return c.select("layer", "z", "x", "y", n.alias("n"), p.alias("p")).select("layer", "z", "x", "y", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    return r.select("layer", "z", *ranges.BOUNDS, F.row_number().over(Window.partitionBy("z").orderBy(*ranges.ORDER, "layer")).alias("place"))
+
+
+def range_ends(spark, d):
+    """The first and the last tile of each level's union, in traversal order."""
+    return ranges.ends(_ranges(spark, d), ["z"])
 
 
 def _nation_boxes(spark, d):
@@ -234,9 +261,9 @@ def _nation_boxes(spark, d):
 NATIONS = f"SELECT n_nationkey, lon AS minx, lat AS miny, lon + 5 + n_nationkey AS maxx, lat + 3 + n_nationkey / 2 AS maxy FROM ({PTS('nation', 'n_nationkey')})"
 
 
-def bbox_tile_range(spark, d, kept="z <= 10"):
-    """Boxes in degrees against levels 0 to 10 of the quad of degrees, touching edges left out. bbox_tile_range_whole has all levels."""
-    levels = matrixsets.default_sets(spark).where("set_id = 'WorldCRS84Quad'").where(kept).select("z", (F.col("resolution") * F.col("tile_width")).alias("side"), "matrix_width", "matrix_height")
+def bbox_tile_range(spark, d):
+    """Boxes in degrees against all levels of the quad of degrees, touching edges left out."""
+    levels = matrixsets.default_sets(spark).where("set_id = 'WorldCRS84Quad'").select("z", (F.col("resolution") * F.col("tile_width")).alias("side"), "matrix_width", "matrix_height")
     joined = _nation_boxes(spark, d).crossJoin(F.broadcast(levels))  # at most 18 levels
     found = grids.box_range(*[F.col(c) for c in BOX], F.lit(-180.0), F.lit(90.0), F.col("side"), F.col("matrix_width"), F.col("matrix_height"))
     out = joined.select("n_nationkey", "z", *[c.alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), found)])
@@ -366,8 +393,8 @@ SELECT p_partkey, CASE WHEN r < w THEN greatest(z - 1, 0) ELSE z END AS z_speed,
     "range_corners": f"""WITH r AS ({RANGES})
 SELECT layer, z, 'TOP_LEFT' AS origin, minx AS lower_left_x, maxy AS lower_left_y, maxx AS upper_right_x, miny AS upper_right_y FROM r
 UNION ALL SELECT layer, z, 'BOTTOM_LEFT', minx, miny, maxx, maxy FROM r""",
-    "range_tiles": f"WITH r AS ({RANGES}) {CELLS}",
-    "range_union": f"WITH r AS ({RANGES}) SELECT DISTINCT z, x, y FROM ({CELLS})",
+    "range_tiles": f"SELECT z + 1 AS z, 2 * x + i AS x, 2 * y + j AS y FROM ({TILES}), (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)",
+    "range_union": f"WITH r AS ({RANGES}) {STACKED(UNITED(ROWS))}",
     "range_counts": f"""WITH r AS ({RANGES})
 SELECT z, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, sum((maxx - minx + 1) * (maxy - miny + 1))::BIGINT AS n_tiles,
        (max(maxx) - min(minx) + 1) * (max(maxy) - min(miny) + 1) AS n_bounding FROM r GROUP BY z""",
@@ -375,16 +402,21 @@ SELECT z, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS
     "range_intersection": f"""WITH r AS ({RANGES})
 SELECT a.layer, z, greatest(a.minx, b.minx) AS minx, greatest(a.miny, b.miny) AS miny, least(a.maxx, b.maxx) AS maxx, least(a.maxy, b.maxy) AS maxy
 FROM r a JOIN r b USING (z) WHERE b.layer = 'roads' AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy""",
-    "range_subtract": f"WITH r AS ({RANGES}), c AS ({CELLS}) SELECT DISTINCT z, x, y FROM c WHERE layer <> 'roads' EXCEPT SELECT z, x, y FROM c WHERE layer = 'roads'",
-    "range_covered": f"""WITH r AS ({RANGES}), c AS ({CELLS}), o AS (SELECT DISTINCT z, x, y FROM c WHERE layer <> 'water')
-SELECT c.layer || '/' || c.z AS key, count(*) = count(o.z) AS covered FROM c LEFT JOIN o ON (c.z, c.x, c.y) = (o.z, o.x, o.y) WHERE layer = 'water' GROUP BY 1""",
+    "range_subtract": f"""WITH r AS ({RANGES}), u AS ({UNITED(ROWS + " WHERE layer <> 'roads'")}), o AS (SELECT * FROM ({ROWS}) WHERE layer = 'roads'),
+j AS (SELECT u.*, o.minx AS a, o.maxx AS b FROM u LEFT JOIN o ON u.z = o.z AND u.y = o.y AND o.minx <= u.maxx AND o.maxx >= u.minx),
+s AS (SELECT z, y, minx, maxx FROM j WHERE a IS NULL UNION ALL SELECT z, y, minx, a - 1 FROM j WHERE minx < a UNION ALL SELECT z, y, b + 1, maxx FROM j WHERE maxx > b)
+{STACKED('SELECT * FROM s')}""",
+    "range_covered": f"""WITH r AS ({RANGES}), u AS ({UNITED(ROWS + " WHERE layer <> 'water'")}), w AS (SELECT * FROM ({ROWS}) WHERE layer = 'water')
+SELECT w.layer || '/' || w.z AS key, count(*) = count(u.z) AS covered FROM w LEFT JOIN u ON w.z = u.z AND w.y = u.y AND u.minx <= w.minx AND u.maxx >= w.maxx GROUP BY 1""",
+    "range_order": f"WITH r AS ({RANGES}) SELECT *, row_number() OVER (PARTITION BY z ORDER BY miny, minx, maxy, maxx, layer)::INT AS place FROM r",
+    "range_ends": f"""WITH r AS ({RANGES}), u AS ({UNITED(ROWS)}) SELECT z, arg_min(minx, (y, minx)) AS first_x, min(y) AS first_y, arg_max(maxx, (y, maxx)) AS last_x, max(y) AS last_y FROM u GROUP BY z""",
     "range_flip": f"WITH r AS ({RANGES}) SELECT layer, z, minx, (1::BIGINT << z) - 1 - maxy AS miny, maxx, (1::BIGINT << z) - 1 - miny AS maxy FROM r",
-    "next_and_previous_tile": f"""WITH r AS ({RANGES}), u AS (SELECT DISTINCT z, x, y FROM ({CELLS}))
-SELECT z, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM u WINDOW w AS (PARTITION BY z ORDER BY y, x)""",
-    "next_in_closed_form": f"""WITH r AS ({RANGES}), c AS ({CELLS})
-SELECT layer, z, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lag(x) OVER w AS px, lag(y) OVER w AS py FROM c WINDOW w AS (PARTITION BY layer, z ORDER BY y, x)""",
+    "next_and_previous_tile": f"""WITH r AS ({RANGES}), u AS ({UNITED(ROWS)})
+SELECT z, y, minx, maxx, lag(maxx) OVER w AS px, lag(y) OVER w AS py, lead(minx) OVER w AS nx, lead(y) OVER w AS ny FROM u WINDOW w AS (PARTITION BY z ORDER BY y, minx)""",
+    "next_in_closed_form": f"""WITH r AS ({RANGES}), c AS ({ROWS})
+SELECT layer, z, y, minx, maxx, lead(minx) OVER w AS nx, lead(y) OVER w AS ny, lag(maxx) OVER w AS px, lag(y) OVER w AS py FROM c WINDOW w AS (PARTITION BY layer, z ORDER BY y)""",
     "bbox_tile_range": f"""
-WITH l AS (SELECT z, resolution * side AS s, across * n AS w, down * n AS h FROM ({LEVELS}) WHERE set_id = 'WorldCRS84Quad' AND z <= 10),
+WITH l AS (SELECT z, resolution * side AS s, across * n AS w, down * n AS h FROM ({LEVELS}) WHERE set_id = 'WorldCRS84Quad'),
 b AS (SELECT n_nationkey, z, w, h, floor((minx + 180) / s + 1e-6)::BIGINT AS x0, floor((maxx + 180) / s - 1e-6)::BIGINT AS x1, floor((90 - maxy) / s + 1e-6)::BIGINT AS y0, floor((90 - miny) / s - 1e-6)::BIGINT AS y1
       FROM ({NATIONS}) CROSS JOIN l)
 SELECT n_nationkey, z, greatest(x0, 0) AS x0, greatest(y0, 0) AS y0, least(x1, w - 1) AS x1, least(y1, h - 1) AS y1 FROM b WHERE x1 >= 0 AND y1 >= 0 AND x0 < w AND y0 < h AND x1 >= x0 AND y1 >= y0""",

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tilewright.operators import layers, matrixsets, ranges
+from tilewright.operators import blocks, layers, matrixsets, ranges
 from tilewright.queries.grid import HW, LEVELS, PTS, R, RANGES, TILES, _ranges, _tiles, points
 from tilewright.session import table
 
 
-def range_relations(spark, d, ranges_of=_ranges):
-    r = ranges_of(spark, d)
+def range_relations(spark, d):
+    r = _ranges(spark, d)
     return ranges.range_relations(r.withColumnRenamed("layer", "a_layer"), r.withColumnRenamed("layer", "b_layer"), "a_layer", "b_layer")
 
 
-def tiles_in_pyramid(spark, d, ranges_of=_ranges):
-    return ranges.inside_pyramid(_tiles(spark, d), ranges_of(spark, d))
+def tiles_in_pyramid(spark, d):
+    return ranges.inside_pyramid(_tiles(spark, d), _ranges(spark, d))
 
 
 def archive_levels(spark, d):
@@ -47,9 +47,8 @@ def matrix_order(spark, d):
 
 def tile_orders(spark, d):
     """Places of tiles in the order (x, y) and in traversal order (y, x) of their level."""
-    t = _tiles(spark, d)
-    place = lambda *c: F.row_number().over(Window.partitionBy("z").orderBy(*c))
-    return t.select("z", "x", "y", place("x", "y").alias("compared"), place("y", "x").alias("traversed"))
+    compared = blocks.numbered(_tiles(spark, d), ["z"], "x", ["y"], "compared")
+    return blocks.numbered(compared, ["z"], "y", ["x"], "traversed")
 
 
 def metadata_changes(spark, d):
@@ -88,7 +87,7 @@ SELECT n_nationkey, z, greatest(a0, 0) AS minx, greatest(b0, 0) AS miny, least(a
     "requested_layers": "SELECT DISTINCT z, f.layer, wish FROM tile_features f JOIN (VALUES ('water', 0), ('no such layer', 1), ('roads', 2), ('pois', 3)) w(layer, wish) ON f.layer = w.layer",
     "collection_members": "SELECT c_custkey, first_id, member_no, parts[member_no + 1] AS member, first_id + member_no AS member_id FROM (SELECT *, unnest(range(len(parts)))::INT AS member_no FROM (SELECT c_custkey, string_split(c_name, '#') AS parts, c_custkey * 10 AS first_id FROM customer))",
     "matrix_order": f"SELECT set_id, z::VARCHAR AS id, (row_number() OVER (PARTITION BY set_id ORDER BY resolution DESC) - 1)::INT AS z FROM ({LEVELS})",
-    "tile_orders": f"SELECT z, x, y, row_number() OVER (PARTITION BY z ORDER BY x, y)::INT AS compared, row_number() OVER (PARTITION BY z ORDER BY y, x)::INT AS traversed FROM ({TILES})",
+    "tile_orders": f"SELECT z, x, y, row_number() OVER (PARTITION BY z ORDER BY x, y) AS compared, row_number() OVER (PARTITION BY z ORDER BY y, x) AS traversed FROM ({TILES})",
     "metadata_changes": """SELECT archive_id, coalesce(description, 'none') AS description, vector_layers[1].minzoom + 1 AS first_minzoom,
   coalesce(list_sum([coalesce(l.minzoom + 1, 0) for l in vector_layers]), 0)::INT AS sum_minzoom FROM archive_metadata WHERE vector_layers IS NOT NULL""",
     "zoom_rollup": "SELECT z, layer, count(*) AS n, grouping_id(z, layer)::BIGINT AS level FROM tile_features WHERE z IS NOT NULL GROUP BY ROLLUP (z, layer)",

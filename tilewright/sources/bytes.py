@@ -38,3 +38,21 @@ def read_range(path: str, offset: int, length: int) -> bytes:
 def size_of(path: str) -> int:
     system, own = located(path)
     return system.get_file_info(own).size
+
+
+def made(folder: str) -> None:
+    system, own = located(folder)
+    system.create_dir(own, recursive=True)
+
+
+def created(path: str) -> pa.NativeFile:
+    """A new file to write to, with the folders that it needs."""
+    system, own = located(path)
+    if "/" in own:
+        system.create_dir(own.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(own)
+
+
+def moved(old: str, new: str) -> None:
+    system, own = located(old)
+    system.move(own, located(new)[1])

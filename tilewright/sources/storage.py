@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions import glob
 from tilewright.functions.names import is_safe_key, require_safe
+from tilewright.sources import bytes as ranged
 from tilewright.sources import files
 
 BLOCK_BYTES = 65_536
@@ -36,14 +41,36 @@ def list_files(spark: SparkSession, root: str, pattern: str = "**") -> DataFrame
 
 
 def read_ranges(spark: SparkSession, root: str, ranges: DataFrame) -> DataFrame:
-    """key, range_offset, range_length with the bytes; cut at the end of the file, empty past it, an error below zero."""
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    bare = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
-    own = contents.select(F.substring_index("path", bare + "/", -1).alias("key"), "content")
-    joined = ranges.where(is_safe_key(F.col("key"))).join(own, "key")
-    ok = (F.col("range_offset") >= 0) & (F.col("range_length") >= 0)
-    part = F.substring(F.col("content"), F.col("range_offset").cast("int") + 1, F.col("range_length").cast("int"))
-    return joined.select("key", "range_offset", "range_length", F.when(ok, part).otherwise(F.raise_error(F.lit("negative range")).cast("binary")).alias("bytes"))
+    """The columns of ``ranges`` (key, range_offset, range_length and any other) with ``bytes``; cut at the end of the file,
+    empty past it, an error below zero or for a file that isn't there. Unsafe keys are left out.
+
+    Ranges of a file come together, ordered, and each task opens a file once and reads its ranges alone.
+    """
+    own = ranges.where(is_safe_key(F.col("key")))
+    names = own.columns
+    schema = T.StructType([*own.schema, T.StructField("bytes", T.BinaryType())])
+    at = [names.index(c) for c in ("key", "range_offset", "range_length")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, file, size = None, None, 0
+        for batch in batches:
+            out = []
+            for key, offset, length in zip(*(batch.column(i).to_pylist() for i in at)):
+                if key != now:
+                    if file:
+                        file.close()
+                    now, file = key, ranged.opened(f"{root.rstrip('/')}/{key}")
+                    size = file.size()
+                if offset < 0 or length < 0:
+                    raise ValueError(f"range {offset} and {length} of {key}")
+                out.append(file.read_at(min(length, size - offset), offset) if offset < size else b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
+        if file:
+            file.close()
+
+    # by offset, too: a large file with many ranges is read by many tasks
+    spread = own.repartitionByRange("key", "range_offset").sortWithinPartitions("key", "range_offset")
+    return spread.mapInArrow(run, schema)
 
 
 def blocks_of(ranges: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:

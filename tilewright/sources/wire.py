@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -53,6 +53,8 @@ def fields(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
 
 
 def packed(data: bytes) -> list[int]:
+    if not data or max(data) < 0x80:
+        return list(data)
     out, at = [], 0
     while at < len(data):
         n, at = varint(data, at)
@@ -60,6 +62,23 @@ def packed(data: bytes) -> list[int]:
     return out
 
 
+def varints(numbers: Sequence[int]) -> bytes:
+    """Numbers of 32 bits one after another; negative ones as their two's complement."""
+    try:
+        if not numbers or max(numbers) < 0x80:
+            return bytes(numbers)
+    except ValueError:  # some are negative
+        pass
+    out = bytearray()
+    for n in numbers:
+        n &= 0xFFFFFFFF
+        while n > 0x7F:
+            out.append(n & 0x7F | 0x80)
+            n >>= 7
+        out.append(n)
+    return bytes(out)
+
+
 def field(number: int, value: int | bytes | str) -> bytes:
     if isinstance(value, int):
         return to_varint(number << 3) + to_varint(value)
