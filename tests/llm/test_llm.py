@@ -108,6 +108,26 @@ def test_runs_of_nothing_and_collapse(spark):
     assert got == sorted([("u", "a", 2, 120.0), ("u", None, 2, 60.0), ("u", "a", 1, None), (None, "a", 1, 0.0)], key=repr)
 
 
+@pytest.mark.parametrize("width", [1, 5, 1000])
+def test_collapse_over_blocks(spark, monkeypatch, width):
+    """Runs that go on over one or many blocks, against a loop; the hot group spans all of them."""
+    monkeypatch.setattr(runs, "NUMBERS", width)
+    rng = random.Random(width)
+    ev = [(rng.choice(["a", "b", None]), i, rng.choice(["x", "x", "x", "y", None])) for i in rng.sample(range(-100, 300), 200)] + [("hot", i, "x" if i < 150 else "y") for i in range(300)] + [("a", None, "x")]
+    times = spark.createDataFrame(ev, "g string, i int, k string").withColumn("at", F.timestamp_seconds(F.col("i")))
+    got = rows_of(runs.collapse(times, ["g"], ["i"], ["k"], "at").select("g", "k", "n_events", "seconds"))
+    want = []
+    for g in {e[0] for e in ev}:
+        last = object()
+        for _, i, k in sorted((e for e in ev if e[0] == g), key=lambda e: (e[1] is not None, e[1] or 0)):
+            if k != last:
+                want.append([g, k, 0, []])
+                last = k
+            want[-1][2] += 1
+            want[-1][3] += [] if i is None else [i]
+    assert got == sorted([(g, k, n, float(max(t) - min(t)) if t else None) for g, k, n, t in want], key=repr)
+
+
 # words and leaks
 
 
