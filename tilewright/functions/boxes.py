@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tilewright.functions import mercator
+
 Box = tuple[Column, Column, Column, Column]
 
 
@@ -45,5 +47,10 @@ def wkt(b: Box) -> Column:
     return F.concat(F.lit("POLYGON (("), points, F.lit("))"))
 
 
+def of_tile(z: Column, x: Column, y: Column) -> Box:
+    """A tile of the Web Mercator quad in meters; with contains and intersects, whether it holds a point or meets a box."""
+    return mercator.tile_box_meters(z, x, y)
+
+
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))

@@ -212,8 +212,8 @@ def crosses_itself(ring: Ring) -> bool:
         o1, o2, o3, o4 = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
         if ((o1 * o2 < 0) & (o3 * o4 < 0)).any():
             return True
-        touch = (o1 == 0) & (np.minimum(a, b) <= c).all(axis=1) & (c <= np.maximum(a, b)).all(axis=1)
-        if (touch | ((o3 == 0) & (np.minimum(c, d) <= a).all(axis=1) & (a <= np.maximum(c, d)).all(axis=1))).any():
+        on = lambda o, u, v, w: (o == 0) & (np.minimum(u, v) <= w).all(axis=-1) & (w <= np.maximum(u, v)).all(axis=-1)
+        if (on(o1, a, b, c) | on(o2, a, b, d) | on(o3, c, d, a) | on(o4, c, d, b)).any():
             return True
     return False
 
@@ -284,6 +284,14 @@ def described(commands: Sequence[int]) -> str:
     return "; ".join(out)
 
 
+def plain_kind(name: Column) -> Column:
+    """The kind under which a geometry is stored, by its type's name in any spelling: multi-part ones and rings under that
+    of their parts; UNKNOWN for collections and all else."""
+    bare = F.regexp_replace(F.regexp_replace(F.upper(name), "[^A-Z]", ""), "^MULTI", "")
+    ring = F.when(bare.isin("LINEARRING", "LINE"), "LINESTRING").otherwise(bare)
+    return F.when(ring.isin(*KINDS.values()), ring).when(name.isNotNull(), "UNKNOWN")
+
+
 def packed(op: Column, count: Column) -> Column:
     return F.shiftleft(count, 3).bitwiseOR(op)
 

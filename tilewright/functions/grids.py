@@ -72,6 +72,17 @@ def scale_of_resolution(resolution: Column, crs: Column) -> Column:
 
 
 def crs_code(uri: Column) -> Column:
-    """EPSG:code or CRS:84 of an OGC URI or URN; other text as it is."""
-    last = F.element_at(F.split(uri, "[/:]"), -1)
-    return F.when(F.upper(uri).rlike(r"CRS:?/?84$|/CRS84$"), "CRS:84").when(F.upper(uri).rlike("EPSG"), F.concat(F.lit("EPSG:"), last)).otherwise(uri)
+    """AUTHORITY:code of an address under www.opengis.net/def/crs, CRS:84 of that of CRS84; other text trimmed, as it is."""
+    plain = F.trim(uri)
+    parts = F.split(plain, "/")
+    authority, code = F.get(parts, F.size(parts) - 3), F.get(parts, F.size(parts) - 1)
+    known = plain.rlike("^https?://www[.]opengis[.]net/def/crs/") & (F.size(parts) >= 3)
+    plate = (F.lower(authority) == "ogc") & (F.lower(code) == "crs84")
+    return F.when(known & plate, "CRS:84").when(known, F.concat(authority, F.lit(":"), code)).otherwise(plain)
+
+
+def range_extent(minx: Column, miny: Column, maxx: Column, maxy: Column, origin: Column, origin_x: Column, origin_y: Column, span_x: Column, span_y: Column) -> tuple[Column, Column, Column, Column]:
+    """Bounding box of a range of tiles, from its corners alone."""
+    a = tile_extent(minx, miny, origin, origin_x, origin_y, span_x, span_y)
+    b = tile_extent(maxx, maxy, origin, origin_x, origin_y, span_x, span_y)
+    return F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[2], b[2]), F.greatest(a[3], b[3])

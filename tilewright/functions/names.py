@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Former names of settings and what they are called now.
-OLD_KEYS = {"rangereader.provider": "storage.provider", "rangereader.caching": "storage.caching.enabled"}
+#: Settings that were renamed.
+RENAMED = {"storage.gcs.host": "storage.gcs.endpoint"}
 
 
 def s3_parts(url: Column) -> Column:
@@ -36,11 +36,25 @@ def is_safe_key(key: Column) -> Column:
     return F.coalesce((key != "") & ~key.rlike(r"(^|/)\.{1,2}(/|$)") & ~key.startswith("/") & ~key.contains("\x00"), F.lit(False))
 
 
-def normal_key(name: Column, old: dict[str, str] = OLD_KEYS) -> Column:
-    """A setting's name in lower case with dots, under its present name."""
-    plain = F.regexp_replace(F.lower(F.trim(name)), "[_-]", ".")
-    pairs = F.create_map(*[F.lit(x) for kv in old.items() for x in kv])
-    return F.coalesce(pairs[plain], plain)
+def normal_key(name: Column, old_prefix: str = "", renamed: dict[str, str] = RENAMED) -> Column:
+    """A setting under its present name: a former prefix gives way to storage., and renamed settings follow. Case and
+    separators are left as they are."""
+    moved = F.when(F.startswith(name, F.lit(old_prefix)), F.concat(F.lit("storage."), F.substr(name, F.lit(len(old_prefix) + 1)))).otherwise(name) if old_prefix else name
+    pairs = F.create_map(*[F.lit(x) for kv in renamed.items() for x in kv])
+    return F.coalesce(pairs[moved], moved)
+
+
+def present_name(name: str, old_prefix: str = "", renamed: dict[str, str] = RENAMED) -> str:
+    """normal_key for one name."""
+    moved = "storage." + name[len(old_prefix) :] if old_prefix and name.startswith(old_prefix) else name
+    return renamed.get(moved, moved)
+
+
+def relative_key(root: str, address: Column) -> Column:
+    """The key of an address below a root, without its query; null for addresses elsewhere and for keys that aren't safe."""
+    base = root.rstrip("/") + "/"
+    own = F.regexp_replace(F.when(F.startswith(address, F.lit(base)), F.substr(address, F.lit(len(base) + 1))), "[?#].*$", "")
+    return F.when(is_safe_key(own), own)
 
 
 def require_safe(pattern: str) -> str:

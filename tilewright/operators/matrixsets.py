@@ -6,7 +6,7 @@ import json
 import xml.etree.ElementTree as ET
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import grids
@@ -90,7 +90,7 @@ def limits(matrices: DataFrame, set_limits: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, text: str) -> DataFrame:
-    """A set from its JSON document; levels are numbered by falling scale, and all matrices must have one tile size."""
+    """A set from its JSON document; levels are numbered by falling scale, and each matrix keeps its tile size."""
     doc = json.loads(text)
     crs = doc.get("crs") or doc.get("supportedCRS") or ""
     crs = crs if isinstance(crs, str) else crs.get("uri", "")
@@ -116,16 +116,59 @@ def read_xml(spark: SparkSession, text: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, set_id: str, crs_uri: str, rows: list[tuple]) -> DataFrame:
-    if len({r[6:8] for r in rows}) > 1:
-        raise ValueError("matrices of different tile sizes")
     df = spark.createDataFrame(rows, "id string, sd double, cell double, origin_x double, origin_y double, origin string, tile_width int, tile_height int, matrix_width long, matrix_height long")
     df = df.withColumns({"set_id": F.lit(set_id), "crs": grids.crs_code(F.lit(crs_uri))})
     df = df.withColumn("resolution", F.coalesce("cell", grids.resolution_of_scale(F.col("sd"), F.col("crs"))))
     df = df.withColumn("scale_denominator", F.coalesce("sd", grids.scale_of_resolution(F.col("cell"), F.col("crs"))))
-    df = df.withColumn("z", (F.row_number().over(Window.orderBy(F.col("scale_denominator").desc())) - 1).cast("int"))
+    return renumbered(df).select(*[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def renumbered(matrices: DataFrame) -> DataFrame:
+    """Levels numbered by falling scale, whatever the ids; a set's few rows are put in order in one task."""
+    order = Window.partitionBy("set_id").orderBy(F.col("scale_denominator").desc(), "id")
+    return matrices.withColumn("z", (F.row_number().over(order) - 1).cast("int"))
+
+
+def build(spark: SparkSession, set_id: str, crs: str, extent: tuple[float, float, float, float], resolutions: Sequence[float], tile_size: tuple[int, int] = (256, 256), origin: str = "TOP_LEFT", zooms: tuple[int, int] | None = None) -> DataFrame:
+    """A set from an extent and the resolutions of its levels: as many tiles as cover the extent from its corner on. All of
+    set_id, crs, extent and resolutions are needed; ``zooms`` takes levels from, to, which must be among them."""
+    if not set_id or not crs or extent is None or not resolutions:
+        raise ValueError("a set needs an id, a reference system, an extent and resolutions")
+    if extent[0] >= extent[2] or extent[1] >= extent[3]:
+        raise ValueError(f"extent {extent}")
+    low, high = zooms or (0, len(resolutions) - 1)
+    if not 0 <= low <= high < len(resolutions):
+        raise ValueError(f"levels {low} to {high} of {len(resolutions)}")
+    rows = []
+    for z in range(low, high + 1):
+        if not resolutions[z] > 0:
+            raise ValueError(f"resolution {resolutions[z]} of level {z}")
+        across, down = (-(-(b - a) // (resolutions[z] * n)) for a, b, n in ((extent[0], extent[2], tile_size[0]), (extent[1], extent[3], tile_size[1])))
+        rows.append((z, float(resolutions[z]), int(across), int(down)))
+    df = spark.createDataFrame(rows, "z int, resolution double, matrix_width long, matrix_height long")
+    top = extent[3] if origin == "TOP_LEFT" else extent[1]
+    parts = {"set_id": F.lit(set_id), "id": F.col("z").cast("string"), "crs": F.lit(crs), "origin_x": F.lit(float(extent[0])), "origin_y": F.lit(float(top)), "origin": F.lit(origin), "tile_width": F.lit(tile_size[0]), "tile_height": F.lit(tile_size[1])}
+    df = df.withColumns(parts).withColumn("scale_denominator", grids.scale_of_resolution(F.col("resolution"), F.col("crs")))
     return df.select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
+def bounds(matrices: DataFrame) -> DataFrame:
+    """The matrices with minx, miny, maxx, maxy in their units: of their range of tiles (left, low, right, high) if they
+    have one, else of the whole matrix."""
+    whole = [F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("matrix_width") - 1, F.col("matrix_height") - 1]
+    names = ["left", "low", "right", "high"]
+    edges = [F.col(n) for n in names] if set(names) <= set(matrices.columns) else whole
+    box = grids.range_extent(*edges, F.col("origin"), F.col("origin_x"), F.col("origin_y"), F.col("resolution") * F.col("tile_width"), F.col("resolution") * F.col("tile_height"))
+    return matrices.select(*matrices.columns, *[c.alias(n) for n, c in zip(("minx", "miny", "maxx", "maxy"), box)])
+
+
+def contains(outer: dict[str, Column], inner: dict[str, Column]) -> Column:
+    """Whether a matrix' range of tiles holds another's (z, minx, miny, maxx, maxy); an error where their zooms differ."""
+    inside = (outer["minx"] <= inner["minx"]) & (outer["miny"] <= inner["miny"]) & (outer["maxx"] >= inner["maxx"]) & (outer["maxy"] >= inner["maxy"])
+    wrong = F.raise_error(F.format_string("matrices of zoom %s and %s can't be compared", outer["z"], inner["z"])).cast("boolean")
+    return F.when(outer["z"] == inner["z"], inside).otherwise(wrong)
+
+
 def write_json(matrices: DataFrame) -> str:
     """The set (a few rows) as its JSON document."""
     rows = matrices.orderBy("z").collect()

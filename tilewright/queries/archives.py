@@ -9,7 +9,7 @@ from tilewright.operators import directory, layers, matrixsets
 from tilewright.plans.features import FeatureQuery, plan
 from tilewright.queries.grid import HW, TILES, UNHILBERT, _tiles
 from tilewright.session import scratch_path, table
-from tilewright.sources import mvt, pmtiles, storage
+from tilewright.sources import pmtiles, storage, tilejson
 
 
 def entry_list(spark, d):
@@ -98,8 +98,8 @@ def tile_fetch(spark, d):
     at = hilbert.tiles_of_ids("tile_id")
     ids = _clean(spark, d).select(F.explode(F.array("tile_id", F.col("tile_id") + 5)).alias("tile_id"))
     wanted = _tiles(spark, d).unionByName(ids.select(at.alias("t")).select("t.z", "t.x", "t.y")).distinct()
-    found = pmtiles.fetch(wanted.withColumn("tile_id", hilbert.checked_tile_id(*map(F.col, "zxy"))), _archive(spark, d))
-    return found.select("z", "x", "y", F.decode("payload", "UTF-8").alias("content"))
+    ids = wanted.withColumn("tile_id", hilbert.checked_tile_id(*map(F.col, "zxy")))
+    return pmtiles.fetch(ids, _archive(spark, d), mapper=bytes.decode, returns="string").select("z", "x", "y", F.col("payload").alias("content"))
 
 
 def range_reads(spark, d):
@@ -235,6 +235,43 @@ def store_capabilities(spark, d):
     return storage.capabilities(spark)
 
 
+def _nation_store(spark, d):
+    """A store with a small file for each nation, in a folder of its region."""
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name").collect()  # 25 of them
+    store = storage.Store(spark, scratch_path(spark, "store"))
+    for r in rows:
+        store.put(f"by region/{r['r_name'].lower()}/{r['n_name']}.txt", f"{r['n_name']} in {r['r_name']}")
+    return store, rows
+
+
+def store_listing(spark, d):
+    """Files by pattern: one folder deep, in any folder, by classes of letters, in two folders; only their folders are listed."""
+    store, _ = _nation_store(spark, d)
+    patterns = {"folder": "by region/asia/*.txt", "deep": "**/[A-J]*.txt", "braces": "by region/{africa,europe}/*", "none": "nowhere/*"}
+    out = None
+    for name, pattern in patterns.items():
+        part = store.list(pattern).select(F.lit(name).alias("pattern"), "key", "size")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def store_actions(spark, d):
+    """Of each nation's file: its size by stat, a part of it, and what became of it: copied and moved in its folder, written
+    only if new, and deleted; deletes of what isn't there are told apart."""
+    store, nations = _nation_store(spark, d)
+    out = []
+    for r in nations:
+        key = f"by region/{r['r_name'].lower()}/{r['n_name']}.txt"
+        known, part = store.stat(key), store.read(key, 3, 10)
+        again = store.put(key, "other", only_new=True)
+        store.copy(key, f"copies/{r['n_name']}")
+        store.move(f"copies/{r['n_name']}", f"moved/{r['n_name']}")
+        gone = store.delete(key, f"copies/{r['n_name']}")
+        same = store.read(f"moved/{r['n_name']}", if_match=store.stat(f"moved/{r['n_name']}")["etag"])
+        out.append((r["n_name"], known["size"], part.decode(), again, gone[key], gone[f"copies/{r['n_name']}"], same.decode(), store.exists(key)))
+    return spark.createDataFrame(out, "n_name string, size long, part string, written_again boolean, outcome string, other_outcome string, content string, still_there boolean")
+
+
 def address_parts(spark, d):
     """Store addresses of the listed keys in three styles, and whether a key is safe."""
     k = table(spark, d, "storage_snapshots").where("kind = 'File'").select("object_key").distinct()
@@ -244,24 +281,52 @@ def address_parts(spark, d):
     for n, u in urls.items():
         p = names.s3_parts(u)
         out = out.withColumns({f"{n}_bucket": p["bucket"], f"{n}_key": p["key"], f"{n}_region": p["region"]})
-    return out.withColumn("safe", names.is_safe_key(key))
+    own = names.relative_key("https://maps.example/tiles/", F.concat(F.lit("https://maps.example/tiles/"), key, F.lit("?v=1")))
+    out = out.withColumns({"safe": names.is_safe_key(key), "relative": own, "climbing": names.is_safe_key(F.concat(F.lit("../"), key))})
+    return out.withColumn("elsewhere", names.relative_key("https://other.example", F.concat(F.lit("https://maps.example/"), key)))
 
 
 def crs_codes(spark, d):
     n = table(spark, d, "nation")
     k = F.col("n_nationkey").cast("string")
-    return n.select("n_nationkey", grids.crs_code(F.concat(F.lit("http://www.opengis.net/def/crs/EPSG/0/"), k)).alias("from_uri"), grids.crs_code(F.concat(F.lit("urn:ogc:def:crs:EPSG::"), k)).alias("from_urn"), grids.crs_code(F.lit("http://www.opengis.net/def/crs/OGC/1.3/CRS84")).alias("geographic"))
+    base = "http://www.opengis.net/def/crs"
+    of = lambda *parts: grids.crs_code(F.concat(*parts))
+    return n.select("n_nationkey", of(F.lit(f" {base}/EPSG/0/"), k, F.lit(" ")).alias("epsg"), of(F.lit(f"{base.replace('http', 'https')}/IAU/2015/"), k).alias("other"), of(F.lit("urn:ogc:def:crs:EPSG::"), k).alias("urn"), of(F.lit(f"{base}/OGC/1.3/CRS84")).alias("plate"), of(F.lit("EPSG:"), k).alias("plain"))
 
 
 def setting_keys(spark, d):
+    """Settings under their present names: a former prefix and a renamed setting, in any combination; case counts."""
     n = table(spark, d, "region")
-    return n.select("r_name", names.normal_key(F.concat(F.lit(" Storage_"), F.col("r_name"))).alias("plain"), names.normal_key(F.lit("RangeReader-Provider")).alias("renamed"))
+    now = lambda *parts: names.normal_key(F.concat(*parts), "maps.reader.")
+    return n.select("r_name", now(F.lit("maps.reader."), "r_name").alias("moved"), now(F.lit("storage."), "r_name").alias("kept"), now(F.lit("Maps.Reader."), "r_name").alias("other_case"), now(F.lit("maps.reader.gcs.host")).alias("both"), now(F.lit("storage.gcs.host")).alias("renamed"), now(F.lit("storage.gcs_host")).alias("unlike"))
+
+
+def geometry_kinds(spark, d):
+    """Kinds under which geometries of several types are stored."""
+    t = table(spark, d, "tile_features").select("geom_type").distinct()
+    kind = geometry.plain_kind
+    return t.select("geom_type", kind(F.concat(F.lit("Multi"), "geom_type")).alias("multi"), kind(F.col("geom_type")).alias("plain"), kind(F.concat(F.lit("Collection of "), "geom_type")).alias("collection"), kind(F.lit("LinearRing")).alias("ring"))
+
+
+def layer_lookup(spark, d):
+    """The layer of each delivery's metadata that is called water, if it has one."""
+    m = table(spark, d, "archive_metadata").select("archive_id", tilejson.layer_of(F.col("vector_layers"), "water").alias("l"))
+    return m.select("archive_id", "l.id", "l.minzoom", "l.maxzoom", F.size("l.fields").alias("n_fields"))
+
+
+def tilejson_problems(spark, d):
+    """What is wrong with documents made of the deliveries' metadata: some have no version, no layers' ids, zooms the wrong way."""
+    m = table(spark, d, "archive_metadata")
+    low, high = F.array_max(F.transform("vector_layers", lambda l: l["minzoom"])), F.array_min(F.transform("vector_layers", lambda l: l["maxzoom"]))
+    doc = F.struct(F.when(F.col("meta_version").isNotNull(), "3.0.0").alias("tilejson"), F.array(F.col("tileset_name")).alias("tiles"), "vector_layers", low.alias("minzoom"), high.alias("maxzoom"))
+    parsed = tilejson.parse(m.select("archive_id", F.to_json(doc).alias("json")))
+    return parsed.select("archive_id", F.array_join(tilejson.problems(F.col("doc")), "; ").alias("problems"))
 
 
 QUERIES = {f.__name__: f for f in (
     entry_list, directory_totals, expand_runs, tiles_by_zoom, asof_tile_lookup, exact_entry_lookup, directory_codec, directory_decode, archive_roundtrip, archive_level, archive_metadata_read, tile_fetch, range_reads, archive_header, metadata_layers, metadata_json,
     feature_attributes, attribute_lookup, value_kinds, layer_features, dictionary_index, auto_ids, point_decode, command_pack, feature_query,
-    feature_query_by_resolution, glob_match, byte_blocks, byte_ranges, delete_outcome, store_capabilities, address_parts, crs_codes, setting_keys,
+    feature_query_by_resolution, glob_match, byte_blocks, byte_ranges, delete_outcome, store_capabilities, store_listing, store_actions, geometry_kinds, layer_lookup, tilejson_problems, address_parts, crs_codes, setting_keys,
 )}
 
 PAIRS = """SELECT tile_layer_id, feature_id, tags, layer_keys[k + 1] AS key,
@@ -343,10 +408,29 @@ SELECT archive_id, b AS block_no, b * 65536 AS block_offset, count(*) AS n_range
     "delete_outcome": """
 WITH f AS (SELECT * FROM storage_snapshots WHERE kind = 'File'), w AS (SELECT DISTINCT object_key FROM f WHERE snapshot_no = (SELECT min(snapshot_no) FROM f)), l AS (SELECT DISTINCT object_key FROM f WHERE snapshot_no = (SELECT max(snapshot_no) FROM f))
 SELECT object_key, CASE WHEN object_key NOT IN (SELECT object_key FROM l) THEN 'did_not_exist' WHEN object_key LIKE 'staging/%' THEN 'failed' ELSE 'deleted' END AS outcome FROM w""",
-    "store_capabilities": """SELECT * FROM (VALUES ('file',true,true,true,true,true,false,false), ('http',false,true,false,false,false,false,false), ('s3',true,true,true,true,false,true,true), ('gcs',true,true,true,true,false,true,true),
-  ('azure-blob',true,true,true,true,false,true,true), ('azure-datalake',true,true,true,true,true,false,true)) t(store, can_list, can_range, can_write, can_delete, can_move, has_versions, can_presign)""",
+    "store_capabilities": """SELECT * FROM (VALUES
+  ('file', true, true, true, false, true, true, true, true, false, 0::BIGINT, true, true, 2147483647, true, true, true, false, NULL::BIGINT, false, true),
+  ('http', true, true, true, false, false, false, false, false, false, 0, false, false, 1, false, false, false, false, NULL, false, true),
+  ('s3', true, true, true, true, true, true, false, true, true, 8388608, true, true, 1000, false, true, false, true, 604800, true, true),
+  ('s3-directory', true, true, true, true, true, true, false, true, true, 8388608, true, true, 1000, false, true, false, true, 300, false, true),
+  ('gcs', true, true, true, true, true, true, false, true, true, 8388608, true, true, 100, true, true, false, true, 604800, true, true),
+  ('gcs-hierarchical', true, true, true, true, true, true, true, true, true, 8388608, true, true, 100, true, true, true, true, 604800, true, true),
+  ('azure', true, true, true, true, true, true, false, true, true, 8388608, true, true, 256, true, true, false, true, 604800, true, true),
+  ('azure-datalake', true, true, true, true, true, true, true, true, true, 8388608, true, true, 2147483647, true, true, true, false, NULL, false, true))
+  t(store, range_reads, streaming_reads, stat, user_metadata, list, hierarchical_list, real_directories, writes, multipart_upload, multipart_threshold_bytes, conditional_write, bulk_delete, bulk_delete_batch_limit, delete_reports_existence,
+    server_side_copy, atomic_move, presigned_urls, max_presign_seconds, versioning, strong_read_after_write)""",
+    "store_listing": """
+WITH f AS (SELECT 'by region/' || lower(r_name) || '/' || n_name || '.txt' AS key, octet_length(encode(n_name || ' in ' || r_name)) AS size, lower(r_name) AS r, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT 'folder' AS pattern, key, size FROM f WHERE r = 'asia' UNION ALL SELECT 'deep', key, size FROM f WHERE n_name[1] BETWEEN 'A' AND 'J' UNION ALL SELECT 'braces', key, size FROM f WHERE r IN ('africa', 'europe')""",
+    "store_actions": """SELECT n_name, octet_length(encode(n_name || ' in ' || r_name)) AS size, substr(n_name || ' in ' || r_name, 4, 10) AS part, false AS written_again, 'deleted' AS outcome, 'did_not_exist' AS other_outcome, n_name || ' in ' || r_name AS content, false AS still_there FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "geometry_kinds": """SELECT DISTINCT geom_type, geom_type AS multi, geom_type AS plain, CASE WHEN geom_type IS NOT NULL THEN 'UNKNOWN' END AS collection, 'LINESTRING' AS ring FROM tile_features""",
+    "layer_lookup": """SELECT archive_id, l.id AS id, l.minzoom AS minzoom, l.maxzoom AS maxzoom, CASE WHEN l.fields IS NOT NULL THEN cardinality(l.fields) END::INT AS n_fields
+  FROM (SELECT archive_id, [x for x in vector_layers if x.id = 'water'][1] AS l FROM archive_metadata)""",
+    "tilejson_problems": """SELECT archive_id, concat_ws('; ', CASE WHEN meta_version IS NULL THEN 'tilejson is missing' END, CASE WHEN len([1 for x in vector_layers if x IS NOT NULL AND x.id IS NULL]) > 0 THEN 'a layer has no id' END,
+    CASE WHEN NOT lo BETWEEN 0 AND 30 OR NOT hi BETWEEN 0 AND 30 THEN 'zooms go from 0 to 30' END, CASE WHEN lo > hi THEN 'minzoom is above maxzoom' END) AS problems
+  FROM (SELECT *, coalesce(list_max([x.minzoom for x in vector_layers]), 0) AS lo, coalesce(list_min([x.maxzoom for x in vector_layers]), 30) AS hi FROM archive_metadata)""",
     "address_parts": f"""SELECT object_key, 'maps' AS plain_bucket, object_key AS plain_key, NULL AS plain_region, 'maps' AS path_bucket, object_key AS path_key, 'eu-west-1' AS path_region, 'maps' AS host_bucket, object_key AS host_key,
-  'eu-west-1' AS host_region, 'maps' AS own_bucket, object_key AS own_key, NULL AS own_region, NULL AS other_bucket, NULL AS other_key, NULL AS other_region, true AS safe FROM ({KEYS})""",
-    "crs_codes": "SELECT n_nationkey, 'EPSG:' || n_nationkey AS from_uri, 'EPSG:' || n_nationkey AS from_urn, 'CRS:84' AS geographic FROM nation",
-    "setting_keys": "SELECT r_name, 'storage.' || lower(r_name) AS plain, 'storage.provider' AS renamed FROM region",
+  'eu-west-1' AS host_region, 'maps' AS own_bucket, object_key AS own_key, NULL AS own_region, NULL AS other_bucket, NULL AS other_key, NULL AS other_region, true AS safe, object_key AS relative, false AS climbing, NULL AS elsewhere FROM ({KEYS})""",
+    "crs_codes": "SELECT n_nationkey, 'EPSG:' || n_nationkey AS epsg, 'IAU:' || n_nationkey AS other, 'urn:ogc:def:crs:EPSG::' || n_nationkey AS urn, 'CRS:84' AS plate, 'EPSG:' || n_nationkey AS plain FROM nation",
+    "setting_keys": """SELECT r_name, 'storage.' || r_name AS moved, 'storage.' || r_name AS kept, 'Maps.Reader.' || r_name AS other_case, 'storage.gcs.endpoint' AS both, 'storage.gcs.endpoint' AS renamed, 'storage.gcs_host' AS unlike FROM region""",
 }

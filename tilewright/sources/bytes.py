@@ -1,10 +1,12 @@
-"""Parts of files on any file system, read where tasks run."""
+"""Parts of files on any file system or web server, read where tasks run."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyarrow import fs
 
+from tilewright.sources.http import HttpFile
+
 #: Schemes that stand for the same store as another one.
 SAME_STORE = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasb": "abfs", "wasbs": "abfss"}
 
@@ -20,8 +22,10 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{SAME_STORE.get(scheme, scheme)}:{rest}")
 
 
-def opened(path: str) -> pa.NativeFile:
+def opened(path: str) -> pa.NativeFile | HttpFile:
     """The file, to be read at any place."""
+    if path.startswith(("http://", "https://")):
+        return HttpFile(path)
     system, own = located(path)
     return system.open_input_file(own)
 

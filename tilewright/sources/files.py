@@ -21,7 +21,22 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName()[0] not in "._"] if fs.exists(p) else []
 
 
-def create_once(spark: SparkSession, path: str, text: str) -> bool:
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as its file system writes it in listings."""
+    fs, p = _at(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def status(spark: SparkSession, path: str) -> tuple[int, float] | None:
+    """Size and time of a file; None if there is none."""
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
+        return None
+    s = fs.getFileStatus(p)
+    return None if s.isDirectory() else (s.getLen(), s.getModificationTime() / 1000)
+
+
+def create_once(spark: SparkSession, path: str, data: str | bytes) -> bool:
     """Creates the file unless it exists; False if it does. Exclusive on file systems whose create() is."""
     fs, p = _at(spark, path)
     try:
@@ -30,27 +45,41 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
         if "exist" in str(e).lower():
             return False
         raise
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(data.encode() if isinstance(data, str) else data))
     out.close()
     return True
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs, p = _at(spark, path)
     out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(data))
     out.close()
 
 
-def read_text(spark: SparkSession, path: str) -> str:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def read_bytes(spark: SparkSession, path: str, offset: int, length: int) -> bytes:
+    if not length:
+        return b""
     fs, p = _at(spark, path)
     stream = fs.open(p)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.seek(offset)
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
     finally:
         stream.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    found = status(spark, path)
+    if found is None:
+        raise FileNotFoundError(path)
+    return read_bytes(spark, path, 0, found[0]).decode()
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     fs, p = _at(spark, old)
     q = spark._jvm.org.apache.hadoop.fs.Path(new)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import gzip
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tilewright.functions.hilbert import LEVEL_STARTS, MAX_LEVEL, tile_arrays
 from tilewright.operators.blocks import numbered
@@ -245,9 +246,10 @@ def read(spark: SparkSession, path: str, table: str = "tiles", **options: object
     return spark.read.format("pmtiles").options(path=path, table=table, **{k: str(v) for k, v in options.items()}).load()
 
 
-def fetch(wanted: DataFrame, path: str, missing: bool = False) -> DataFrame:
+def fetch(wanted: DataFrame, path: str, missing: bool = False, mapper: Callable[[bytes], object] | None = None, returns: str = "binary") -> DataFrame:
     """The rows of ``wanted`` (tile_id and any other columns) with ``payload``, decompressed; those without a tile in the
-    archive are left out, or have null with ``missing``.
+    archive are left out, or have null with ``missing``. A ``mapper`` makes something else of a tile's bytes, of the type
+    ``returns``, once for each content and batch.
 
     The directory's entries meet the ids in blocks, only leaves between the least and the greatest id are read, and tasks
     then read their ranges in order of offset, near ones in one go.
@@ -258,15 +260,16 @@ def fetch(wanted: DataFrame, path: str, missing: bool = False) -> DataFrame:
     entries = read(spark, path, "entries", from_id=ends["low"] if ends["low"] is not None else 1, to_id=ends["high"] if ends["high"] is not None else 0)
     found = lookup(wanted, entries, by=(), key="tile_id").drop("entry_id", "run_length")
     found = found if missing else found.where("tile_offset IS NOT NULL")
-    schema = T.StructType([*wanted.schema, T.StructField("payload", T.BinaryType())])
+    schema = T.StructType([*wanted.schema, *T.StructType.fromDDL(f"payload {returns}")])
+    kind = to_arrow_type(schema["payload"].dataType)
     n, compression, base = len(wanted.columns), h["tile_compression"], h["tile_data_offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = list(zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()))
             there = sorted({p for p in places if p[0] is not None})
-            data = dict(zip(there, (decompress(raw, compression) for raw in read_along(path, [(base + o, k) for o, k in there]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([data.get(p) for p in places], pa.binary())], names=schema.names)
+            data = dict(zip(there, ((mapper or bytes)(decompress(raw, compression)) for raw in read_along(path, [(base + o, k) for o, k in there]))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([data.get(p) for p in places], kind)], names=schema.names)
 
     ordered = found.select(*wanted.columns, "tile_offset", "length_bytes").repartitionByRange("tile_offset").sortWithinPartitions("tile_offset")
     return ordered.mapInArrow(run, schema)

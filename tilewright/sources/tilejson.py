@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.names import present_name
+
 SCHEMA = (
     "struct<tilejson:string,tiles:array<string>,vector_layers:array<struct<id:string,fields:map<string,string>,description:string,minzoom:int,maxzoom:int>>,attribution:string,bounds:array<double>,"
     "center:array<double>,data:array<string>,description:string,fillzoom:int,grids:array<string>,legend:string,maxzoom:int,minzoom:int,name:string,scheme:string,template:string,version:string>"
@@ -38,12 +40,27 @@ def write(df: DataFrame, text: str = "json") -> DataFrame:
     return df.select(*[c for c in df.columns if c != "doc"], F.to_json("doc").alias(text))
 
 
-def settings(given: Mapping[str, object], known: Mapping[str, type], old: Mapping[str, str]) -> dict[str, object]:
+def with_value(doc: Column, name: str, value: Column) -> Column:
+    """A copy of a document (or layer) with another value."""
+    return doc.withField(name, value)
+
+
+def each_layer(layers: Column, change: Callable[[Column], Column]) -> Column:
+    """The layers with a change made to each; null layers stay null."""
+    return F.transform(layers, lambda l: F.when(l.isNotNull(), change(l)))
+
+
+def layer_of(layers: Column, id: Column | str) -> Column:
+    """The first layer of an id; null if there is none."""
+    wanted = F.lit(id) if isinstance(id, str) else id
+    return F.get(F.filter(layers, lambda l: l["id"] == wanted), F.lit(0))
+
+
+def settings(given: Mapping[str, object], known: Mapping[str, type], old_prefix: str = "") -> dict[str, object]:
     """Settings under their present names and converted to their types; unknown names and unusable values raise."""
     out: dict[str, object] = {}
     for name, value in given.items():
-        plain = name.strip().lower().replace("_", ".").replace("-", ".")
-        plain = old.get(plain, plain)
+        plain = present_name(name, old_prefix)
         if plain not in known:
             raise ValueError(f"no setting {name!r}")
         kind = known[plain]
