@@ -392,6 +392,32 @@ def test_surrogates():
     assert s.replace("address", "12, rue de la Tuilerie").split("rue de la")[0].endswith(", ")
 
 
+def test_names_of_other_scripts():
+    """Capitals of any script begin names, and letters of scripts without case; replacements stay in the script."""
+    known = pii.Names.of([("Łukasz", 1), ("Żeromska", 2), ("Иван", 1), ("Петрова", 2), ("Νίκος", 1), ("Παππάς", 2), ("דוד", 1), ("כהן", 2)])
+    for text in ("Łukasz Żeromska", "Иван Петрова", "Νίκος Παππάς", "דוד כהן", "ИВАН ПЕТРОВА"):
+        assert [(a, b, k) for a, b, k in pii.find(f"x {text}, y", known)] == [(2, 2 + len(text), "person_name")], text
+    s = surrogates.Surrogates(b"k", surrogates.name_parts(b"k", list(known.roles)))
+    for text, script in (("Иван Петрова", "CYRILLIC"), ("Νίκος Παππάς", "GREEK"), ("דוד כהן", "HEBREW"), ("Łukasz Żeromska", "LATIN")):
+        new = s.replace("person_name", text)
+        assert new != text and {surrogates.script_of(w) for w in new.split()} == {script} and [w[0].isupper() for w in new.split()] == [w[0].isupper() for w in text.split()]
+
+
+def test_given_names_keep_their_sex(spark):
+    """By the titles before them, whatever letter they end in; without titles by their ending."""
+    docs = [(i, t) for i, t in enumerate(["Mrs Carmen Stone met Mr. Nicolas Marsh.", "La señora Carmen Marsh, Herr Dr. Nicolas Stone", "Frau Carmen Field", "Luca Stone and Marina Marsh"])]
+    lex = spark.createDataFrame([("Carmen", "given"), ("Nicolas", "given"), ("Luca", "given"), ("Marina", "given"), ("Stone", "family"), ("Marsh", "family"), ("Field", "family")], "name_text string, name_kind string")
+    known = redact.known_names(spark.createDataFrame(docs, "doc_id long, text string"), lex)
+    assert known.sexes == {"carmen": "f", "nicolas": "m"}
+    parts = surrogates.name_parts(b"k", list(known.roles), known.sexes)
+    assert parts["carmen"][-1] == "a" and parts["nicolas"][-1] not in "aeiou" and parts["marina"][-1] == parts["luca"][-1] == "a"
+
+
+def test_what_follows_a_name():
+    for text, value in (("Verrin Stone Bridge 68 prints open quays.", ["Verrin Stone"]), ("Verrin Stone Dr. Marsh will open", ["Verrin Stone"]), ("Verrin Marsh Road", []), ("Verrin Stone Library closes", [])):
+        assert [text[a:b] for a, b, k in pii.find(text, KNOWN) if k == "person_name"] == value, text
+
+
 def test_redact(spark):
     docs = [(1, "Call (415) 555-0163, Verrin Stone!\nVerrin Stone"), (2, None), (3, "nothing"), (1, "Call (415) 555-0163, Verrin Stone!\nVerrin Stone")]
     df = spark.createDataFrame(docs, "doc_id long, text string")

@@ -9,8 +9,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass, field
 
 LOST = "�"
 _TRAIL = "".join(chr(c) for c in range(0x80, 0xC0)) + "".join(c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore")))
@@ -119,7 +119,21 @@ def id_numbers(text: str, low: str) -> Iterator[tuple[int, int]]:
 
 # ---- street addresses
 
-_C, _W = "[A-ZÀ-ÖØ-Þ�]", "[\\w�’'-]"
+def _letters(*kinds: str, but: str = "") -> str:
+    """Ranges of all letters of these Unicode categories, for a character class."""
+    own = [c for c in range(0x30000) if unicodedata.category(chr(c)) in kinds and chr(c) not in but]
+    out, first = [], None
+    for i, c in enumerate(own):
+        first = c if first is None else first
+        if i + 1 == len(own) or own[i + 1] != c + 1:
+            out.append(chr(first) if first == c else f"{chr(first)}-{chr(c)}")
+            first = None
+    return "".join(out)
+
+
+#: Capitals of all scripts; and what names begin with: those, and letters of scripts that have no case.
+_C, _W = f"[{_letters('Lu', 'Lt')}{LOST}]", "[\\w�’'-]"
+_N = f"[{_letters('Lu', 'Lt', 'Lo', but='ªº')}{LOST}]"
 _WORD = f"{_C}{_W}+"
 #: What streets are called, by the order of their language.
 _EN = "Street|Road|Lane|Drive|Avenue|Terrace|Row|Close|Court|Way|Place|Square|Boulevard|Crescent|Grove|Mews|Walk|Rd|Ave|Blvd|Ln|Dr|Ct|Sq"
@@ -156,9 +170,9 @@ def addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
 # ---- names of persons
 
 GIVEN, FAMILY = 1, 2
-_TOKEN = re.compile(f"(?<![\\w{LOST}’'-])(?:{_C}(?:[\\w{LOST}]|[’'-](?=\\w))+|({_C}\\.))")
-#: What makes a place or thing of the words before it.
-_THING = re.compile(rf"^[ -](?:{_EN}|St|Bridge|Gardens?|Park|Station|Museum|Hall|House|School|Library|Hotel|Church|Tower|Forest|Lake|River|Island|Valley|Hill|Field|Meadow|Mill|Farm|Centre|Center|Institute|Foundation|Festival|Prize|Award|Ltd|Inc|GmbH)\b")
+_TOKEN = re.compile(f"(?<![\\w{LOST}’'-])(?:{_N}(?:[\\w{LOST}]|[’'-](?=\\w))+|({_C}\\.))")
+#: What makes a place or thing of the words before it; not where a number follows or a title stands.
+_THING = re.compile(rf"^[ -](?:{_EN}|St|Bridge|Gardens?|Park|Station|Museum|Hall|House|School|Library|Hotel|Church|Tower|Forest|Lake|River|Island|Valley|Hill|Field|Meadow|Mill|Farm|Centre|Center|Institute|Foundation|Festival|Prize|Award|Ltd|Inc|GmbH)\b(?! \d)(?!\. ?[^\W\d_])")
 
 
 def fold(word: str) -> str:
@@ -175,17 +189,18 @@ def blur(word: str) -> str:
 
 @dataclass(frozen=True)
 class Names:
-    """Parts of names with their roles, by folded and by blurred form."""
+    """Parts of names with their roles, by folded and by blurred form, and the sex that titles give to given names."""
 
     roles: dict[str, int]
+    sexes: dict[str, str] = field(default_factory=dict)
 
     @staticmethod
-    def of(parts: Iterable[tuple[str, int]]) -> Names:
+    def of(parts: Iterable[tuple[str, int]], sexes: Mapping[str, str] | None = None) -> Names:
         roles: dict[str, int] = {}
         for word, role in parts:
             for form in {fold(word), blur(word)}:
                 roles[form] = roles.get(form, 0) | role
-        return Names(roles)
+        return Names(roles, {form: sex for word, sex in (sexes or {}).items() for form in (fold(word), blur(word))})
 
     def role(self, word: str) -> int:
         return self.roles.get(fold(word), 0)
@@ -232,7 +247,10 @@ def names(text: str, known: Names) -> Iterator[tuple[int, int]]:
 
 
 #: Titles, which stand before names without being part of them.
-TITLES = set("mr mrs ms miss sir lady dr prof herr frau monsieur madame mademoiselle mme mlle señor señora sr sra srta don doña".split())
+_MR, _MRS = "mr sir herr monsieur señor sr don".split(), "mrs ms miss lady frau madame mademoiselle mme mlle señora sra srta doña".split()
+TITLES = {"dr", "prof", *_MR, *_MRS}
+MALE, FEMALE = 4, 8
+_TITLE = re.compile(rf"(?i)(?<!\w)(?:({'|'.join(_MR)})|({'|'.join(_MRS)}))\.? (?:dr\.? |prof\.? )?$")
 
 
 def plain_form(word: str) -> str:
@@ -240,8 +258,9 @@ def plain_form(word: str) -> str:
 
 
 def name_evidence(texts: Iterable[str | None], known: Names) -> Counter:
-    """Counts for words that may be parts of names: keys (word, 0, "") for all its capitalised occurrences, and
-    (word, role, partner) where a known part stands beside it as in a name."""
+    """Counts for words that may be parts of names: keys (word, 0, "") for all its capitalised occurrences, (word, role,
+    partner) where a known part stands beside it as in a name, and (word, MALE or FEMALE, "") where a title stands before it
+    and another word follows."""
     out: Counter = Counter()
     for text in texts:
         if not text:
@@ -251,6 +270,9 @@ def name_evidence(texts: Iterable[str | None], known: Names) -> Counter:
         words = [None if initial else plain_form(text[a:b]) for a, b, initial in toks]
         out.update((w, 0, "") for w in words if w)
         roles = [known.role(w) if w else 0 for w in words]
+        for (a, _, _), (c, _, _), w in zip(toks, toks[1:], words):
+            if w and w not in TITLES and c - a <= len(w) + 4 and (m := _TITLE.search(text, max(0, a - 20), a)):
+                out[w, MALE if m[1] else FEMALE, ""] += 1
         if not any(roles):
             continue
         gaps = [None, *[text[toks[i][1] : toks[i + 1][0]] for i in range(len(toks) - 1)], None]  # gaps[i] stands before token i

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import pii
 from tilewright.llm.surrogates import Surrogates, canonical, name_parts
+from tilewright.session import cut
 
 #: Parts of names sent to the executors at most; a larger lexicon raises instead of being cut.
 MOST_PARTS = 300_000
@@ -32,14 +33,19 @@ def lexicon_parts(lexicon: DataFrame) -> list[tuple[str, int]]:
 
 
 def learned_parts(docs: DataFrame, parts: list[tuple[str, int]], text: str = "text") -> list[tuple[str, int]]:
-    """Parts of names that the lexicon lacks, by pii.enough over all documents.
+    """Parts of names that the lexicon lacks, by pii.enough over all documents."""
+    return learned(docs, parts, text)[0]
+
+
+def learned(docs: DataFrame, parts: list[tuple[str, int]], text: str = "text") -> tuple[list[tuple[str, int]], dict[str, str]]:
+    """Those parts, and the sex of given names by the titles that stand before them, in one pass.
 
     Of a word's partners each batch passes on the PARTNERS with the least hashes, as many as pii.enough asks about, so
     the numbers it asks about are exact (but for equal 64-bit hashes) and no state grows with how common a word is.
     """
     known = pii.Names.of(parts)
     if not parts:
-        return []
+        return [], {}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,7 +53,7 @@ def learned_parts(docs: DataFrame, parts: list[tuple[str, int]], text: str = "te
             partners: dict[tuple[str, int], set[int]] = {}
             for (word, role, partner), n in pii.name_evidence(batch.column(0).to_pylist(), known).items():
                 counts[word, role] = counts.get((word, role), 0) + n
-                if role:
+                if role in (pii.GIVEN, pii.FAMILY):
                     partners.setdefault((word, role), set()).add(int.from_bytes(hashlib.blake2b(partner.encode(), digest_size=8).digest(), "big", signed=True))
             out = [(*k, n if not i else 0, p) for k, n in counts.items() for i, p in enumerate(sorted(partners.get(k, {0}))[:PARTNERS])]
             cols = list(zip(*out)) or [()] * 4
@@ -56,16 +62,20 @@ def learned_parts(docs: DataFrame, parts: list[tuple[str, int]], text: str = "te
     rows = docs.select(text).where(F.col(text).isNotNull()).mapInArrow(scan, "word string, role int, n long, partner long")
     each = rows.groupBy("word", "role", "partner").agg(F.sum("n").alias("n"))
     of = lambda k: F.sum(F.when(F.col("role") == k, F.col("n")).otherwise(0))
-    words = each.groupBy("word").agg(*[c for k, w in ((1, "g"), (2, "f")) for c in (of(k).alias(f"n_{w}"), F.count_if(F.col("role") == k).alias(f"p_{w}"))], of(0).alias("n_all"))
-    likely = words.where((F.col("p_g") >= 2) | (F.col("p_f") >= 2)).where(F.greatest("n_g", "n_f") >= 0.08 * F.col("n_all")).limit(MOST_PARTS + 1).collect()
+    words = each.groupBy("word").agg(*[c for k, w in ((1, "g"), (2, "f")) for c in (of(k).alias(f"n_{w}"), F.count_if(F.col("role") == k).alias(f"p_{w}"))], of(0).alias("n_all"), of(pii.MALE).alias("n_male"), of(pii.FEMALE).alias("n_female"))
+    named = ((F.col("p_g") >= 2) | (F.col("p_f") >= 2)) & (F.greatest("n_g", "n_f") >= 0.08 * F.col("n_all"))
+    titled = F.greatest("n_male", "n_female") >= 0.02 * F.col("n_all")  # far more than chance puts behind a title
+    likely = words.where(named | titled).limit(MOST_PARTS + 1).collect()
     if len(likely) > MOST_PARTS:
         raise ValueError(f"more than {MOST_PARTS} parts of names")
-    return [(r["word"], role) for r in likely for role, w in ((pii.GIVEN, "g"), (pii.FAMILY, "f")) if pii.enough(r[f"p_{w}"], r[f"n_{w}"], r["n_all"])]
+    found = [(r["word"], role) for r in likely for role, w in ((pii.GIVEN, "g"), (pii.FAMILY, "f")) if pii.enough(r[f"p_{w}"], r[f"n_{w}"], r["n_all"])]
+    return found, {r["word"]: "m" if r["n_male"] > r["n_female"] else "f" for r in likely if r["n_male"] != r["n_female"]}
 
 
 def known_names(docs: DataFrame, lexicon: DataFrame) -> pii.Names:
     parts = lexicon_parts(lexicon)
-    return pii.Names.of(parts + learned_parts(docs, parts))
+    more, sexes = learned(docs, parts)
+    return pii.Names.of(parts + more, sexes)
 
 
 def find_pii(docs: DataFrame, lexicon: DataFrame, names: pii.Names | None = None) -> DataFrame:
@@ -91,7 +101,7 @@ def find_pii(docs: DataFrame, lexicon: DataFrame, names: pii.Names | None = None
 
 def entities(found: DataFrame, key: bytes, names: pii.Names, attempts: dict | None = None) -> DataFrame:
     """pii_type, entity, surrogate: one row per original, however often and in whichever way it is written."""
-    made = Surrogates(key, name_parts(key, list(names.roles)), attempts)
+    made = Surrogates(key, name_parts(key, list(names.roles), names.sexes), attempts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +116,10 @@ def entities(found: DataFrame, key: bytes, names: pii.Names, attempts: dict | No
 
 def collision_attempts(found: DataFrame, key: bytes, names: pii.Names, rounds: int = 4) -> dict[tuple[str, str], int]:
     """For originals whose replacement was that of another one, the attempt that keeps them apart. Expected to be none:
-    words have some 60 bits; numbers and parts of names can't clash."""
+    words have some 60 bits; numbers and parts of names can't clash. Texts are searched once: what was found, each piece
+    once, is kept in the shared folder, and rounds only look at that."""
     attempts: dict[tuple[str, str], int] = {}
+    found = cut(found.select("pii_type", "pii_value").distinct())
     for _ in range(rounds):
         table = entities(found, key, names, attempts)
         clashes = table.groupBy("pii_type", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("first")).where("n > 1")
@@ -129,7 +141,7 @@ def redact(docs: DataFrame, lexicon: DataFrame, key: bytes, style: str = "typed"
     """
     known = known_names(docs, lexicon)
     attempts = collision_attempts(find_pii(docs, lexicon, known), key, known) if check and style != "type" else {}
-    made = Surrogates(key, name_parts(key, list(known.roles)), attempts)
+    made = Surrogates(key, name_parts(key, list(known.roles), known.sexes), attempts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,8 +1,9 @@
 """Replacements for personal information: keyed, of the same type and format, distinct for distinct originals.
 
 Numbers go through a keyed permutation of all numbers of their length, which can't collide. Words become words made of
-syllables; those of names end in the same class of sound, so that given names keep their likely gender. The same
-original, however written, always gets the same replacement; without the key it can't be undone.
+syllables of their own script. Given names end as names of the sex do that titles before them tell, and where no title
+does in the same class of sound as before. The same original, however written, always gets the same replacement; without
+the key it can't be undone.
 """
 
 from __future__ import annotations
@@ -10,11 +11,24 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Mapping
 
 from tilewright.llm.pii import _EN, fold, repair
 
-_SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+#: Of scripts with syllables of their own: consonants, vowels, what ends a word that isn't to end in a vowel.
+SOUNDS = {"LATIN": ("bdfgklmnprstvz", "aeiou", "nrlsk"), "CYRILLIC": ("бвгдзклмнпрст", "аеиоу", "нрлск"), "GREEK": ("βγδζκλμνπρστ", "αειου", "νρξ")}
+
+
+def script_of(word: str) -> str:
+    """The script of a word's first letter, as Unicode names it."""
+    return next((unicodedata.name(c, "").split()[0] for c in word if c.isalpha() and unicodedata.name(c, "")), "LATIN")
+
+
+def letters_like(c: str) -> str:
+    """Letters of the same kind around a letter of a script without syllables here: those of its block of 32."""
+    start = ord(c) & ~31
+    return "".join(chr(n) for n in range(start, start + 32) if unicodedata.category(chr(n)) == unicodedata.category(c))
 _ROUNDS = 8
 
 
@@ -41,13 +55,26 @@ class Surrogates:
     def digits(self, run: str, tweak: str) -> str:
         return str(self.permuted(int(run), 10 ** len(run), tweak)).zfill(len(run)) if run else run
 
-    def word(self, original: str, role: str, attempt: int = 0, syllables: int = 4) -> str:
-        bits, out = self._bits("word", role, fold(original), attempt), ""
+    def word(self, original: str, role: str, attempt: int = 0, syllables: int = 4, sex: str = "") -> str:
+        """A word of the same script; ``sex`` (m or f) decides how it ends, else the original's last letter does."""
+        bits, out, plain = self._bits("word", role, fold(original), attempt), "", fold(original)
+        script = script_of(plain)
+        if script not in SOUNDS:  # letter by letter, so that the length stays
+            for c in plain:
+                own = letters_like(c) if c.isalpha() else c
+                bits, k = divmod(bits, len(own))
+                out += own[k]
+            return out
+        consonants, vowels, ends = SOUNDS[script]
         for _ in range(syllables):
-            bits, k = divmod(bits, len(_SYLLABLES))
-            out += _SYLLABLES[k]
-        last = fold(original)[-1:]
-        return out if last in "aeo" and not (out := out[:-1] + last) else out + ("" if last in "aeiou" else "nrlsk"[bits % 5])
+            bits, k = divmod(bits, len(consonants) * len(vowels))
+            out += consonants[k // len(vowels)] + vowels[k % len(vowels)]
+        last = plain[-1:]
+        if sex == "f":
+            return out[:-1] + vowels[0]
+        if sex == "m" or last not in vowels:
+            return out + ends[bits % len(ends)]
+        return out[:-1] + last if last in vowels[0] + vowels[1] + vowels[3] else out
 
     @staticmethod
     def cased(like: str, word: str) -> str:
@@ -131,12 +158,12 @@ def canonical(kind: str, written: str) -> str:
     return " ".join(words)
 
 
-def name_parts(key: bytes, words: list[str]) -> dict[str, str]:
+def name_parts(key: bytes, words: list[str], sexes: Mapping[str, str] | None = None) -> dict[str, str]:
     """Distinct replacements of all known parts of names; a clash moves on to the next attempt."""
-    made, taken, out = Surrogates(key), set(), {}
+    made, taken, out, sexes = Surrogates(key), set(), {}, sexes or {}
     for w in sorted({fold(w) for w in words}):
         attempt = 0
-        while (new := made.word(w, "name", attempt, 3)) in taken or new in words:
+        while (new := made.word(w, "name", attempt, 3, sexes.get(w, ""))) in taken or new in words:
             attempt += 1
         taken.add(new)
         out[w] = new
