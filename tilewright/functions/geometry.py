@@ -6,6 +6,7 @@ and an outer ring is followed by its holes.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 
 import numpy as np
@@ -265,6 +266,21 @@ def wkt(kind: str, parts: Sequence[Ring]) -> str:
     return f"POLYGON {shapes[0]}" if len(shapes) == 1 else f"MULTIPOLYGON ({', '.join(shapes)})"
 
 
+def wkb(kind: str, parts: Sequence[Ring]) -> bytes:
+    """Well-known binary, little-endian, of the same geometry as wkt gives."""
+    head = lambda code, n: struct.pack("<BII", 1, code, n)
+    coords = lambda p: struct.pack(f"<{2 * len(p)}d", *(v for q in p for v in q))
+    if kind == "POINT":
+        each = [struct.pack("<BI2d", 1, 1, *q) for p in parts for q in p]
+        code = 4
+    elif kind == "LINESTRING":
+        each, code = [head(2, len(p)) + coords(p) for p in parts], 5
+    else:
+        each = [head(3, len(poly)) + b"".join(struct.pack("<I", len(r) + 1) + coords([*r, r[0]]) for r in poly) for poly in polygons(parts)]
+        code = 6
+    return each[0] if len(each) == 1 else head(code, len(each)) + b"".join(each)
+
+
 # ---- the same on columns, where built-in expressions can do it
 
 

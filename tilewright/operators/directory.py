@@ -14,23 +14,38 @@ from tilewright.operators.blocks import asof
 BLOCK_IDS = 1 << 16
 
 
+#: Ids that one row is expanded to at once.
+EXPANDED = 1 << 16
+
+
+def _expanded(spans: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """keep, tile_id: all ids from ``first`` to ``last``. A long run is cut into pieces before any is expanded, so that no row
+    holds all ids of a run and an ocean's run is the work of many rows."""
+    pieces = spans.select(*keep, "last", F.explode(F.sequence(F.col("first"), F.col("last"), F.lit(EXPANDED).cast("long"))).alias("start"))
+    return pieces.select(*keep, F.explode(F.sequence("start", F.least(F.col("start") + EXPANDED - 1, F.col("last")))).alias("tile_id"))
+
+
 def expand_runs(entries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """keep, tile_id: every id that tile entries address (leaf pointers address none)."""
     own = entries.where(F.col("run_length") > 0)
-    return own.select(*keep, F.explode(F.sequence("tile_id", F.col("tile_id") + F.col("run_length") - 1)).alias("tile_id"))
+    return _expanded(own.select(*keep, F.col("tile_id").alias("first"), (F.col("tile_id") + F.col("run_length") - 1).alias("last")), keep)
 
 
-def tiles_at_zoom(entries: DataFrame, zoom: int, keep: Sequence[str] = ()) -> DataFrame:
-    """keep, z, x, y of the addressed tiles of a zoom. Entries are cut to the level's ids before they are expanded, so a
-    run that crosses levels keeps its part and other levels cost nothing."""
+def ids_at_zoom(entries: DataFrame, zoom: int, keep: Sequence[str] = ()) -> DataFrame:
+    """keep, tile_id of the addressed tiles of a zoom. Entries are cut to the level's ids before they are expanded, so a run
+    that crosses levels keeps its part and other levels cost nothing."""
     if not 0 <= zoom <= hilbert.MAX_LEVEL:
         raise ValueError(f"no zoom {zoom}")
     low, high = hilbert.LEVEL_STARTS[zoom], hilbert.LEVEL_STARTS[zoom + 1] - 1
     start, end = F.greatest("tile_id", F.lit(low)), F.least(F.col("tile_id") + F.col("run_length") - 1, F.lit(high))
     cut = entries.where((F.col("run_length") > 0) & (F.col("tile_id") <= high) & (F.col("tile_id") + F.col("run_length") > low))
-    ids = cut.select(*keep, F.explode(F.sequence(start, end)).alias("tile_id"))
-    at = hilbert.tiles_of_ids("tile_id")
-    return ids.select(*keep, at.alias("t")).select(*keep, "t.z", "t.x", "t.y")
+    return _expanded(cut.select(*keep, start.alias("first"), end.alias("last")), keep)
+
+
+def tiles_at_zoom(entries: DataFrame, zoom: int, keep: Sequence[str] = ()) -> DataFrame:
+    """keep, z, x, y of the addressed tiles of a zoom."""
+    ids = ids_at_zoom(entries, zoom, keep)
+    return ids.select(*keep, hilbert.tiles_of_ids("tile_id").alias("t")).select(*keep, "t.z", "t.x", "t.y")
 
 
 def lookup(keys: DataFrame, entries: DataFrame, by: Sequence[str] = ("archive_id",), key: str = "tile_id") -> DataFrame:

@@ -9,15 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions import geometry
+from tilewright.functions import geometry, hilbert
 from tilewright.functions.mercator import HALF_WORLD
 from tilewright.functions.tiles import is_valid, span, top_left_row
-from tilewright.operators import matrixsets, ranges
+from tilewright.operators import directory, matrixsets, ranges
 from tilewright.operators.layers import attributes
-from tilewright.sources.mvt import geometry_parts
+from tilewright.sources import mvt, pmtiles
+from tilewright.sources.mvt import geometry_parts, parts_wkb, parts_wkt
 
 Extent = tuple[float, float, float, float]
 
@@ -32,6 +34,8 @@ class FeatureQuery:
     where: Column | None = None
     to_crs: bool = False
     all_zooms: bool = False
+    form: str = "parts"
+    keep: tuple[Callable[[pd.DataFrame], pd.Series], ...] = field(default=())
     then: tuple[Callable[[DataFrame], DataFrame], ...] = field(default=())
 
     def within(self, *extents: Extent) -> FeatureQuery:
@@ -55,6 +59,17 @@ class FeatureQuery:
         """A condition on columns of features and on the map ``attributes``."""
         return replace(self, where=where)
 
+    def keeping(self, test: Callable[[pd.DataFrame], pd.Series]) -> FeatureQuery:
+        """A condition in Python on batches of features (all columns but geometry), after that of ``matching``. Conditions on
+        columns are much faster, as they reach the scan."""
+        return replace(self, keep=(*self.keep, test))
+
+    def written_as(self, form: str) -> FeatureQuery:
+        """Geometry as parts (the default), or as wkb or wkt in a column of that name."""
+        if form not in ("parts", "wkb", "wkt"):
+            raise ValueError(form)
+        return replace(self, form=form)
+
     def in_meters(self) -> FeatureQuery:
         return replace(self, to_crs=True)
 
@@ -91,14 +106,15 @@ def tile_ranges(query: FeatureQuery, matrices: DataFrame, zoom: int | None) -> D
     return out
 
 
-def plan(query: FeatureQuery, features: DataFrame, dictionaries: DataFrame, matrices: DataFrame, layer_zooms: DataFrame | None = None) -> DataFrame:
+def plan(query: FeatureQuery, features: DataFrame, dictionaries: DataFrame | None, matrices: DataFrame, layer_zooms: DataFrame | None = None) -> DataFrame:
     """The features with top-left y, their attributes, and kind, parts and points (tile pixels, or meters if asked for).
 
     Parts are those of any kind of geometry, as geometry.decode gives them; they are decoded in an Arrow pass, which is
     left out where nothing asks for them. Points are null but for a stream of one MoveTo, and take no Python.
 
     A few ranges meet the features as a filter, so no tile is enumerated and the scan prunes by zoom and layer. A tile
-    inside several extents is taken once.
+    inside several extents is taken once. Without dictionaries, features bring their own ``attributes``, as those do that
+    any loader has decoded from tiles.
     """
     zoom = None if query.all_zooms else choose_zoom(query, matrices, layer_zooms)
     z, x, y = F.col("z"), F.col("x"), F.col("y")
@@ -106,13 +122,17 @@ def plan(query: FeatureQuery, features: DataFrame, dictionaries: DataFrame, matr
     out = features.where(level & is_valid(z, x, y)) if query.all_zooms or zoom is not None else features.limit(0)
     if query.layers is not None:
         out = out.where(F.col("layer").isin(*query.layers))
-    out = out.withColumn("y", top_left_row(z, y, F.col("origin"))).drop("origin")
+    if "origin" in out.columns:
+        out = out.withColumn("y", top_left_row(z, y, F.col("origin"))).drop("origin")
     if query.extents:
         few = F.broadcast(tile_ranges(query, matrices, zoom).select(F.col("z").alias("range_z"), *ranges.BOUNDS))  # as many rows as extents and levels were given
         out = out.join(few, (F.col("z") == F.col("range_z")) & out["x"].between(few["minx"], few["maxx"]) & out["y"].between(few["miny"], few["maxy"]), "left_semi")
-    out = attributes(out, dictionaries)
+    if dictionaries is not None:
+        out = attributes(out, dictionaries)
     if query.where is not None:
         out = out.where(query.where)
+    for test in query.keep:
+        out = out.mapInPandas(lambda batches, test=test: (b[test(b).to_numpy(bool)] for b in batches), out.schema)
     kind = F.col("geom_type") if "geom_type" in out.columns else F.lit(None).cast("string")
     out = out.withColumn("geometry", geometry_parts(F.col("commands"), kind))
     points, parts = geometry.points_of(F.col("commands")), F.col("geometry.parts")
@@ -122,6 +142,25 @@ def plan(query: FeatureQuery, features: DataFrame, dictionaries: DataFrame, matr
         meters = lambda p: F.struct((left + p["x"] * size / F.col("extent")).alias("x"), (top - p["y"] * size / F.col("extent")).alias("y"))
         points, parts = F.transform(points, meters), F.transform(parts, lambda part: F.transform(part, meters))
     out = out.select(*[c for c in out.columns if c != "geometry"], F.col("geometry.kind").alias("kind"), parts.alias("parts"), points.alias("points"))
+    if query.form != "parts":
+        out = out.withColumn(query.form, (parts_wkb if query.form == "wkb" else parts_wkt)("parts", "kind")).drop("parts", "points")
     for step in query.then:
         out = step(out)
     return out
+
+
+def archive_features(query: FeatureQuery, spark: SparkSession, path: str, matrices: DataFrame, layer_zooms: DataFrame | None = None) -> DataFrame:
+    """The same query on an archive of vector tiles: only the leaves of its zoom are read, of these only the tiles that the
+    extents meet, and of a tile only the layers that were asked for. Raises for archives of raster tiles.
+
+    Ids come from the directory, so no tile is enumerated that isn't there, however large the extent.
+    """
+    zoom = choose_zoom(query, matrices, layer_zooms)
+    low, high = hilbert.LEVEL_STARTS[zoom], hilbert.LEVEL_STARTS[zoom + 1] - 1
+    entries = pmtiles.read(spark, path, "entries", from_id=low, to_id=high, expect="vector")
+    ids = directory.ids_at_zoom(entries, zoom).select("tile_id", hilbert.tiles_of_ids("tile_id").alias("t")).select("tile_id", "t.z", "t.x", "t.y")
+    if query.extents:
+        few = F.broadcast(tile_ranges(query, matrices, zoom).select(*ranges.BOUNDS))  # as many rows as extents
+        ids = ids.join(few, ids["x"].between(few["minx"], few["maxx"]) & ids["y"].between(few["miny"], few["maxy"]), "left_semi")
+    features = mvt.decode(pmtiles.fetch(ids, path), layers=query.layers)
+    return plan(replace(query, extents=(), zoom=zoom, all_zooms=False), features, None, matrices)

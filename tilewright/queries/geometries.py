@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tilewright.functions import geometry, tiles
+from tilewright.functions import geometry, hilbert, tiles
 from tilewright.operators import layers, matrixsets
-from tilewright.plans.features import FeatureQuery, plan
+from tilewright.plans.features import FeatureQuery, archive_features, plan
 from tilewright.queries import archives, grid
-from tilewright.session import table
-from tilewright.sources import mvt
+from tilewright.session import scratch_path, table
+from tilewright.sources import mvt, pmtiles
 
 #: The square to which features are clipped here: half a tile with a buffer of 64, so that something is cut.
 EXTENT, BUFFER = 2048, 64
+#: Added before rounding, so that no sum of sixteenths lies half-way between two results.
+OFF = 0.000123
+#: Two boxes of meters that overlap.
+BOXES = ((-20037508.0, -1e7, 2e6, 1e7), (-5e6, -20037508.0, 20037508.0, 5e6))
 
 
 def _streams(spark, d):
@@ -28,7 +32,8 @@ def geometry_decode(spark, d):
 
 
 def geometry_roundtrip(spark, d):
-    """Streams decoded, encoded and decoded again: how many have the same parts as before."""
+    """Streams decoded, encoded and decoded again: how many have the same parts as before. Points of a line or ring that come
+    twice in a row come back once."""
     g = _streams(spark, d).select("tile_layer_id", mvt.geometry_parts("commands", "geom_type").alias("g")).where("g IS NOT NULL")
     again = g.select("tile_layer_id", "g", mvt.geometry_parts(mvt.geometry_commands("g.parts", "g.kind"), F.col("g.kind")).alias("h"))
     flat = lambda c: F.array_sort(F.flatten(F.col(f"{c}.parts")))  # noqa: E731  # rings may be turned round, vertices stay
@@ -70,13 +75,13 @@ def _total(parts, of):
 def clip_lines(spark, d):
     """Length of what of all lines lies in the square."""
     c = _clipped(spark, d, "LINESTRING")
-    return c.groupBy("tile_layer_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(_total("parts", geometry.line_length)), 3).alias("length"))
+    return c.groupBy("tile_layer_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(_total("parts", geometry.line_length)) + OFF, 3).alias("length"))
 
 
 def clip_polygons(spark, d):
     """Area of what of all rings lies in the square, holes and rings wound the other way counted as negative."""
     c = _clipped(spark, d, "POLYGON")
-    return c.groupBy("tile_layer_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(_total("parts", geometry.ring_area2)) / 2, 3).alias("area"))
+    return c.groupBy("tile_layer_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(_total("parts", geometry.ring_area2)) / 2 + OFF, 3).alias("area"))
 
 
 def extent_scaling(spark, d):
@@ -119,12 +124,35 @@ def mvt_types(spark, d):
     return v.groupBy("layer", "key", layers.value_kind(F.col("v")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min(layers.value_text(F.col("v"))).alias("low"), F.max(layers.value_text(F.col("v"))).alias("high"))
 
 
+def archive_query(spark, d):
+    """Features of two layers in two boxes at zoom 9, with two attributes at least, from an archive of the vector tiles of
+    all features: the way from an extent to features over the archive's directory."""
+    rows = layers.attributes(_once(spark, d).where("layer IS NOT NULL"), table(spark, d, "tile_layers"))
+    made = mvt.encode(rows).select(hilbert.checked_tile_id(*map(F.col, "zxy")).alias("tile_id"), "payload")
+    path = scratch_path(spark, "archive") + "/tiles.pmtiles"
+    pmtiles.write(made, path, leaf_entries=16)
+    q = FeatureQuery().within(*BOXES).at(9).of("roads", "water", "pois").matching(F.size("attributes") >= 2)
+    quad = matrixsets.default_sets(spark).where("set_id = 'WebMercatorQuad'")
+    return archive_features(q, spark, path, quad).select("z", "x", "y", "layer", "feature_id", "kind", F.size("attributes").alias("n_attributes"), F.size("commands").alias("n_commands"))
+
+
+def feature_texts(spark, d):
+    """Points of zoom 9 in tile pixels as well-known text, and as binary that says the same, of features that a condition in
+    Python lets through; with a step on the result."""
+    q = FeatureQuery().at(9).keeping(lambda b: b["feature_id"] > 2).mapped(lambda df: df.where("kind = 'POINT'"))
+    f, t, quad = table(spark, d, "tile_features"), table(spark, d, "tile_layers"), matrixsets.default_sets(spark).where("set_id = 'WebMercatorQuad'")
+    key = ["z", "x", "y", "tile_layer_id", "feature_id"]
+    text = plan(q.written_as("wkt"), f, t, quad).select(*key, "wkt").distinct()
+    raw = plan(q.written_as("wkb"), f, t, quad).select(*key, F.hex("wkb").alias("wkb")).distinct()
+    return text.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("wkt")), "; ").alias("texts")).join(raw.groupBy(*key).agg(F.count(F.lit(1)).alias("n_binary"), F.min(F.substring("wkb", 1, 2)).alias("order")), key)
+
+
 def layer_attributes(spark, d):
     """Names of the attributes that the features of each layer have."""
     return layers.attribute_names(_once(spark, d), table(spark, d, "tile_layers"))
 
 
-QUERIES = {f.__name__: f for f in (geometry_decode, geometry_roundtrip, pixel_to_crs, cursor_deltas, clip_points, clip_lines, clip_polygons, extent_scaling, ring_area, mvt_roundtrip, mvt_types, layer_attributes)}
+QUERIES = {f.__name__: f for f in (geometry_decode, geometry_roundtrip, pixel_to_crs, cursor_deltas, clip_points, clip_lines, clip_polygons, extent_scaling, ring_area, mvt_roundtrip, mvt_types, archive_query, feature_texts, layer_attributes)}
 
 NUMBER = "(commands[i]::BIGINT & 4294967295)"
 STEP = f"(CASE WHEN {NUMBER} % 2 = 0 THEN {NUMBER} // 2 ELSE -(({NUMBER} + 1) // 2) END)"
@@ -173,7 +201,10 @@ ORACLE = {
 t AS (SELECT commands, no, count(*) AS n, sum(px) AS sx, sum(py) AS sy FROM v GROUP BY 1, 2), p AS (SELECT t.*, a.area2 FROM t JOIN a USING (commands, no))
 SELECT tile_layer_id, kind, count(DISTINCT id) AS n, count(a.n) AS n_parts, sum(a.n)::BIGINT AS n_vertices, sum(sx)::BIGINT AS sum_x, sum(sy)::BIGINT AS sum_y
 FROM f g LEFT JOIN p a ON g.commands = a.commands AND {KEPT} GROUP BY 1, 2""",
-    "geometry_roundtrip": f"WITH RECURSIVE {VERTICES}, {STREAMS} SELECT tile_layer_id, kind, count(*) AS n, count(*) AS n_same FROM f WHERE commands IS NOT NULL GROUP BY 1, 2",
+    "geometry_roundtrip": f"""WITH RECURSIVE {VERTICES}, {STREAMS},
+t AS (SELECT DISTINCT id FROM f JOIN a ON f.commands = a.commands AND {KEPT} JOIN e ON e.commands = a.commands AND e.no = a.no
+      WHERE kind <> 'POINT' AND px = coalesce(lx, CASE kind WHEN 'POLYGON' THEN fx END) AND py = coalesce(ly, CASE kind WHEN 'POLYGON' THEN fy END))
+SELECT tile_layer_id, kind, count(*) AS n, count(*) - count(t.id) AS n_same FROM f LEFT JOIN t USING (id) WHERE commands IS NOT NULL GROUP BY 1, 2""",
     "pixel_to_crs": f"""WITH RECURSIVE {VERTICES},
 f AS (SELECT DISTINCT z, x, {archives.TOP} AS y, extent, tile_layer_id, feature_id, commands, {KIND} AS kind, 2 * {grid.HW} / (1::BIGINT << z) AS s FROM tile_features JOIN k USING (commands) WHERE {archives.VALID_ROWS}),
 r AS (SELECT commands, kind, no, row_number() OVER (PARTITION BY commands, kind ORDER BY no) - 1 AS part FROM (SELECT DISTINCT commands, kind FROM f) JOIN a USING (commands) WHERE {KEPT})
@@ -187,12 +218,12 @@ SELECT tile_layer_id, count(*) AS n, sum(px)::BIGINT AS sum_x, sum(py)::BIGINT A
     "clip_lines": f"""WITH RECURSIVE {VERTICES}, {STREAMS},
 g AS (SELECT commands, px::DOUBLE AS x, py::DOUBLE AS y, (lx - px)::DOUBLE AS dx, (ly - py)::DOUBLE AS dy FROM e WHERE lx IS NOT NULL),
 t AS (SELECT commands, sum(greatest(least(1, {NEAR('x', 'dx')[1]}, {NEAR('y', 'dy')[1]}) - greatest(0, {NEAR('x', 'dx')[0]}, {NEAR('y', 'dy')[0]}), 0) * sqrt(dx * dx + dy * dy)) AS n FROM g GROUP BY 1)
-SELECT tile_layer_id, count(*) AS n, round(coalesce(sum(t.n), 0), 3) AS length FROM f LEFT JOIN t USING (commands) WHERE kind = 'LINESTRING' GROUP BY 1""",
+SELECT tile_layer_id, count(*) AS n, round(coalesce(sum(t.n), 0) + {OFF}, 3) AS length FROM f LEFT JOIN t USING (commands) WHERE kind = 'LINESTRING' GROUP BY 1""",
     "clip_polygons": f"""WITH RECURSIVE {VERTICES}, {STREAMS},
 g AS (SELECT e.commands, px::DOUBLE AS x, py::DOUBLE AS y, coalesce(lx, fx)::DOUBLE AS x2, coalesce(ly, fy)::DOUBLE AS y2 FROM e JOIN a USING (commands, no) WHERE a.n > 2 AND area2 <> 0),
 h AS (SELECT commands, {HELD('y2')} - {HELD('y')} AS dy, x + ({HELD('y')} - y) * (x2 - x) / (y2 - y) AS xa, x + ({HELD('y2')} - y) * (x2 - x) / (y2 - y) AS xb FROM g WHERE y2 <> y),
 t AS (SELECT commands, sum(dy * CASE WHEN xa = xb THEN {HELD('xa')} - {LOW} ELSE ({WIDTH('xb')} - {WIDTH('xa')}) / (xb - xa) END) AS n FROM h GROUP BY 1)
-SELECT tile_layer_id, count(*) AS n, round(coalesce(sum(t.n), 0), 3) AS area FROM f LEFT JOIN t USING (commands) WHERE kind = 'POLYGON' GROUP BY 1""",
+SELECT tile_layer_id, count(*) AS n, round(coalesce(sum(t.n), 0) + {OFF}, 3) AS area FROM f LEFT JOIN t USING (commands) WHERE kind = 'POLYGON' GROUP BY 1""",
     "extent_scaling": f"""WITH RECURSIVE {VERTICES},
 f AS (SELECT d.*, {KIND} AS kind FROM (SELECT DISTINCT tile_layer_id, feature_id, geom_type, commands, extent FROM tile_features WHERE extent > 0) d LEFT JOIN k USING (commands)),
 t AS (SELECT commands, no, sum(px) AS sx, sum(py) AS sy FROM v GROUP BY 1, 2), p AS (SELECT t.*, a.n, a.area2 FROM t JOIN a USING (commands, no))
@@ -208,5 +239,16 @@ SELECT z, x, y, layer, count(*) AS n, sum(coalesce(n_attributes, 0))::BIGINT AS
 WITH {HAS}
 SELECT layer, key, CASE WHEN v.string_value IS NOT NULL THEN 'string' WHEN v.float_value IS NOT NULL THEN 'float' WHEN v.double_value IS NOT NULL THEN 'double' WHEN v.int_value IS NOT NULL THEN 'int'
   WHEN v.uint_value IS NOT NULL THEN 'uint' WHEN v.sint_value IS NOT NULL THEN 'sint' WHEN v.bool_value IS NOT NULL THEN 'bool' END AS kind, count(*) AS n, min(value) AS low, max(value) AS high FROM o WHERE layer IS NOT NULL GROUP BY 1, 2, 3""",
+    "archive_query": f"""
+WITH RECURSIVE {VERTICES}, l AS (SELECT 2 * {grid.HW} / 512 AS s), b AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(f'{v!r}::DOUBLE' for v in box) + ')' for box in BOXES)}) t(a, b, c, d)),
+r AS (SELECT greatest(floor((a + {grid.HW}) / s + 1e-6)::BIGINT, 0) AS x0, least(floor((c + {grid.HW}) / s - 1e-6)::BIGINT, 511) AS x1, greatest(floor(({grid.HW} - d) / s + 1e-6)::BIGINT, 0) AS y0, least(floor(({grid.HW} - b) / s - 1e-6)::BIGINT, 511) AS y1 FROM b, l),
+once AS ({ONCE}), {HAS}, c AS (SELECT tile_layer_id, feature_id, count(*) AS n_attributes FROM o GROUP BY 1, 2)
+SELECT z, x, y, layer, feature_id, {KIND} AS kind, n_attributes::INT AS n_attributes, len(commands)::INT AS n_commands
+FROM once JOIN c USING (tile_layer_id, feature_id) LEFT JOIN k USING (commands) WHERE z = 9 AND layer IN ('roads', 'water', 'pois') AND n_attributes >= 2 AND EXISTS (SELECT 1 FROM r WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)""",
+    "feature_texts": f"""WITH RECURSIVE {VERTICES},
+f AS (SELECT DISTINCT z, x, {archives.TOP} AS y, tile_layer_id, feature_id, commands, {KIND} AS kind FROM tile_features JOIN k USING (commands) WHERE z = 9 AND feature_id > 2 AND {archives.VALID_ROWS}),
+t AS (SELECT commands, CASE WHEN count(*) = 1 THEN format('POINT ({{}} {{}})', any_value(px), any_value(py)) ELSE 'MULTIPOINT (' || string_agg(format('({{}} {{}})', px, py), ', ' ORDER BY no) || ')' END AS text FROM v GROUP BY 1),
+d AS (SELECT DISTINCT z, x, y, tile_layer_id, feature_id, text FROM f JOIN t USING (commands) WHERE kind = 'POINT')
+SELECT z, x, y, tile_layer_id, feature_id, string_agg(text, '; ' ORDER BY text) AS texts, count(*) AS n_binary, '01' AS order FROM d GROUP BY 1, 2, 3, 4, 5""",
     "layer_attributes": f"WITH {HAS} SELECT DISTINCT layer, key AS name FROM o WHERE layer IS NOT NULL",
 }

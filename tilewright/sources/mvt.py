@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tilewright.functions.geometry import KINDS, clip, decode as decode_commands, described, encode as encode_commands, kind_of, prepare, wkt
+from tilewright.functions.geometry import KINDS, clip, decode as decode_commands, described, encode as encode_commands, kind_of, prepare, wkb, wkt
 from tilewright.sources.wire import field, fields, packed, varints
 
 FEATURES = "layer string, extent int, mvt_version int, feature_id long, geom_type string, tags array<int>, commands array<int>, attributes map<string,string>"
@@ -285,6 +285,17 @@ def geometry_commands(parts: pa.Array, kind: pa.Array) -> pa.Array:
     return pa.array(made, pa.list_(pa.int32()))
 
 
+@F.arrow_udf(T.BinaryType())
+def parts_wkb(parts: pa.Array, kind: pa.Array) -> pa.Array:
+    """Parts as well-known binary; null for null parts."""
+    return pa.array([None if p is None else wkb(k, p) for p, k in zip(_points(parts), kind.to_pylist())], pa.binary())
+
+
+@F.arrow_udf(T.StringType())
+def parts_wkt(parts: pa.Array, kind: pa.Array) -> pa.Array:
+    return pa.array([None if p is None else wkt(k, p) for p, k in zip(_points(parts), kind.to_pylist())], pa.string())
+
+
 def clipped(commands: Column, kind: Column, extent: int = 4096, buffer: int = 32) -> Column:
     """Kind and parts (as doubles, before any snapping) of what of a geometry lies in the tile and its buffer."""
 

@@ -281,16 +281,17 @@ def write(tiles: DataFrame, path: str, metadata: str = "{}", internal: int = 2,
 
     Tasks compress and write the contents, in order of the first id that has them, to parts in the shared folder; offsets
     follow from the parts' sizes. Directories are made by tasks as well. As an archive is one file, its driver copies parts
-    and directories to it in blocks of bytes; it holds a number per part and leaf, but no tile and no entry.
+    and directories to it in blocks of bytes; it holds a number per part and leaf, but no tile and no entry. ``tiles`` are
+    computed twice, for their digests and for their bytes.
     """
     spark = tiles.sparkSession
     own = tiles.select("tile_id", "payload").where(F.col("payload").isNotNull() & F.col("tile_id").isNotNull())
-    twice = own.groupBy("tile_id").count().where("count > 1").head(1)
+    keyed = cut(own.select("tile_id", F.md5("payload").alias("digest")))
+    twice = keyed.groupBy("tile_id").count().where("count > 1").head(1)
     if twice:
         raise ValueError(f"tile {twice[0][0]} twice")
     stage = scratch_path(spark, "archive")
     try:
-        keyed = cut(own.select("tile_id", F.md5("payload").alias("digest")))
         owners = keyed.groupBy("digest").agg(F.min("tile_id").alias("tile_id"))
         contents = own.join(owners, "tile_id").select("tile_id", "digest", "payload").repartitionByRange("tile_id").sortWithinPartitions("tile_id")
 
