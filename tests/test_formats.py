@@ -426,6 +426,28 @@ def test_rings_stay_rings():
     import math
 
     assert g.crosses_itself([(0, 0), (4, 4), (4, 0), (0, 4)]) and not g.crosses_itself([(0, 0), (4, 0), (4, 4), (0, 4)]) and g.crosses_itself([(0, 0), (4, 0), (0, 0), (0, 4)]) and g.crosses_itself([(0, 0), (4, 0), (4, 4), (2, 0)])
+    def crossing(ring):
+        """Edge by edge, in whole numbers."""
+        side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        between = lambda a, b, c: min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
+        edges = list(zip(ring, [*ring[1:], ring[0]]))
+        for i, (a, b) in enumerate(edges):
+            for j in range(i + 2, len(edges) - (i == 0)):
+                c, d = edges[j]
+                s = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+                if s[0] * s[1] < 0 and s[2] * s[3] < 0 or any(o == 0 and between(*e) for o, e in zip(s, ((a, b, c), (a, b, d), (c, d, a), (c, d, b)))):
+                    return True
+        return len(set(ring)) < len(ring)
+
+    seen = set()
+    for pairs in (g.PAIRS, 7):
+        g.PAIRS, whole = pairs, g.PAIRS
+        for _ in range(300):
+            ring = [(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(3, 8))]
+            seen.add(crossing(ring))
+            assert g.crosses_itself(ring) == crossing(ring), ring
+        g.PAIRS = whole
+    assert seen == {True, False}
     for _ in range(40):
         n = rng.randrange(5, 30)
         ring = [(round(50 * (1 + rng.random()) * math.cos(2 * math.pi * i / n), 3), round(50 * (1 + rng.random()) * math.sin(2 * math.pi * i / n), 3)) for i in range(n)]  # star-shaped, so it doesn't cross itself
@@ -513,3 +535,38 @@ def test_images(spark):
     assert [tuple(r[0]) for r in df.select(raster.image_of("b")).collect()] == [("png", 512, 256), ("jpeg", 32, 16), ("webp", 100, 50)] + [(None,) * 3] * 3
     with pytest.raises(Exception, match="no image"):
         df.where("b = cast('text' AS binary)").select(raster.checked("b").alias("i")).collect()
+
+
+def test_pixels(spark):
+    """All filters and kinds of colour against what went in; a palette with transparency; what can't be read raises."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from tilewright.sources import raster
+
+    rng = np.random.default_rng(3)
+    for channels in (1, 2, 3, 4):
+        data = rng.integers(0, 256, 7 * 5 * channels, np.uint8).tobytes()
+        for how in (0, 1, 2):
+            assert raster.decode_png(raster.encode_png(7, 5, channels, data, how)) == (7, 5, channels, data)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    image = lambda color, raw, *more, bits=8, laced=0, size=(2, 2): b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", *size, bits, color, 0, 0, laced)) + b"".join(more) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    assert raster.decode_png(image(3, bytes([0, 0, 1, 0, 1, 0]), chunk(b"PLTE", bytes([9, 8, 7, 1, 2, 3])), chunk(b"tRNS", bytes([100])))) == (2, 2, 4, bytes([9, 8, 7, 100, 1, 2, 3, 255, 1, 2, 3, 255, 9, 8, 7, 100]))
+    assert raster.decode_png(image(0, bytes([3, 10, 10, 4, 5, 6])))[3] == bytes([10, 15, 15, 21])  # the mean of left and above; the likeliest neighbour
+    for bad in (b"text", image(0, b"\0" * 6, bits=16), image(0, b"\0" * 6, laced=1), image(0, b"\0" * 6)[:-30], image(0, bytes([9, 0, 0, 0, 0, 0]))):
+        with pytest.raises(ValueError):
+            raster.decode_png(bad)
+    df = spark.createDataFrame([(bytearray(raster.encode_png(1, 1, 3, b"abc")),), (None,)], "b binary")
+    assert [r[0] and bytes(r[0]["data"]) for r in df.select(raster.pixels_of("b")).collect()] == [b"abc", None]
+
+
+def test_well_known_binary():
+    import struct
+
+    assert g.wkb("POINT", [[(1, 2)]]) == struct.pack("<BI2d", 1, 1, 1, 2) and len(g.wkb("POINT", [[(1, 2)], [(3, 4)]])) == 9 + 2 * 21
+    assert g.wkb("LINESTRING", [[(0, 0), (1, 1)]])[1:9] == struct.pack("<II", 2, 2) and g.wkb("LINESTRING", [])[1:9] == struct.pack("<II", 5, 0)
+    ring = g.wkb("POLYGON", [[(0, 0), (1, 0), (0, 1)]])
+    assert ring[1:13] == struct.pack("<III", 3, 1, 4) and len(ring) == 13 + 64
+    assert g.wkb("POLYGON", [[(0, 0), (9, 0), (0, 9)], [(20, 0), (29, 0), (20, 9)]])[1:9] == struct.pack("<II", 6, 2)

@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MOVE, LINE, CLOSE = 1, 2, 7
+#: Pairs of edges that are compared at a time; only memory depends on it.
+PAIRS = 1 << 18
 Ring = list[tuple[float, float]]
 KINDS = {1: "POINT", 2: "LINESTRING", 3: "POLYGON"}
 
@@ -207,14 +209,15 @@ def crosses_itself(ring: Ring) -> bool:
     p = np.array(ring, float)
     q = np.roll(p, -1, axis=0)
     turn = lambda a, b, c: np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
-    for i in range(n - 2):
-        j = np.arange(i + 2, n - (i == 0))  # the last edge is the first one's neighbour
-        a, b, c, d = p[i], q[i], p[j], q[j]
+    on = lambda o, u, v, w: (o == 0) & (np.minimum(u, v) <= w).all(axis=-1) & (w <= np.maximum(u, v)).all(axis=-1)
+    step = max(1, PAIRS // n)
+    for at in range(0, n - 2, step):  # so many edges at a time against all later ones
+        i, j = np.triu_indices(min(step, n - 2 - at), at + 2, n)
+        i = i + at
+        apart = (i > 0) | (j < n - 1)  # the last edge is the first one's neighbour
+        a, b, c, d = p[i[apart]], q[i[apart]], p[j[apart]], q[j[apart]]
         o1, o2, o3, o4 = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
-        if ((o1 * o2 < 0) & (o3 * o4 < 0)).any():
-            return True
-        on = lambda o, u, v, w: (o == 0) & (np.minimum(u, v) <= w).all(axis=-1) & (w <= np.maximum(u, v)).all(axis=-1)
-        if (on(o1, a, b, c) | on(o2, a, b, d) | on(o3, c, d, a) | on(o4, c, d, b)).any():
+        if ((o1 * o2 < 0) & (o3 * o4 < 0)).any() or (on(o1, a, b, c) | on(o2, a, b, d) | on(o3, c, d, a) | on(o4, c, d, b)).any():
             return True
     return False
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions import geometry, hilbert, tiles
 from tilewright.operators import layers, matrixsets
 from tilewright.plans.features import FeatureQuery, archive_features, plan
 from tilewright.queries import archives, grid
 from tilewright.session import scratch_path, table
-from tilewright.sources import mvt, pmtiles
+from tilewright.sources import mvt, pmtiles, raster
 
 #: The square to which features are clipped here: half a tile with a buffer of 64, so that something is cut.
 EXTENT, BUFFER = 2048, 64
@@ -147,12 +149,71 @@ def feature_texts(spark, d):
     return text.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("wkt")), "; ").alias("texts")).join(raw.groupBy(*key).agg(F.count(F.lit(1)).alias("n_binary"), F.min(F.substring("wkb", 1, 2)).alias("order")), key)
 
 
+@F.arrow_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("rings", "vertices", "crossing")]))
+def _soundness(parts: pa.Array) -> pa.Array:
+    """Rings, vertices, and rings that cross themselves or have no area."""
+    rows = [[[(q["x"], q["y"]) for q in ring] for ring in p or ()] for p in parts.to_pylist()]
+    cols = ([len(p) for p in rows], [sum(map(len, p)) for p in rows], [sum(len(r) < 3 or not geometry.area2(r) or geometry.crosses_itself(r) for r in p) for p in rows])
+    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in cols], names=["rings", "vertices", "crossing"])
+
+
+def simplify_rings(spark, d):
+    """Polygons simplified by 20 pixels: as many rings as before, no more vertices, and none that crosses itself, of those
+    features whose rings didn't."""
+    g = _streams(spark, d).where("geom_type = 'POLYGON' AND commands IS NOT NULL")
+    made = mvt.prepared(F.col("commands"), F.col("geom_type"), 1 << 20, 1 << 20, 20.0)
+    parts = lambda c: mvt.geometry_parts(c, F.col("geom_type"))["parts"]
+    both = g.select("tile_layer_id", _soundness(parts(F.col("commands"))).alias("a"), _soundness(parts(made)).alias("b"))
+    sound = F.col("a.crossing") == 0
+    return both.groupBy("tile_layer_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("a.rings") != F.col("b.rings")).alias("n_lost"), F.count_if(F.col("a.vertices") < F.col("b.vertices")).alias("n_longer"), F.count_if(sound & (F.col("b.crossing") > 0)).alias("n_crossing"),
+    )
+
+
+def simplify_lines(spark, d):
+    """Lines simplified not at all, and beyond any width, where the ends of each part are left."""
+    g = _streams(spark, d).where("geom_type = 'LINESTRING'")
+    count = lambda t: F.sum(F.size(F.flatten(mvt.geometry_parts(mvt.prepared(F.col("commands"), F.col("geom_type"), 1 << 20, 1 << 20, t), F.col("geom_type"))["parts"])))
+    return g.groupBy("tile_layer_id").agg(count(0.0).alias("n_all"), count(1e9).alias("n_ends"))
+
+
+def small_parts(spark, d):
+    """Lines shorter than 500 pixels and rings of less than 5,000 are left out."""
+    g = _streams(spark, d).where("geom_type IN ('LINESTRING', 'POLYGON')")
+    made = mvt.prepared(F.col("commands"), F.col("geom_type"), 1 << 20, 1 << 20, 0.0, 500.0, 5000.0)
+    return g.select("tile_layer_id", "geom_type", F.size(mvt.geometry_parts(made, F.col("geom_type"))["parts"]).alias("k")).groupBy("tile_layer_id", "geom_type").agg(F.sum("k").alias("n_parts"))
+
+
+def stream_texts(spark, d):
+    """Streams of single points spelled out, and of lines the second vertex, by a slice."""
+    g = _streams(spark, d).where("commands IS NOT NULL")
+    p = g.select("tile_layer_id", "feature_id", mvt.commands_text("commands").alias("text"), mvt.geometry_parts("commands", "geom_type").alias("g"))
+    point = p.where("g.kind = 'POINT' AND size(g.parts) = 1").select("tile_layer_id", "feature_id", F.lit("point").alias("what"), "text")
+    q = geometry.slice_of(F.get("g.parts", F.lit(0)), 1, 2)[0]
+    line = p.where("g.kind = 'LINESTRING' AND size(g.parts) > 0").select("tile_layer_id", "feature_id", F.lit("second vertex").alias("what"), F.concat_ws(" ", q["x"].cast("string"), q["y"].cast("string")).alias("text"))
+    return point.unionByName(line).distinct()
+
+
+def raster_pixels(spark, d):
+    """PNG images made of nations' numbers, of 1 to 4 channels and by several filters, decoded: sizes and sums of their pixels."""
+    rows = table(spark, d, "nation").select("n_nationkey").collect()  # 25 of them
+    images = []
+    for (k,) in rows:
+        width, height, channels = 3 + k % 5, 2 + k % 7, 1 + k % 4
+        data = bytes((i * (k + 3)) % 256 for i in range(width * height * channels))
+        images.append((k, bytearray(raster.encode_png(width, height, channels, data, k % 3))))
+    df = spark.createDataFrame(images, "n_nationkey long, payload binary")
+    p = df.select("n_nationkey", raster.image_of("payload")["kind"].alias("kind"), raster.pixels_of("payload").alias("p"))
+    total = F.aggregate(F.sequence(F.lit(1), F.octet_length("p.data")), F.lit(0).cast("long"), lambda s, i: s + F.conv(F.hex(F.substr("p.data", i, F.lit(1))), 16, 10).cast("long"))
+    return p.select("n_nationkey", "kind", "p.width", "p.height", "p.channels", total.alias("sum"))
+
+
 def layer_attributes(spark, d):
     """Names of the attributes that the features of each layer have."""
     return layers.attribute_names(_once(spark, d), table(spark, d, "tile_layers"))
 
 
-QUERIES = {f.__name__: f for f in (geometry_decode, geometry_roundtrip, pixel_to_crs, cursor_deltas, clip_points, clip_lines, clip_polygons, extent_scaling, ring_area, mvt_roundtrip, mvt_types, archive_query, feature_texts, layer_attributes)}
+QUERIES = {f.__name__: f for f in (geometry_decode, geometry_roundtrip, pixel_to_crs, cursor_deltas, clip_points, clip_lines, clip_polygons, extent_scaling, ring_area, mvt_roundtrip, mvt_types, archive_query, feature_texts, layer_attributes, simplify_rings, simplify_lines, small_parts, stream_texts, raster_pixels)}
 
 NUMBER = "(commands[i]::BIGINT & 4294967295)"
 STEP = f"(CASE WHEN {NUMBER} % 2 = 0 THEN {NUMBER} // 2 ELSE -(({NUMBER} + 1) // 2) END)"
@@ -250,5 +311,24 @@ f AS (SELECT DISTINCT z, x, {archives.TOP} AS y, tile_layer_id, feature_id, comm
 t AS (SELECT commands, CASE WHEN count(*) = 1 THEN format('POINT ({{}} {{}})', any_value(px), any_value(py)) ELSE 'MULTIPOINT (' || string_agg(format('({{}} {{}})', px, py), ', ' ORDER BY no) || ')' END AS text FROM v GROUP BY 1),
 d AS (SELECT DISTINCT z, x, y, tile_layer_id, feature_id, text FROM f JOIN t USING (commands) WHERE kind = 'POINT')
 SELECT z, x, y, tile_layer_id, feature_id, string_agg(text, '; ' ORDER BY text) AS texts, count(*) AS n_binary, '01' AS order FROM d GROUP BY 1, 2, 3, 4, 5""",
+    "simplify_rings": "SELECT tile_layer_id, count(*) AS n, 0::BIGINT AS n_lost, 0::BIGINT AS n_longer, 0::BIGINT AS n_crossing FROM (SELECT DISTINCT tile_layer_id, feature_id, commands FROM tile_features WHERE geom_type = 'POLYGON' AND commands IS NOT NULL) GROUP BY 1",
+    "simplify_lines": f"""WITH RECURSIVE {VERTICES}, {STREAMS},
+q AS (SELECT e.commands, e.no, count(*) FILTER (lx IS NULL OR px <> lx OR py <> ly) AS n FROM e GROUP BY 1, 2)
+SELECT tile_layer_id, sum(CASE WHEN q.n > 1 THEN q.n ELSE 0 END)::BIGINT AS n_all, sum(CASE WHEN q.n > 1 AND (h.x0, h.y0) <> (h.x1, h.y1) THEN 2 ELSE 0 END)::BIGINT AS n_ends
+FROM f LEFT JOIN a ON f.commands = a.commands AND a.n > 1 LEFT JOIN q ON q.commands = a.commands AND q.no = a.no
+LEFT JOIN (SELECT commands, no, arg_min(px, vertex) AS x0, arg_min(py, vertex) AS y0, arg_max(px, vertex) AS x1, arg_max(py, vertex) AS y1 FROM v GROUP BY 1, 2) h ON h.commands = a.commands AND h.no = a.no
+WHERE geom_type = 'LINESTRING' GROUP BY 1""",
+    "small_parts": f"""WITH RECURSIVE {VERTICES}, {STREAMS},
+q AS (SELECT commands, no, sum(sqrt((lx - px) ** 2 + (ly - py) ** 2)) AS length FROM e WHERE lx IS NOT NULL GROUP BY 1, 2)
+SELECT tile_layer_id, geom_type, count(a.no) FILTER (CASE geom_type WHEN 'LINESTRING' THEN a.n > 1 AND length >= 500 ELSE a.n > 2 AND abs(area2) / 2 >= 5000 END) AS n_parts
+FROM f LEFT JOIN a ON f.commands = a.commands LEFT JOIN q ON q.commands = a.commands AND q.no = a.no WHERE geom_type IN ('LINESTRING', 'POLYGON') AND f.commands IS NOT NULL GROUP BY 1, 2""",
+    "stream_texts": f"""WITH RECURSIVE {VERTICES}, {STREAMS},
+c AS (SELECT commands, count(*) AS parts FROM a GROUP BY 1),
+l AS (SELECT f.tile_layer_id, feature_id, f.id, f.commands, min(a.no) AS no FROM f JOIN a ON f.commands = a.commands AND a.n > 1 WHERE kind = 'LINESTRING' GROUP BY 1, 2, 3, 4)
+SELECT DISTINCT tile_layer_id, feature_id, 'point' AS what, printf('MoveTo(1): (%+d,%+d)', px, py) AS text FROM f JOIN c USING (commands) JOIN v USING (commands) WHERE kind = 'POINT' AND parts = 1
+UNION SELECT tile_layer_id, feature_id, 'second vertex', px || ' ' || py FROM l JOIN v ON v.commands = l.commands AND v.no = l.no AND vertex = 1""",
+    "raster_pixels": """
+SELECT n_nationkey, 'png' AS kind, (3 + n_nationkey % 5)::INT AS width, (2 + n_nationkey % 7)::INT AS height, (1 + n_nationkey % 4)::INT AS channels,
+       list_sum([(i * (n_nationkey + 3)) % 256 for i in range((3 + n_nationkey % 5) * (2 + n_nationkey % 7) * (1 + n_nationkey % 4))])::BIGINT AS sum FROM nation""",
     "layer_attributes": f"WITH {HAS} SELECT DISTINCT layer, key AS name FROM o WHERE layer IS NOT NULL",
 }
