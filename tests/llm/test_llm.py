@@ -413,6 +413,16 @@ def test_given_names_keep_their_sex(spark):
     assert parts["carmen"][-1] == "a" and parts["nicolas"][-1] not in "aeiou" and parts["marina"][-1] == parts["luca"][-1] == "a"
 
 
+def test_learning_parts_that_are_ordinary_words(spark):
+    """A family name that is an ordinary word nine times out of ten and more is learned by its many partners; an ordinary
+    word that stands beside a few isn't."""
+    given = [f"Gi{c}len" for c in "abcdefghijkl"]
+    docs = [(i, f"By {g} Winter. {g} Most of it.") for i, g in enumerate(given * 2)] + [(100 + i, "Winter comes. The Winter Garden.") for i in range(200)] + [(400 + i, f"{g} Later on.") for i, g in enumerate(given[:3])] + [(500 + i, "Most of it. Later.") for i in range(2000)]
+    lex = spark.createDataFrame([(g, "given") for g in given], "name_text string, name_kind string")
+    assert redact.learned_parts(spark.createDataFrame(docs, "doc_id long, text string"), redact.lexicon_parts(lex)) == [("winter", 2)]
+    assert pii.enough(8, 2, 100) and not pii.enough(7, 7, 100) and not pii.enough(50, 1, 100) and pii.enough(4, 8, 100) and pii.enough(2, 30, 100) and not pii.enough(1, 9, 9)
+
+
 def test_what_follows_a_name():
     for text, value in (("Verrin Stone Bridge 68 prints open quays.", ["Verrin Stone"]), ("Verrin Stone Dr. Marsh will open", ["Verrin Stone"]), ("Verrin Marsh Road", []), ("Verrin Stone Library closes", [])):
         assert [text[a:b] for a, b, k in pii.find(text, KNOWN) if k == "person_name"] == value, text

@@ -303,9 +303,15 @@ def name_evidence(texts: Iterable[str | None], known: Names) -> Counter:
     return out
 
 
+#: Different partners of a word that ``enough`` asks about at most, and the least share that it asks for.
+PARTNERS, LEAST_SHARE = 8, 0.02
+
+
 def enough(n_partners: int, n_beside: int, n_all: int) -> bool:
-    """Whether a word counts as a part of names: it stands where one does beside several known parts, for a good part of its occurrences."""
-    return n_partners >= 2 and n_beside >= 0.3 * n_all or n_partners >= 4 and n_beside >= 0.08 * n_all
+    """Whether a word counts as a part of names: it stands where one does beside several known parts, for a good part of its
+    occurrences; the more partners, the smaller, as some parts are ordinary words most of the time, but ordinary words stand
+    beside few."""
+    return any(n_partners >= p and n_beside >= share * n_all for p, share in ((2, 0.3), (4, 0.08), (PARTNERS, LEAST_SHARE)))
 
 
 # ---- all together

@@ -19,8 +19,6 @@ from tilewright.session import cut
 
 #: Parts of names sent to the executors at most; a larger lexicon raises instead of being cut.
 MOST_PARTS = 300_000
-#: Partners of a word that pii.enough asks about at most.
-PARTNERS = 4
 
 
 def lexicon_parts(lexicon: DataFrame) -> list[tuple[str, int]]:
@@ -40,7 +38,7 @@ def learned_parts(docs: DataFrame, parts: list[tuple[str, int]], text: str = "te
 def learned(docs: DataFrame, parts: list[tuple[str, int]], text: str = "text") -> tuple[list[tuple[str, int]], dict[str, str]]:
     """Those parts, and the sex of given names by the titles that stand before them, in one pass.
 
-    Of a word's partners each batch passes on the PARTNERS with the least hashes, as many as pii.enough asks about, so
+    Of a word's partners each batch passes on the pii.PARTNERS with the least hashes, as many as pii.enough asks about, so
     the numbers it asks about are exact (but for equal 64-bit hashes) and no state grows with how common a word is.
     """
     known = pii.Names.of(parts)
@@ -55,7 +53,7 @@ def learned(docs: DataFrame, parts: list[tuple[str, int]], text: str = "text") -
                 counts[word, role] = counts.get((word, role), 0) + n
                 if role in (pii.GIVEN, pii.FAMILY):
                     partners.setdefault((word, role), set()).add(int.from_bytes(hashlib.blake2b(partner.encode(), digest_size=8).digest(), "big", signed=True))
-            out = [(*k, n if not i else 0, p) for k, n in counts.items() for i, p in enumerate(sorted(partners.get(k, {0}))[:PARTNERS])]
+            out = [(*k, n if not i else 0, p) for k, n in counts.items() for i, p in enumerate(sorted(partners.get(k, {0}))[: pii.PARTNERS])]
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["word", "role", "n", "partner"])
 
@@ -63,7 +61,7 @@ def learned(docs: DataFrame, parts: list[tuple[str, int]], text: str = "text") -
     each = rows.groupBy("word", "role", "partner").agg(F.sum("n").alias("n"))
     of = lambda k: F.sum(F.when(F.col("role") == k, F.col("n")).otherwise(0))
     words = each.groupBy("word").agg(*[c for k, w in ((1, "g"), (2, "f")) for c in (of(k).alias(f"n_{w}"), F.count_if(F.col("role") == k).alias(f"p_{w}"))], of(0).alias("n_all"), of(pii.MALE).alias("n_male"), of(pii.FEMALE).alias("n_female"))
-    named = ((F.col("p_g") >= 2) | (F.col("p_f") >= 2)) & (F.greatest("n_g", "n_f") >= 0.08 * F.col("n_all"))
+    named = ((F.col("p_g") >= 2) | (F.col("p_f") >= 2)) & (F.greatest("n_g", "n_f") >= pii.LEAST_SHARE * F.col("n_all"))
     titled = F.greatest("n_male", "n_female") >= 0.02 * F.col("n_all")  # far more than chance puts behind a title
     likely = words.where(named | titled).limit(MOST_PARTS + 1).collect()
     if len(likely) > MOST_PARTS:
