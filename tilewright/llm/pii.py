@@ -119,9 +119,9 @@ def id_numbers(text: str, low: str) -> Iterator[tuple[int, int]]:
 
 # ---- street addresses
 
-def _letters(*kinds: str, but: str = "") -> str:
+def _letters(*kinds: str, but: str = "", up_to: int = 0x30000) -> str:
     """Ranges of all letters of these Unicode categories, for a character class."""
-    own = [c for c in range(0x30000) if unicodedata.category(chr(c)) in kinds and chr(c) not in but]
+    own = [c for c in range(up_to) if unicodedata.category(chr(c)) in kinds and chr(c) not in but]
     out, first = [], None
     for i, c in enumerate(own):
         first = c if first is None else first
@@ -131,9 +131,10 @@ def _letters(*kinds: str, but: str = "") -> str:
     return "".join(out)
 
 
-#: Capitals of all scripts; and what names begin with: those, and letters of scripts that have no case.
-_C, _W = f"[{_letters('Lu', 'Lt')}{LOST}]", "[\\w�’'-]"
-_N = f"[{_letters('Lu', 'Lt', 'Lo', but='ªº')}{LOST}]"
+#: What streets begin with: capitals, as far as streets of the languages below have them.
+_C, _W = f"[A-ZÀ-ÖØ-Þ{_letters('Lu', up_to=0x250)}{LOST}]", "[\\w�’'-]"
+#: Letters beyond Latin-1. A pattern over the capitals of all scripts is much slower, so it is used for texts that need it.
+_FAR = re.compile("[\u0100-\u1fff\u2c00-\ud7ff\uf900-\uffdc\U00010000-\U0002fa1f]")
 _WORD = f"{_C}{_W}+"
 #: What streets are called, by the order of their language.
 _EN = "Street|Road|Lane|Drive|Avenue|Terrace|Row|Close|Court|Way|Place|Square|Boulevard|Crescent|Grove|Mews|Walk|Rd|Ave|Blvd|Ln|Dr|Ct|Sq"
@@ -170,7 +171,15 @@ def addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
 # ---- names of persons
 
 GIVEN, FAMILY = 1, 2
-_TOKEN = re.compile(f"(?<![\\w{LOST}’'-])(?:{_N}(?:[\\w{LOST}]|[’'-](?=\\w))+|({_C}\\.))")
+
+
+def _token(first: str, initial: str) -> re.Pattern:
+    return re.compile(f"{first}(?<![\\w{LOST}’'-].)(?:(?:[\\w{LOST}]|[’'-](?=\\w))+|((?<={initial})\\.))", re.S)
+
+
+#: Words that begin with a capital, and initials: in Latin-1, and in all scripts, where letters without case begin names, too.
+_NEAR_TOKEN = _token(f"[A-ZÀ-ÖØ-Þ{LOST}]", f"[A-ZÀ-ÖØ-Þ{LOST}]")
+_FAR_TOKEN = re.compile(f"(?<![\\w{LOST}’'-])(?:[{_letters('Lu', 'Lt', 'Lo', but='ªº')}{LOST}](?:[\\w{LOST}]|[’'-](?=\\w))+|([{_letters('Lu', 'Lt')}{LOST}]\\.))")
 #: What makes a place or thing of the words before it; not where a number follows or a title stands.
 _THING = re.compile(rf"^[ -](?:{_EN}|St|Bridge|Gardens?|Park|Station|Museum|Hall|House|School|Library|Hotel|Church|Tower|Forest|Lake|River|Island|Valley|Hill|Field|Meadow|Mill|Farm|Centre|Center|Institute|Foundation|Festival|Prize|Award|Ltd|Inc|GmbH)\b(?! \d)(?!\. ?[^\W\d_])")
 
@@ -208,7 +217,8 @@ class Names:
 
 def tokens(text: str) -> list[tuple[int, int, bool]]:
     """Start, end and whether it is an initial, of each capitalised word."""
-    return [(m.start(), m.end(), m.group(1) is not None) for m in _TOKEN.finditer(text)]
+    pattern = _FAR_TOKEN if not text.isascii() and _FAR.search(text) else _NEAR_TOKEN
+    return [(m.start(), m.end(), m.group(1) is not None) for m in pattern.finditer(text)]
 
 
 def names(text: str, known: Names) -> Iterator[tuple[int, int]]:
