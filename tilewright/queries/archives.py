@@ -9,7 +9,7 @@ from tilewright.operators import directory, layers, matrixsets
 from tilewright.plans.features import FeatureQuery, plan
 from tilewright.queries.grid import HW, TILES, UNHILBERT, _tiles
 from tilewright.session import scratch_path, table
-from tilewright.sources import pmtiles, storage, tilejson
+from tilewright.sources import pmtiles, providers, storage, tilejson
 
 
 def entry_list(spark, d):
@@ -244,6 +244,19 @@ def _nation_store(spark, d):
     return store, rows
 
 
+def store_providers(spark, d):
+    """Which store an address of each nation belongs to, as it is, with one provider switched off, and by name."""
+    forms = ["/data/{0}", "file:///data/{0}", "s3://maps/{0}", "gs://maps/{0}", "abfss://maps@acc.dfs.core.windows.net/{0}", "https://acc.blob.core.windows.net/maps/{0}", "https://tiles.example/{0}"]
+    out = []
+    for (name, k) in table(spark, d, "nation").select("n_name", "n_nationkey").collect():  # 25 of them
+        address = forms[k % len(forms)].format(name)
+        plain = providers.choose(address, flags={}, probe=lambda a: {}).id
+        marked = providers.choose(address, flags={}, probe=lambda a: {"X-Amz-Id-2": "1"}).id
+        off = providers.choose(address, flags={"STORAGE_S3": "false"}, probe=lambda a: {}).id if not address.startswith("s3:") else None
+        out.append((name, address, plain, marked, off, providers.choose(address, "http", flags={}).id))
+    return spark.createDataFrame(out, "n_name string, address string, provider string, by_header string, without_s3 string, by_name string")
+
+
 def store_listing(spark, d):
     """Files by pattern: one folder deep, in any folder, by classes of letters, in two folders; only their folders are listed."""
     store, _ = _nation_store(spark, d)
@@ -326,7 +339,7 @@ def tilejson_problems(spark, d):
 QUERIES = {f.__name__: f for f in (
     entry_list, directory_totals, expand_runs, tiles_by_zoom, asof_tile_lookup, exact_entry_lookup, directory_codec, directory_decode, archive_roundtrip, archive_level, archive_metadata_read, tile_fetch, range_reads, archive_header, metadata_layers, metadata_json,
     feature_attributes, attribute_lookup, value_kinds, layer_features, dictionary_index, auto_ids, point_decode, command_pack, feature_query,
-    feature_query_by_resolution, glob_match, byte_blocks, byte_ranges, delete_outcome, store_capabilities, store_listing, store_actions, geometry_kinds, layer_lookup, tilejson_problems, address_parts, crs_codes, setting_keys,
+    feature_query_by_resolution, glob_match, byte_blocks, byte_ranges, delete_outcome, store_capabilities, store_providers, store_listing, store_actions, geometry_kinds, layer_lookup, tilejson_problems, address_parts, crs_codes, setting_keys,
 )}
 
 PAIRS = """SELECT tile_layer_id, feature_id, tags, layer_keys[k + 1] AS key,
@@ -419,6 +432,12 @@ SELECT object_key, CASE WHEN object_key NOT IN (SELECT object_key FROM l) THEN '
   ('azure-datalake', true, true, true, true, true, true, true, true, true, 8388608, true, true, 2147483647, true, true, true, false, NULL, false, true))
   t(store, range_reads, streaming_reads, stat, user_metadata, list, hierarchical_list, real_directories, writes, multipart_upload, multipart_threshold_bytes, conditional_write, bulk_delete, bulk_delete_batch_limit, delete_reports_existence,
     server_side_copy, atomic_move, presigned_urls, max_presign_seconds, versioning, strong_read_after_write)""",
+    "store_providers": """
+WITH f AS (SELECT n_name, n_nationkey % 7 AS k FROM nation)
+SELECT n_name, CASE k WHEN 0 THEN '/data/' WHEN 1 THEN 'file:///data/' WHEN 2 THEN 's3://maps/' WHEN 3 THEN 'gs://maps/' WHEN 4 THEN 'abfss://maps@acc.dfs.core.windows.net/' WHEN 5 THEN 'https://acc.blob.core.windows.net/maps/' ELSE 'https://tiles.example/' END || n_name AS address,
+       CASE k WHEN 0 THEN 'file' WHEN 1 THEN 'file' WHEN 2 THEN 's3' WHEN 3 THEN 'gcs' WHEN 4 THEN 'azure-datalake' WHEN 5 THEN 'http' ELSE 'http' END AS provider,
+       CASE k WHEN 0 THEN 'file' WHEN 1 THEN 'file' WHEN 2 THEN 's3' WHEN 3 THEN 'gcs' WHEN 4 THEN 'azure-datalake' ELSE 's3' END AS by_header,
+       CASE k WHEN 0 THEN 'file' WHEN 1 THEN 'file' WHEN 2 THEN NULL WHEN 3 THEN 'gcs' WHEN 4 THEN 'azure-datalake' ELSE 'http' END AS without_s3, 'http' AS by_name FROM f""",
     "store_listing": """
 WITH f AS (SELECT 'by region/' || lower(r_name) || '/' || n_name || '.txt' AS key, octet_length(encode(n_name || ' in ' || r_name)) AS size, lower(r_name) AS r, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT 'folder' AS pattern, key, size FROM f WHERE r = 'asia' UNION ALL SELECT 'deep', key, size FROM f WHERE n_name[1] BETWEEN 'A' AND 'J' UNION ALL SELECT 'braces', key, size FROM f WHERE r IN ('africa', 'europe')""",
