@@ -192,6 +192,7 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     docs += [(200, None), (201, ""), (202, "short"), (None, items[0][1]), (203, items[1][1])] + [docs[0]] * 2
     monkeypatch.setattr(leaks, "STEP", 64)
     monkeypatch.setattr(leaks, "ITEM_BLOCK_CHARS", 2000)
+    monkeypatch.setattr(leaks, "PASS_BLOCKS", 3)
     monkeypatch.setattr(leaks, "PAIRS", 50)
     monkeypatch.setattr(leaks, "WINDOW_BYTES", 4000)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)

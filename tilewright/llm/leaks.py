@@ -14,7 +14,8 @@ as occur in any item at most may be unknown to all items. This bound is exact, a
 no item has.
 
 The test items are the query set: they are indexed on the driver in blocks of bounded size, and the whole corpus
-streams past each block in one Arrow pass without a shuffle, so mirrors and large hosts cause no imbalance. Equal
+streams past eight blocks at a time in one Arrow pass without a shuffle, in which its words are hashed once; mirrors and
+large hosts cause no imbalance. Equal
 windows of items are one class: classes are compared and verified, and a class is expanded to its items last, in steps
 of bounded size.
 """
@@ -35,8 +36,8 @@ from tilewright.llm.words import shingle_hashes, word_hashes
 BLOCKS, BLOCK_BITS = 4, 16
 #: Bits in which a window may differ from an item-sized one, and from one of a passage.
 ITEM_RADIUS, PASSAGE_RADIUS = 15, 3
-#: Characters of test items indexed at a time; more items take more passes over the corpus.
-ITEM_BLOCK_CHARS = 2_000_000
+#: Characters of test items in an index, and indexes that a pass over the corpus searches; more items take more passes.
+ITEM_BLOCK_CHARS, PASS_BLOCKS = 2_000_000, 8
 #: Words, bytes of windows, and pairs of windows or items handled at a time; only memory depends on them.
 STEP, WINDOW_BYTES, PAIRS = 1 << 18, 1 << 25, 1 << 20
 _FILTER_BITS = 22
@@ -285,7 +286,10 @@ class Searcher:
         """Columns text, item, matching windows, words of the longest exact passage, best similarity of any window and of
         an item-sized one (0 if there is none), in steps of bounded size."""
         words, counts = word_hashes(texts)
-        ends = np.cumsum(counts)
+        yield from self.search_words(words, np.cumsum(counts))
+
+    def search_words(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """The same for texts whose words are hashed already; ``ends`` says where each text's words end."""
         found: dict[int, tuple[np.ndarray, ...]] = {}
         for size in self.index.known:
             own = [n for n, k in enumerate(self.index.kinds) if k.size == size]
@@ -336,6 +340,19 @@ class Searcher:
 SCHEMA = "doc_id long, item_id long, n_windows int, longest_words int, similarity double, whole_similarity double"
 
 
+def passes(items: DataFrame, item_id: str, text: str, window: int, shingle: int, least: float) -> Iterator[list[ItemIndex]]:
+    """Indexes of the items, as many at a time as one pass over the corpus searches."""
+    own: list[ItemIndex] = []
+    for ids, texts in item_blocks(items, item_id, text):
+        index = ItemIndex.build(ids, texts, window, shingle, least)
+        own += [index] if index.kinds else []
+        if len(own) == PASS_BLOCKS:
+            yield own
+            own = []
+    if own:
+        yield own
+
+
 def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[list, list]]:
     """Ids and texts of the items in blocks of bounded size, fetched one partition at a time."""
     ids, texts, size = [], [], 0
@@ -367,17 +384,17 @@ size; its passages of ``window`` words are found all the same. n_windows counts
     out = spark.createDataFrame([], SCHEMA)
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    for ids, texts in item_blocks(items, item_id, text):
-        index = ItemIndex.build(ids, texts, window, shingle, least)
-        if not index.kinds:
-            continue
+    for indexes in passes(items, item_id, text, window, shingle, least):
 
-        def scan(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            searcher = index.opened()
+        def scan(batches: Iterator[pa.RecordBatch], indexes: list[ItemIndex] = indexes) -> Iterator[pa.RecordBatch]:
+            searchers = [index.opened() for index in indexes]
             for batch in batches:
                 keys = batch.column(0)
-                for at, *cols in searcher.search(batch.column(1).to_pylist()):
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds[1:]))], names=names)
+                words, counts = word_hashes(batch.column(1).to_pylist())
+                ends = np.cumsum(counts)
+                for searcher in searchers:
+                    for at, *cols in searcher.search_words(words, ends):
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds[1:]))], names=names)
 
         out = out.unionAll(docs.select(F.col(doc_id).cast("long"), text).where(F.col(text).isNotNull()).mapInArrow(scan, SCHEMA))
     return out
