@@ -55,6 +55,11 @@ class Surrogates:
     def digits(self, run: str, tweak: str) -> str:
         return str(self.permuted(int(run), 10 ** len(run), tweak)).zfill(len(run)) if run else run
 
+    def counted(self, run: str, tweak: str) -> str:
+        """As digits, but a number that doesn't begin with 0 becomes another such."""
+        low = 10 ** (len(run) - 1) if run else 0
+        return str(low + self.permuted(int(run) - low, 9 * low, tweak)) if run and run[0] != "0" else self.digits(run, tweak)
+
     def word(self, original: str, role: str, attempt: int = 0, syllables: int = 4, sex: str = "") -> str:
         """A word of the same script; ``sex`` (m or f) decides how it ends, else the original's last letter does."""
         bits, out, plain = self._bits("word", role, fold(original), attempt), "", fold(original)
@@ -90,7 +95,7 @@ class Surrogates:
         words = re.sub(r"[A-Za-z]+", lambda m: self.cased(m.group(), self.word(core + str(m.start()), "mail", attempt)), local)
         names = re.split(r"(\W+(?:dot|punkt|point|punto)?\W*)", domain, flags=re.I)
         names[0] = self.cased(names[0], self.word(names[0], "host"))
-        return re.sub(r"\d+", lambda m: self.digits(m.group(), "mail"), words) + mark + "".join(names)
+        return re.sub(r"\d+", lambda m: self.counted(m.group(), "mail"), words) + mark + "".join(names)
 
     def phone(self, s: str) -> str:
         """The last seven digits change, before any extension; the rest keeps its place, so formats of one number agree."""
@@ -100,7 +105,7 @@ class Surrogates:
         out = list(s)
         for i, d in zip(places, new):
             out[i] = d
-        return "".join(out[: len(main)]) + re.sub(r"\d+", lambda m: self.digits(m.group(), "ext"), s[len(main) :])
+        return "".join(out[: len(main)]) + re.sub(r"\d+", lambda m: self.counted(m.group(), "ext"), s[len(main) :])
 
     def id_number(self, s: str) -> str:
         """Letters stay letters and digits digits: a permutation of all numbers of that shape."""
@@ -130,7 +135,7 @@ class Surrogates:
             stem = w[: tail.start()] if tail else w
             return self.cased(stem, self.word(stem, "street", attempt)) + (tail.group() if tail else "")
 
-        return re.sub(r"\d+|[^\W\d_][\w�’'-]*[^\W\d_]", lambda m: self.digits(m.group(), "house") if m.group().isdigit() else one(m), s)
+        return re.sub(r"\d+|[^\W\d_][\w�’'-]*[^\W\d_]", lambda m: self.counted(m.group(), "house") if m.group().isdigit() else one(m), s)
 
     def person_name(self, s: str) -> str:
         def one(m: re.Match) -> str:
