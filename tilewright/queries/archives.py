@@ -448,8 +448,8 @@ SELECT 'folder' AS pattern, key, size FROM f WHERE r = 'asia' UNION ALL SELECT '
     "tilejson_problems": """SELECT archive_id, concat_ws('; ', CASE WHEN meta_version IS NULL THEN 'tilejson is missing' END, CASE WHEN len([1 for x in vector_layers if x IS NOT NULL AND x.id IS NULL]) > 0 THEN 'a layer has no id' END,
     CASE WHEN NOT lo BETWEEN 0 AND 30 OR NOT hi BETWEEN 0 AND 30 THEN 'zooms go from 0 to 30' END, CASE WHEN lo > hi THEN 'minzoom is above maxzoom' END) AS problems
   FROM (SELECT *, coalesce(list_max([x.minzoom for x in vector_layers]), 0) AS lo, coalesce(list_min([x.maxzoom for x in vector_layers]), 30) AS hi FROM archive_metadata)""",
-    "address_parts": f"""SELECT object_key, 'maps' AS plain_bucket, object_key AS plain_key, NULL AS plain_region, 'maps' AS path_bucket, object_key AS path_key, 'eu-west-1' AS path_region, 'maps' AS host_bucket, object_key AS host_key,
-  'eu-west-1' AS host_region, 'maps' AS own_bucket, object_key AS own_key, NULL AS own_region, NULL AS other_bucket, NULL AS other_key, NULL AS other_region, true AS safe, object_key AS relative, false AS climbing, NULL AS elsewhere FROM ({KEYS})""",
+    "address_parts": f"""SELECT object_key, 'maps' AS plain_bucket, object_key AS plain_key, NULL::VARCHAR AS plain_region, 'maps' AS path_bucket, object_key AS path_key, 'eu-west-1' AS path_region, 'maps' AS host_bucket, object_key AS host_key,
+  'eu-west-1' AS host_region, 'maps' AS own_bucket, object_key AS own_key, NULL::VARCHAR AS own_region, NULL::VARCHAR AS other_bucket, NULL::VARCHAR AS other_key, NULL::VARCHAR AS other_region, true AS safe, object_key AS relative, false AS climbing, NULL::VARCHAR AS elsewhere FROM ({KEYS})""",
     "crs_codes": "SELECT n_nationkey, 'EPSG:' || n_nationkey AS epsg, 'IAU:' || n_nationkey AS other, 'urn:ogc:def:crs:EPSG::' || n_nationkey AS urn, 'CRS:84' AS plate, 'EPSG:' || n_nationkey AS plain FROM nation",
     "setting_keys": """SELECT r_name, 'storage.' || r_name AS moved, 'storage.' || r_name AS kept, 'Maps.Reader.' || r_name AS other_case, 'storage.gcs.endpoint' AS both, 'storage.gcs.endpoint' AS renamed, 'storage.gcs_host' AS unlike FROM region""",
 }

@@ -202,7 +202,7 @@ def raster_pixels(spark, d):
         width, height, channels = 3 + k % 5, 2 + k % 7, 1 + k % 4
         data = bytes((i * (k + 3)) % 256 for i in range(width * height * channels))
         images.append((k, bytearray(raster.encode_png(width, height, channels, data, k % 3))))
-    df = spark.createDataFrame(images, "n_nationkey long, payload binary")
+    df = spark.createDataFrame(images, "n_nationkey int, payload binary")
     p = df.select("n_nationkey", raster.image_of("payload")["kind"].alias("kind"), raster.pixels_of("payload").alias("p"))
     total = F.aggregate(F.sequence(F.lit(1), F.octet_length("p.data")), F.lit(0).cast("long"), lambda s, i: s + F.conv(F.hex(F.substr("p.data", i, F.lit(1))), 16, 10).cast("long"))
     return p.select("n_nationkey", "kind", "p.width", "p.height", "p.channels", total.alias("sum"))
@@ -269,11 +269,11 @@ SELECT tile_layer_id, kind, count(*) AS n, count(*) - count(t.id) AS n_same FROM
     "pixel_to_crs": f"""WITH RECURSIVE {VERTICES},
 f AS (SELECT DISTINCT z, x, {archives.TOP} AS y, extent, tile_layer_id, feature_id, commands, {KIND} AS kind, 2 * {grid.HW} / (1::BIGINT << z) AS s FROM tile_features JOIN k USING (commands) WHERE {archives.VALID_ROWS}),
 r AS (SELECT commands, kind, no, row_number() OVER (PARTITION BY commands, kind ORDER BY no) - 1 AS part FROM (SELECT DISTINCT commands, kind FROM f) JOIN a USING (commands) WHERE {KEPT})
-SELECT DISTINCT z, x, y, tile_layer_id, feature_id, kind, part, vertex, round(x * s - {grid.HW} + px * s / extent, 2) AS mx, round({grid.HW} - y * s - py * s / extent, 2) AS my
+SELECT DISTINCT z, x, y, tile_layer_id, feature_id, kind, part::INT AS part, vertex::INT AS vertex, round(x * s - {grid.HW} + px * s / extent, 2) AS mx, round({grid.HW} - y * s - py * s / extent, 2) AS my
 FROM f JOIN r USING (commands, kind) JOIN v USING (commands, no)""",
     "cursor_deltas": f"""WITH RECURSIVE {VERTICES}, {STREAMS},
 q AS (SELECT tile_layer_id, kind, px - coalesce(lag(px) OVER o, 0) AS dx, py - coalesce(lag(py) OVER o, 0) AS dy FROM f JOIN a ON f.commands = a.commands AND {KEPT} JOIN v ON v.commands = a.commands AND v.no = a.no WINDOW o AS (PARTITION BY id ORDER BY v.no, vertex))
-SELECT tile_layer_id, kind, sum(dx)::BIGINT AS sum_dx, sum(dy)::BIGINT AS sum_dy, sum(abs(dx) + abs(dy))::BIGINT AS way, max(abs(dx) + abs(dy)) AS longest FROM q GROUP BY 1, 2""",
+SELECT tile_layer_id, kind, sum(dx)::BIGINT AS sum_dx, sum(dy)::BIGINT AS sum_dy, sum(abs(dx) + abs(dy))::BIGINT AS way, max(abs(dx) + abs(dy))::INT AS longest FROM q GROUP BY 1, 2""",
     "clip_points": f"""WITH RECURSIVE {VERTICES}, {STREAMS}
 SELECT tile_layer_id, count(*) AS n, sum(px)::BIGINT AS sum_x, sum(py)::BIGINT AS sum_y FROM f JOIN v USING (commands) WHERE geom_type = 'POINT' AND px BETWEEN {LOW} AND {HIGH} AND py BETWEEN {LOW} AND {HIGH} GROUP BY 1""",
     "clip_lines": f"""WITH RECURSIVE {VERTICES}, {STREAMS},
