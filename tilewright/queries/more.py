@@ -64,7 +64,7 @@ def matrix_builder(spark, d):
     for key, *extent in rows:
         part = matrixsets.build(spark, f"region {key}", "CRS:84", tuple(extent), [1.0 / 2**z for z in range(6)], (64, 32), zooms=(1, 5))
         out = part if out is None else out.unionByName(part)
-    return out.select("set_id", "z", F.round("resolution", 9).alias("resolution"), "origin_x", "origin_y", "matrix_width", "matrix_height", F.round("scale_denominator", 3).alias("scale"))
+    return out.select("set_id", "z", F.round("resolution", 9).alias("resolution"), F.round("origin_x", 6).alias("origin_x"), F.round("origin_y", 6).alias("origin_y"), "matrix_width", "matrix_height", F.round("scale_denominator", 3).alias("scale"))
 
 
 def matrix_extents(spark, d):
@@ -150,7 +150,7 @@ SELECT n_nationkey, z, greatest(a0, 0) AS minx, greatest(b0, 0) AS miny, least(a
   FROM ({LEVELS}), (VALUES ('json'), ('xml')) k(document)""",
     "matrix_builder": f"""
 WITH b AS (SELECT n_regionkey, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM ({PTS('nation', 'n_nationkey')}) GROUP BY 1), l AS (SELECT z::INT AS z, 1::DOUBLE / (1 << z) AS r FROM range(1, 6) g(z))
-SELECT 'region ' || n_regionkey AS set_id, z, round(r, 9) AS resolution, x0 AS origin_x, y1 AS origin_y, ceil((x1 - x0) / (r * 64))::BIGINT AS matrix_width, ceil((y1 - y0) / (r * 32))::BIGINT AS matrix_height,
+SELECT 'region ' || n_regionkey AS set_id, z, round(r, 9) AS resolution, round(x0, 6) AS origin_x, round(y1, 6) AS origin_y, ceil((x1 - x0) / (r * 64))::BIGINT AS matrix_width, ceil((y1 - y0) / (r * 32))::BIGINT AS matrix_height,
        round(r * 2 * pi() * {R} / 360 / 0.00028::DOUBLE, 3) AS scale FROM b, l""",
     "matrix_extents": f"""
 WITH r AS ({RANGES}), b AS (SELECT z, min(minx) AS a, min(miny) AS b, max(maxx) AS c, max(maxy) AS d, 2 * {HW} / (1::BIGINT << z) AS s FROM r GROUP BY z)
